@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.pii import op8_pii
+from tessera.llm.tiff import op6_tiff
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_pii": op8_pii}
+    return {"op6_tiff": op6_tiff, "op8_pii": op8_pii}
 
 
 def oracle_sql() -> dict[str, str]:
