@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.pii import op8_pii
 from tessera.llm.tiff import op6_tiff
+from tessera.llm.warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_tiff": op6_tiff, "op8_pii": op8_pii}
+    return {"op5_warc": op5_warc, "op6_tiff": op6_tiff, "op8_pii": op8_pii}
 
 
 def oracle_sql() -> dict[str, str]:
