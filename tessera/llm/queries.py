@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.html_text import op1_html
 from tessera.llm.packing import op4_packing
 from tessera.llm.pii import op8_pii
 from tessera.llm.tiff import op6_tiff
@@ -13,7 +14,7 @@ from tessera.llm.warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_packing": op4_packing, "op5_warc": op5_warc, "op6_tiff": op6_tiff, "op8_pii": op8_pii}
+    return {"op1_html": op1_html, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_tiff": op6_tiff, "op8_pii": op8_pii}
 
 
 def oracle_sql() -> dict[str, str]:
