@@ -31,13 +31,19 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 
 def base32_of_hex(digest: Column) -> Column:
-    """Upper-case base32 of hexadecimal digits whose number is a multiple of ten: twenty bits become four letters."""
+    """Upper-case base32 of 40 hexadecimal digits: five of them, twenty bits, become four letters.
 
-    def letters(i: int) -> list[Column]:
-        bits = F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("int")
-        return [F.substr(F.lit(BASE32), F.shiftright(bits, 15 - 5 * k).bitwiseAND(31) + 1, F.lit(1)) for k in range(4)]
+    The lambdas hold the digest and each part's bits, so that each is computed once a row.
+    """
+
+    def letters(bits: Column) -> Column:
+        return F.concat(*[F.substr(F.lit(BASE32), F.shiftright(bits, 15 - 5 * k).bitwiseAND(31) + 1, F.lit(1)) for k in range(4)])
+
+    def whole(hexed: Column) -> Column:
+        parts = F.array(*[F.conv(F.substring(hexed, 5 * i + 1, 5), 16, 10).cast("int") for i in range(8)])
+        return F.array_join(F.transform(parts, letters), "")
 
-    return F.concat(*[c for i in range(8) for c in letters(i)])
+    return F.transform(F.array(digest), whole)[0]
 
 
 def sha1_base32(payload: Column) -> Column:
