@@ -84,9 +84,12 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     roles = told.withColumn("record_type", F.when(revisits, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisits, F.col("owner")))
     headers = staged(roles.select("page_id", "payload_digest", F.encode(_header_text(), "UTF-8").alias("header")), "warc-headers")
 
-    firsts = owners.select(F.col("owner"), F.col("payload_digest").alias("of"), "n")
-    same = rows["page_id"].eqNullSafe(firsts["owner"]) & (rows["payload_digest"] == firsts["of"])
-    payloads = staged(rows.join(firsts, same).dropDuplicates(["page_id", "payload_digest"]).select("payload_digest", "n", "payload"), "warc-payloads")
+    # Owners' bytes: joined and made single on the same keys, so dealt out once. Null ids own a digest only among themselves.
+    firsts = owners.select(F.col("owner").alias("page_id"), "payload_digest", "n")
+    own = rows.join(firsts, ["page_id", "payload_digest"]).dropDuplicates(["page_id", "payload_digest"])
+    nameless = rows.filter("page_id is null").join(owners.filter("owner is null"), "payload_digest").dropDuplicates(["payload_digest"])
+    kept = [x.select("payload_digest", "n", "payload") for x in (own, nameless)]
+    payloads = staged(kept[0].unionByName(kept[1]), "warc-payloads")
 
     copied = payloads.filter("n > 1").select("payload_digest", F.col("payload").alias("stored"))
     many = owners.filter("n > 1").select("payload_digest", "owner")
