@@ -15,7 +15,7 @@ def plain():
     return Tokenizer.from_file(packing.vocabulary())
 
 
-TEXTS = ["", None, "Hello World", "it's DON'T x'll 's", "É é ǅ Σας ΟΔΟΣ ﬁ İi", "a b c　d", "\x01 a \x01b\x01", "<|endoftext|> x<|startoftext|>y", "日本語 123 45!!", "tab\tnew\nline\r\n\x0bv", "w " * 5000, "Hello World"]
+TEXTS = ["", None, "Hello World", "it's DON'T x'll 's", "É é ǅ Σας ΟΔΟΣ ﬁ İi", "a b c　d", "\x01 a \x01b\x01", "<|endoftext|> x<|startoftext|>y", "日本語 123 45!!", "tab\tnew\nline\r\n\x0bv", "w " * 5000, "Hello World", "I\u0307 A\u0301. É.,x K.\u0301!", "<|ENDOFTEXT|>", "a.b,c;;d's. 'S.X DON'T."]
 
 
 def test_words_equal_whole_texts(plain):
