@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.html_text import op1_html
+from tessera.llm.line_dedup import op3_lines
 from tessera.llm.neardup import op10_neardup
 from tessera.llm.packing import op4_packing
 from tessera.llm.pii import op8_pii
@@ -15,7 +16,15 @@ from tessera.llm.warc import op5_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_html": op1_html, "op4_packing": op4_packing, "op5_warc": op5_warc, "op6_tiff": op6_tiff, "op8_pii": op8_pii, "op10_neardup": op10_neardup}
+    return {
+        "op1_html": op1_html,
+        "op3_lines": op3_lines,
+        "op4_packing": op4_packing,
+        "op5_warc": op5_warc,
+        "op6_tiff": op6_tiff,
+        "op8_pii": op8_pii,
+        "op10_neardup": op10_neardup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
