@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.decontam import op2_decontam
 from tessera.llm.html_text import op1_html
 from tessera.llm.line_dedup import op3_lines
 from tessera.llm.neardup import op10_neardup
@@ -18,6 +19,7 @@ from tessera.llm.warc import op5_warc
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html": op1_html,
+        "op2_decontam": op2_decontam,
         "op3_lines": op3_lines,
         "op4_packing": op4_packing,
         "op5_warc": op5_warc,
