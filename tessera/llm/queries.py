@@ -12,6 +12,7 @@ from tessera.llm.line_dedup import op3_lines
 from tessera.llm.neardup import op10_neardup
 from tessera.llm.packing import op4_packing
 from tessera.llm.pii import op8_pii
+from tessera.llm.quality import op9_quality
 from tessera.llm.tiff import op6_tiff
 from tessera.llm.warc import op5_warc
 
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc": op5_warc,
         "op6_tiff": op6_tiff,
         "op8_pii": op8_pii,
+        "op9_quality": op9_quality,
         "op10_neardup": op10_neardup,
     }
 
