@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontam import op2_decontam
 from tessera.llm.html_text import op1_html
+from tessera.llm.license_scan import op7_licenses
 from tessera.llm.line_dedup import op3_lines
 from tessera.llm.neardup import op10_neardup
 from tessera.llm.packing import op4_packing
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_warc": op5_warc,
         "op6_tiff": op6_tiff,
+        "op7_licenses": op7_licenses,
         "op8_pii": op8_pii,
         "op9_quality": op9_quality,
         "op10_neardup": op10_neardup,
