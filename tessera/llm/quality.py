@@ -26,6 +26,7 @@ differ; rows of a null id share one noise. Without labels of both kinds nothing
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -97,10 +98,9 @@ def sums(texts: pa.Array, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(of, ratios[at], len(texts)), np.bincount(of, minlength=len(texts))
 
 
-def weighted(docs: DataFrame, ratios: np.ndarray, usual: float, nominal: int) -> DataFrame:
-    """docs (doc_id, text, more) with log_weight in place of the text."""
-    kept = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{n}` {kind}" for n, kind in docs.dtypes if n != "text")
+def weighted(docs: DataFrame, ratios: np.ndarray, usual: float, nominal: int, kept: list[str]) -> DataFrame:
+    """The kept columns of docs, n_grams and log_weight of their text."""
+    schema = ", ".join(f"`{n}` {dict(docs.dtypes)[n]}" for n in kept)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -108,7 +108,7 @@ def weighted(docs: DataFrame, ratios: np.ndarray, usual: float, nominal: int) ->
             weight = nominal * (total + PRIOR_GRAMS * usual) / (n + PRIOR_GRAMS)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(weight)], [*kept, "n_grams", "log_weight"])
 
-    return docs.select(*kept, "text").mapInArrow(rows, f"{schema}, n_grams long, log_weight double")
+    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(rows, f"{schema}, n_grams long, log_weight double")
 
 
 def best_bar(good: np.ndarray, bad: np.ndarray, cost: float = COST) -> float:
@@ -154,7 +154,22 @@ def cut_of(keys: DataFrame, k: int) -> float:
         low, high = found[s]["least"], found[s]["most"]
 
 
-def resample(
+@dataclass
+class Sampler:
+    """What is needed to weigh a document and to tell whether it is in the sample."""
+
+    ratios: np.ndarray
+    usual: float
+    nominal: int
+    seed: int
+    cut: float = -np.inf
+
+    def keyed(self, docs: DataFrame, kept: list[str]) -> DataFrame:
+        """The kept columns of docs (doc_id, text, more) with n_grams, log_weight and key."""
+        return weighted(docs, self.ratios, self.usual, self.nominal, kept).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), self.seed))
+
+
+def fitted(
     docs: DataFrame,
     labels: DataFrame,
     id_col: str = "doc_id",
@@ -167,8 +182,8 @@ def resample(
     nominal: int = NOMINAL,
     fit_rows: int = FIT_ROWS,
     seed: int = SEED,
-) -> DataFrame:
-    """The sample: doc_id, n_grams, log_weight, key; k rows, or those that the bar gives."""
+) -> tuple[Sampler, DataFrame]:
+    """The sampler for docs, and each row's doc_id, n_grams, log_weight and key."""
     chosen = picked(docs, doc_id=id_col, text=text_col)
     told = picked(labels, doc_id=label_id_col, quality=quality_col, toxic=toxic_col).filter("doc_id is not null and quality is not null")
     told = told.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
@@ -178,16 +193,28 @@ def resample(
     # At most fit_rows ids of 24 bytes.
     fit = staged(chosen.join(F.broadcast(some), "doc_id"), "labelled")
     ratios = log_ratios(counted(fit.filter("good and not held"), size), counted(chosen, size))
-    held = weighted(fit.filter("not good or held").select("doc_id", "good", "text"), ratios, 0.0, nominal).groupBy("doc_id", "good").agg(F.max("log_weight").alias("w"), F.max("n_grams").alias("n")).collect()
+    held = weighted(fit.filter("not good or held"), ratios, 0.0, nominal, ["doc_id", "good"]).groupBy("doc_id", "good").agg(F.max("log_weight").alias("w"), F.max("n_grams").alias("n")).collect()
     mean = np.asarray([r["w"] / nominal for r in held])
     good, n = np.asarray([r["good"] for r in held], bool), np.asarray([r["n"] for r in held])
     usual = float(np.median(mean[good])) if good.any() else 0.0
     weights = nominal * (mean + usual * PRIOR_GRAMS / (n + PRIOR_GRAMS))
     bar = best_bar(weights[good], weights[~good])
-    scored = staged(weighted(chosen, ratios, usual, nominal).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "weights")
-    if k is None:
-        k = scored.filter(F.col("log_weight") >= F.lit(bar)).count()
-    return scored.filter(F.col("key") >= F.lit(cut_of(scored, k)))
+    sampler = Sampler(ratios, usual, nominal, seed)
+    scored = staged(sampler.keyed(chosen, ["doc_id"]), "weights")
+    sampler.cut = cut_of(scored, scored.filter(F.col("log_weight") >= F.lit(bar)).count() if k is None else k)
+    return sampler, scored
+
+
+def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The sample: doc_id, n_grams, log_weight, key; k rows, or those that the bar gives. Options: those of fitted()."""
+    sampler, scored = fitted(docs, labels, **options)
+    return scored.filter(F.col("key") >= F.lit(sampler.cut))
+
+
+def sampled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The sample as rows of docs, whose text and doc_id have these names. Weighs each text again, which is cheaper than a join."""
+    sampler, _ = fitted(docs, labels)
+    return sampler.keyed(docs, docs.columns).filter(F.col("key") >= F.lit(sampler.cut)).select(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
