@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import picked, staged, table
 
 LINES = 2
-LEVELS = 2
+LEVELS = 4
 DIVISOR = 2
 SEED = 20240601
 #: A chunk has this many lines of text at least.
@@ -76,7 +76,7 @@ def clashes(docs: DataFrame) -> DataFrame:
 def kept_ranges(docs: DataFrame, levels: int) -> DataFrame:
     """doc_id, text_hash, ranges of lines to keep and where the last begins, for texts that lose lines."""
     hashed = docs.filter("doc_id is not null").select("doc_id", "text_hash", line_hashes(F.col("text")).alias("h"))
-    found = chunks(staged(hashed.filter(F.size("h") > 1), "line-hashes"), levels)
+    found = staged(chunks(hashed.filter(F.size("h") > 1), levels), "chunks")
     repeated = found.groupBy("key", "hashes").agg(F.min("place").alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n")
     bad = staged(clashes(docs), "clashes")
     if not bad.isEmpty():
