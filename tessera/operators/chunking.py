@@ -7,10 +7,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import words
+from tessera.functions.vectors import cosine
 
 SENTENCE = re.compile(r"[^.!?؟۔]+[.!?؟۔]+(?:\s+|$)|[^.!?؟۔]+$", re.S)
 HEADING = re.compile(r"(?im)^[ \t]*((?:article|chapter|section|chapitre|titre|art\.)[ \t]+[0-9ivxl]+[^\n]*)$")
@@ -94,3 +95,34 @@ def packed_chunks(docs: DataFrame, strategy: str = "sentences", size: int = 200)
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "chunk", "n_words", "content"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, chunk int, n_words int, content string")
+
+
+def semantic_groups(sentences: DataFrame) -> DataFrame:
+    """sentences (doc_id, n, v, n_words) with chunk: a new one begins where a sentence is less like the one before it than
+    the document's mean less its standard deviation."""
+    w = Window.partitionBy("doc_id")
+    told = sentences.withColumn("s", cosine(F.lag("v").over(w.orderBy("n")), F.col("v")))
+    told = told.withColumn("s", F.when(F.row_number().over(w.orderBy("n")) > 1, F.col("s")))
+    bar = told.withColumn("bar", F.avg("s").over(w) - F.stddev_pop("s").over(w))
+    return bar.withColumn("chunk", F.sum(F.coalesce((F.col("s") < F.col("bar")).cast("int"), F.lit(0))).over(w.orderBy("n"))).drop("s", "bar")
+
+
+def long_parts(text: str, least: int = 1000, most: int = 45_000) -> list[str]:
+    """Parts of a long document by headings; short ones go with the part before, long ones are cut at a paragraph, a line or anywhere."""
+    cuts = [0, *[m.start() for m in HEADING.finditer(text)], len(text)]
+    out: list[str] = []
+    for part in (text[a:b] for a, b in zip(cuts, cuts[1:], strict=False) if a < b):
+        if out and len(part) < least:
+            out[-1] += part
+        else:
+            out.append(part)
+    return [p for part in out for p in cut_long(part, most)]
+
+
+def cut_long(text: str, most: int) -> list[str]:
+    out = []
+    while len(text) > most:
+        at = max(text.rfind("\n\n", 1, most), 0) or max(text.rfind("\n", 1, most), 0) or most
+        out.append(text[:at])
+        text = text[at:]
+    return [*out, text]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import host_of, normal_url, path_of, set_similarity, words
+from tessera.functions.text import host_of, normal_url, path_of, set_similarity, tokens, words
 
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'#][^"']*)["']"""
 FILES = r"(?i)\.(pdf|docx?|xlsx?|pptx?|zip|csv)([?#].*)?$"
@@ -133,3 +133,87 @@ def inclusion_failures(title: Column, text: Column) -> Column:
 def crawl_stage(chars: Column, quality: Column, chunks: Column, embedded: Column, reviewed: Column) -> Column:
     """How far a document is, as each gate opens on what the one before it made."""
     return F.when(chars < 100, "crawled").when(quality < 0.5, "extracted").when(chunks == 0, "accepted").when(embedded < chunks, "chunked").when(~reviewed, "indexed").otherwise("published")
+
+
+def sitemap_urls(files: DataFrame) -> DataFrame:
+    """path, kind (page or sitemap), url, changed of sitemap files (path, xml)."""
+    entry = lambda tag: F.regexp_extract_all("xml", F.lit(rf"(?is)<{tag}>(.*?)</{tag}>"), 1)
+    field = lambda name: F.trim(F.regexp_extract("e", rf"(?is)<{name}>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{name}>", 1))
+    both = files.select("path", F.lit("page").alias("kind"), F.explode(entry("url")).alias("e")).unionByName(files.select("path", F.lit("sitemap").alias("kind"), F.explode(entry("sitemap")).alias("e")))
+    return both.select("path", "kind", F.replace(field("loc"), F.lit("&amp;"), F.lit("&")).alias("url"), F.nullif(field("lastmod"), F.lit("")).alias("changed")).filter("url <> ''")
+
+
+def robots_rules(files: DataFrame, agent: str) -> DataFrame:
+    """host, allow, prefix of the robots.txt lines (host, text) that hold for the agent: its own group's, else those for all."""
+    lines = files.select("host", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line")).select("host", "n", F.trim(F.regexp_replace("line", "#.*$", "")).alias("line"))
+    parts = lines.select("host", "n", F.lower(F.trim(F.regexp_extract("line", r"^([A-Za-z-]+)\s*:", 1))).alias("field"), F.trim(F.regexp_extract("line", r"^[A-Za-z-]+\s*:(.*)$", 1)).alias("value")).filter(F.col("field").isin("user-agent", "allow", "disallow"))
+    w = Window.partitionBy("host").orderBy("n")
+    starts = (F.col("field") == "user-agent") & F.coalesce(F.lag("field").over(w) != "user-agent", F.lit(True))
+    grouped = parts.withColumn("s", starts.cast("int")).withColumn("g", F.sum("s").over(w))
+    groups = grouped.filter("field = 'user-agent'").groupBy("host", "g").agg(F.max(F.contains(F.lit(agent.lower()), F.lower("value")) & (F.col("value") != "*")).alias("own"), F.max(F.col("value") == "*").alias("every"))
+    ranked = groups.filter("own OR every").withColumn("any", F.max("own").over(Window.partitionBy("host"))).filter("own OR NOT any")
+    return grouped.filter("field <> 'user-agent' AND value <> ''").join(ranked.select("host", "g"), ["host", "g"]).select("host", (F.col("field") == "allow").alias("allow"), F.col("value").alias("prefix"))
+
+
+def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """urls (url) with allowed: what the longest matching prefix of the host's rules says, allow where two are equal."""
+    told = urls.select("url", host_of("url").alias("host"), F.concat(F.lit("/"), F.regexp_replace(path_of("url"), "^/", "")).alias("path"))
+    hit = told.join(rules, "host").filter(F.startswith("path", "prefix")).groupBy("url").agg(F.max_by("allow", F.struct(F.length("prefix"), "allow")).alias("allow"))
+    return urls.join(hit, "url", "left").withColumn("allowed", F.coalesce("allow", F.lit(True))).drop("allow")
+
+
+CATEGORIES = (("news", r"/(news|actualites?|articles?|blog)(/|$)"), ("law", r"/(laws?|lois?|codes?|legislation)(/|$)"), ("decisions", r"/(jurisprudence|decisions?|cases?)(/|$)"), ("forms", r"/(forms?|formulaires?|modeles?)(/|$)"))
+
+
+def url_category(url: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for name, pattern in CATEGORIES:
+        out = out.when(F.lower(path_of(url)).rlike(pattern), name)
+    return out.otherwise("other")
+
+
+def keyword_domains(docs: DataFrame, dictionary: dict[str, dict[str, float]], most: int = 20, dense: float = 0.02) -> DataFrame:
+    """doc_id, domain, share (0.95 at most), density and whether it is dense, of the domain whose words weigh most in a text.
+
+    dictionary: words and weights by domain; few, so they stay in the plan."""
+    told = docs.select("doc_id", tokens("text").alias("w")).withColumn("n", F.greatest(F.size("w"), F.lit(1)))
+    known = sorted({w for words_ in dictionary.values() for w in words_})
+    hits = told.select("doc_id", "n", F.filter("w", lambda x: x.isin(*known)).alias("w"))
+    weight = lambda domain: F.aggregate("w", F.lit(0.0), lambda a, x: a + table_of(dictionary[domain], x))
+    scores = F.array(*[F.struct(weight(d).alias("score"), F.lit(d).alias("domain")) for d in dictionary])
+    best = hits.select("doc_id", "n", F.size("w").alias("hits"), F.array_max(scores).alias("b"), F.aggregate(scores, F.lit(0.0), lambda a, s: a + s["score"]).alias("all")).filter("b.score > 0")
+    density = F.col("hits") / F.col("n")
+    return best.select("doc_id", "b.domain", F.least(F.col("b.score") / F.col("all"), F.lit(0.95)).alias("share"), density.alias("density"), (density > dense).alias("dense"))
+
+
+def table_of(weights: dict[str, float], word: Column) -> Column:
+    out = F.when(F.lit(False), 0.0)
+    for name, w in weights.items():
+        out = out.when(word == name, F.lit(w))
+    return out.otherwise(0.0)
+
+
+def breadcrumbs(pages: DataFrame) -> DataFrame:
+    """page_id, crumbs: the path's parts as words, without numbers and endings."""
+    part = lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"\.[A-Za-z0-9]+$", ""), r"[-_+]+", " "))
+    return pages.select("page_id", F.filter(F.transform(F.split(path_of("url"), "/"), part), lambda s: (s != "") & ~s.rlike("^[0-9 ]+$")).alias("crumbs"))
+
+
+def headings(html: Column) -> Column:
+    return F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), 1), lambda h: F.trim(F.regexp_replace(F.regexp_replace(h, r"<[^>]+>", " "), r"\s+", " "))), lambda h: h != "")
+
+
+def markdown_tables(html: Column) -> Column:
+    """Each table as Markdown, its rows padded to the widest, bars escaped, between marks."""
+    cell = lambda c: F.replace(F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", " "), r"\s+", " ")), F.lit("|"), F.lit("\\|"))
+    row = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), cell)
+    rows = lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1), row), lambda r: F.size(r) > 0)
+
+    def written(cells: Column) -> Column:
+        width = F.array_max(F.transform(cells, F.size))
+        line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
+        lines = F.transform(cells, line)
+        return F.concat_ws("\n", F.lit("[TABLE]"), F.get(lines, F.lit(0)), rule, F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n"), F.lit("[/TABLE]"))
+
+    return F.transform(F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), 1), rows), lambda t: F.size(t) > 0), written)
