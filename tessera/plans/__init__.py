@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import monitoring, relational, search, texts  # noqa: F401
+from tessera.plans import ingest, monitoring, relational, search, texts  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL
 
 

@@ -54,11 +54,11 @@ def corpus_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("n"), 4).alias("mean"), F.max("n").alias("longest"), F.count_if(F.col("quality") == 1).alias("gold"), F.coalesce(F.round(F.avg("quality"), 6), F.lit(0.75)).alias("score"))
 
 
-@query("""SELECT o_orderkey, round(CASE WHEN o_totalprice > 0 AND date_diff('day', o_orderdate, TIMESTAMP '2001-12-31') > 0 THEN o_totalprice * 0.145 * (date_diff('day', o_orderdate, TIMESTAMP '2001-12-31') / 365) ELSE 0 END, 2) AS interest, CAST(round(CAST(o_totalprice AS DECIMAL(15,2)) * 0.19::DECIMAL(3,2), 2) AS DOUBLE) AS tax FROM orders""")
+@query("""SELECT o_orderkey, round(CASE WHEN o_totalprice > 0 AND date_diff('day', o_orderdate, TIMESTAMP '2001-12-31') > 0 THEN o_totalprice * 0.145 * (date_diff('day', o_orderdate, TIMESTAMP '2001-12-31') / 365) ELSE 0 END, 6) AS interest, CAST(round(CAST(o_totalprice AS DECIMAL(15,2)) * 0.19::DECIMAL(3,2), 2) AS DOUBLE) AS tax FROM orders""")
 def order_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = F.datediff(F.lit("2001-12-31").cast("date"), "o_orderdate")
     owed = finance.interest(F.col("o_totalprice"), F.lit(14.5), days, 9)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(owed, 2).alias("interest"), finance.tax(F.col("o_totalprice"), F.lit(19)).alias("tax"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(owed, 6).alias("interest"), finance.tax(F.col("o_totalprice"), F.lit(19)).alias("tax"))
 
 
 @query("""SELECT o_orderkey, CAST(floor(date_diff('day', o_orderdate, TIMESTAMP '2001-12-31') / 365.25) AS BIGINT) AS age, round(floor(date_diff('day', o_orderdate, TIMESTAMP '2001-12-31') / 365.25 * 10) / 10, 1) AS years, CASE WHEN date_diff('day', TIMESTAMP '2000-01-01', o_orderdate) < 0 THEN 'overdue' WHEN date_diff('day', TIMESTAMP '2000-01-01', o_orderdate) <= 3 THEN 'critical' WHEN date_diff('day', TIMESTAMP '2000-01-01', o_orderdate) <= 7 THEN 'urgent' WHEN date_diff('day', TIMESTAMP '2000-01-01', o_orderdate) <= 15 THEN 'soon' ELSE 'normal' END AS urgency FROM orders""")
