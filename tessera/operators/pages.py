@@ -217,3 +217,44 @@ def markdown_tables(html: Column) -> Column:
         return F.concat_ws("\n", F.lit("[TABLE]"), F.get(lines, F.lit(0)), rule, F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n"), F.lit("[/TABLE]"))
 
     return F.transform(F.filter(F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), 1), rows), lambda t: F.size(t) > 0), written)
+
+
+def meta_of(html: Column, name: str) -> Column:
+    """The content of a meta element by its name or property, whichever order its attributes have."""
+    quoted = r"""["']([^"'>]*)["']"""
+    first = F.regexp_extract(html, rf"""(?is)<meta[^>]*?(?:name|property)\s*=\s*["']{name}["'][^>]*?content\s*=\s*{quoted}""", 1)
+    second = F.regexp_extract(html, rf"""(?is)<meta[^>]*?content\s*=\s*{quoted}[^>]*?(?:name|property)\s*=\s*["']{name}["']""", 1)
+    return F.nullif(F.trim(F.when(first != "", first).otherwise(second)), F.lit(""))
+
+
+def published_on(html: Column) -> Column:
+    """The day a page says it was published: meta elements, then structured data, then a time element; null if none can be read."""
+    said = F.coalesce(
+        meta_of(html, "article:published_time"),
+        meta_of(html, "date"),
+        F.nullif(F.regexp_extract(html, r'"datePublished"\s*:\s*"([^"]+)"', 1), F.lit("")),
+        F.nullif(F.regexp_extract(html, r"""(?i)<time[^>]*\sdatetime\s*=\s*["']([^"']+)""", 1), F.lit("")),
+    )
+    return F.try_to_date(F.substring(said, 1, 10), "yyyy-MM-dd")
+
+
+def structured_data(html: Column) -> Column:
+    """The JSON-LD blocks of a page, as they stand."""
+    return F.transform(F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1), F.trim)
+
+
+def garbled(text: Column, least: float = 0.4, sample: int = 500) -> Column:
+    """Whether too few of the characters at the head, in the middle and at the tail are letters or blanks; false for an empty text."""
+    n = F.length(text)
+    part = F.concat(F.substring(text, 1, sample), F.substr(text, F.greatest(F.floor(n / 2).cast("int"), F.lit(1)), F.lit(sample)), F.right(text, F.lit(sample)))
+    good = F.length(F.regexp_replace(part, r"[^\p{L}\s]", ""))
+    return F.coalesce((n > 0) & (good / F.length(part) < least), F.lit(False))
+
+
+def mined_affix(pages: DataFrame, least: int = 4) -> DataFrame:
+    """host, prefix: the longest beginning that all paths of a host share, of at least so many characters.
+
+    The smallest and the largest path of a host share what all of them share."""
+    by = pages.select(host_of("url").alias("host"), path_of("url").alias("path")).groupBy("host").agg(F.min("path").alias("a"), F.max("path").alias("b"))
+    same = F.filter(F.sequence(F.lit(0), F.least(F.length("a"), F.length("b"))), lambda i: F.substr("a", F.lit(1), i) == F.substr("b", F.lit(1), i))
+    return by.select("host", F.substr("a", F.lit(1), F.array_max(same)).alias("prefix")).filter(F.length("prefix") >= least)

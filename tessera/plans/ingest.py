@@ -126,3 +126,47 @@ def saturated_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(text.tokens("text"), retrieval.is_word("the"))).alias("tf"), F.length("text").alias("n"))
     mean = told.agg(F.avg("n")).first()[0] or 1.0
     return told.filter("tf > 0").select("doc_id", F.round(F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n") / mean)), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(25)
+
+
+@query(r"""SELECT doc_id, coalesce(length(text) > 0 AND length(regexp_replace(p, '[^\p{L}\s]', '', 'g')) / length(p) < 0.6, false) AS garbled FROM (SELECT doc_id, text, substr(text, 1, 500) || substr(text, greatest(CAST(floor(length(text) / 2) AS INTEGER), 1), 500) || right(text, 500) AS p FROM documents)""")
+def garbled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", pages.garbled(F.col("text"), 0.6).alias("garbled"))
+
+
+@query()
+def shared_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.mined_affix(table(spark, sf_dir, "pages"), 2)
+
+
+@query()
+def page_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    return table(spark, sf_dir, "pages").select("page_id", pages.published_on(html).alias("published"), pages.meta_of(html, "description").alias("description"), F.size(pages.structured_data(html)).alias("n_blocks"))
+
+
+@query("""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT count(*) AS clusters, CAST(sum(n) AS BIGINT) AS members, round(avg(n), 4) AS mean, max(n) AS largest, min(n) AS smallest, count(*) FILTER (WHERE n < 45) AS small FROM c""")
+def cluster_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return sizes.agg(F.count("*").alias("clusters"), F.sum("n").alias("members"), F.round(F.avg("n"), 4).alias("mean"), F.max("n").alias("largest"), F.min("n").alias("smallest"), F.count_if(F.col("n") < 45).alias("small"))
+
+
+@query("""SELECT count(*) AS documents, count(vec_id) AS embedded, round(100.0 * count(vec_id) / count(*), 4) AS coverage, count(*) FILTER (WHERE quality IS NOT NULL AND vec_id IS NOT NULL) AS both_known FROM documents d LEFT JOIN embeddings ON vec_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""")
+def embedding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("v"))
+    joined = table(spark, sf_dir, "documents").select("doc_id").join(vectors, "doc_id", "left").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return joined.agg(F.count("*").alias("documents"), F.count("v").alias("embedded"), F.round(100.0 * F.count("v") / F.count("*"), 4).alias("coverage"), F.count_if(F.col("v") & F.col("quality").isNotNull()).alias("both_known"))
+
+
+@query("""SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type LIKE '_iew') AS views, count(*) FILTER (WHERE event_type IN ('error', 'signup')) AS watched, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY 1 HAVING count(*) FILTER (WHERE event_type = 'error') > 0""")
+def security_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    by = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(kind.like("_iew")).alias("views"), F.count_if(kind.isin("error", "signup")).alias("watched"), F.count_distinct(F.to_date("ts")).alias("days"), F.count_if(kind == "error").alias("errors"))
+    return by.filter("errors > 0").drop("errors")
+
+
+@query(r"""WITH m AS (SELECT doc_id, text, 0.75::DOUBLE AS similarity FROM documents WHERE length(text) > 100 AND regexp_matches(lower(strip_accents(text)), '(^|[^a-z])the[^a-z]+and([^a-z]|$)')) SELECT doc_id, similarity FROM m ORDER BY doc_id LIMIT 15""")
+def article_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that hold a phrase whatever its accents and case, long enough to say something."""
+    plain = F.translate(F.lower("text"), "àâäáãåçéèêëíìîïñóòôöõúùûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    hit = table(spark, sf_dir, "documents").filter(F.length("text") > 100).filter(plain.rlike(r"(^|[^a-z])the[^a-z]+and([^a-z]|$)"))
+    return hit.select("doc_id", F.lit(0.75).alias("similarity")).orderBy("doc_id").limit(15)
