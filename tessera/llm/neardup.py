@@ -4,7 +4,7 @@
    and HASHES minimum hashes. Texts with equal sets form a class; from here on its
    smallest id stands for it, so exact copies never meet again.
 2. Candidates: BANDS bands of ROWS hashes; two texts at similarity 0.8 share no
-   band with probability 1.3e-7. Buckets of one text are dropped.
+   band with probability 2e-5 (at 0.85: 7e-9), two at 0.3 share one with 0.004. Buckets of one text are dropped.
 3. Links: all pairs of a bucket are never listed. A round takes one leader a bucket
    and pairs it with the members that are not yet in its component; linked ones
    join it. A leader is then done with its bucket (it has met every member or
@@ -12,6 +12,7 @@
    done. When the pairs left between components are few beside the rows, or after
    ROUNDS rounds, those that are left are all tried, so no link that matters is
    passed over, whatever a bucket's size.
+   Pairs whose sets differ too much in size are no candidates.
 4. Verification: signatures of a pair are compared a batch at a time; after each
    the posterior probability (uniform prior) that the similarity reaches the
    threshold is looked up, and below `miss` the pair is dropped. Survivors are
@@ -26,6 +27,7 @@ count as one document. A null id is its own (null) component and is kept.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +39,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import picked, slices, staged, table
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 59, 8
 HASHES = BANDS * ROWS
 BATCH = 20
 MISS = 1e-9
 ROUNDS = 6
+#: Turns of both stars between rounds; what they leave apart costs pairs, not links.
+TURNS = 2
+#: Turns of both stars between rounds; what they leave apart costs pairs, not links.
+TURNS = 2
+#: Bands that the first rounds look at. Most copies meet in a few bands, and what has become one component is not paired again in the others.
+OPENED = (3, 12)
 BLOCK = 1 << 15
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -149,10 +157,11 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, held binary")
 
 
+@functools.cache
 def least_matches(threshold: float, miss: float = MISS) -> np.ndarray:
     """For each batch of hashes compared: the fewest matches at which the posterior probability
     of a similarity of at least the threshold is not below `miss`."""
-    s = (np.arange(20_000) + 0.5) / 20_000
+    s = (np.arange(2_000) + 0.5) / 2_000
     match = s + (1 - s) / 256  # equal bytes of unequal hashes
     high = s >= threshold
     out = []
@@ -204,23 +213,29 @@ def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) for each node of the links (a, b): the smallest node reachable.
+def starred(edges: DataFrame) -> DataFrame:
+    """edges (u, v), v < u, after a large and a small star: each halves the distances to the smallest node or better.
 
-    Alternating large and small stars: each halves the distances or better, and a
-    node's neighbours are only ever reduced by min, never gathered.
+    A node's neighbours are only ever reduced by min, never gathered.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
-    edges = staged(edges, "links")
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+    lower = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(lower, "u")
+    return staged(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "links")
+
+
+def edges_of(links: DataFrame) -> DataFrame:
+    return links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) for each node of the links (a, b): the smallest node reachable."""
+    edges = staged(edges_of(links), "links")
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u")
-        edges = staged(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "links")
+        edges = starred(edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
@@ -230,34 +245,37 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def linked(buckets: DataFrame, marks: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """(node, label) of the components that links inside buckets (bucket, doc_id) make."""
-    spark = buckets.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, label long")
+    """Links (a, b) inside buckets (bucket, doc_id, n), enough of them to make the components whole.
+
+    Between rounds labels need only be right, not final: a node's label is always in its component.
+    """
+    edges = buckets.sparkSession.createDataFrame([], "u long, v long")
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     for turn in range(ROUNDS + 1):
-        now = buckets.join(labels, buckets["doc_id"] == labels["node"], "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-        sizes = now.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count("*").alias("labels")).filter("labels > 1")
-        open_ = staged(now.join(sizes.select("bucket"), "bucket", "left_semi"), "open")
-        rows, left = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
+        labels = edges.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("label"))
+        now = buckets.join(labels, "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("label", "doc_id").alias("label")) if turn else buckets.withColumn("label", F.col("doc_id"))
+        sizes = now.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("own"), F.count("*").alias("labels")).filter("labels > 1")
+        open_ = staged(now.join(sizes, "bucket").select("bucket", "doc_id", "n", "label", "rows", "own"), "open")
+        rows, left = open_.agg(F.count("*"), F.sum((F.col("rows") - F.col("own") / F.col("rows")) / 2)).first()
         if not rows:
-            return labels
+            break
         last = turn == ROUNDS or left <= 2 * rows
         if last:
-            other = open_.select("bucket", F.col("doc_id").alias("b"), F.col("label").alias("other"))
-            pairs = open_.withColumnRenamed("doc_id", "a").join(other, "bucket").filter("a < b and label != other").select("a", "b").distinct()
+            other = open_.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+            pairs = open_.withColumnRenamed("doc_id", "a").join(other, "bucket").filter("a < b and label != other").filter(fits).select("a", "b").distinct()
         else:
-            # Round 0 takes the smallest id, often the text that others were copied from; later rounds any.
-            order = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-            leaders = open_.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("a"), F.col("label").alias("other"))).alias("l")).select("bucket", "l.a", "l.other")
+            # The smallest component's: buckets of one group then choose alike. In it the smallest id first, often the text that others were copied from.
+            order = F.struct("label", F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn)))
+            leaders = open_.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("a"), F.col("label").alias("other"), F.col("n").alias("m"))).alias("l")).select("bucket", "l.a", "l.other", "l.m")
             met = open_.join(leaders, "bucket")
-            pairs = met.filter("doc_id != a and label != other").select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-        found = confirmed(survivors(pairs, marks, percent), held, percent)
-        links = staged(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found), "found")
-        labels = components(links)
+            pairs = met.filter("doc_id != a and label != other").filter(fits).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
+            buckets = met.filter("doc_id != a").select("bucket", "doc_id", "n")
+        edges = staged(edges.unionByName(edges_of(confirmed(survivors(pairs, marks, percent), held, percent))).distinct(), "found")
         if last:
-            return labels
-        buckets = met.filter("doc_id != a").select("bucket", "doc_id")
-    return labels
+            break
+        for _ in range(TURNS):
+            edges = starred(edges)
+    return edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -268,15 +286,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("first"))
     mine = staged(some.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "first").distinct(), "classes")
     whole = some.join(classes.select(F.col("first").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
-    spread = whole.select("doc_id", F.explode("bands").alias("bucket"))
+    # Sets so small that one shingle more is too many link with equal sets only.
+    spread = whole.filter(F.col("n_shingles") * 100 >= (F.col("n_shingles") + 1) * percent).select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("bucket")
     buckets = staged(spread.join(shared, "bucket", "left_semi"), "buckets")
     ids = buckets.select("doc_id").distinct()
     marks = staged(some.select("doc_id", "signature").join(ids, "doc_id", "left_semi"), "signatures")
     held = staged(sets(chosen.join(ids, "doc_id", "left_semi"), words), "sets")
-    labels = linked(buckets, marks, held, percent)
+    links = linked(buckets, marks, held, percent)
     # An id that was given with several texts is in several classes: its first ones join them.
-    joined = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(mine.filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
+    joined = components(links.unionByName(mine.filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
     told = made.select("doc_id", "n_shingles").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("label", "doc_id")
     return told.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
