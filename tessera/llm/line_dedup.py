@@ -1,6 +1,14 @@
-"""Removal of repeated passages by content-defined chunks of lines.
+"""Removal of repeated passages of two or more lines.
 
-Lines are hashed; a rolling hash over the hashes of LINES neighbouring lines
+A passage begins and ends with a line of text. op3_lines and the pipeline (levels=None)
+compare every two neighbouring lines of text, with the blank lines between them: a
+longer passage recurs where all its neighbours do, so that the spans of recurring
+neighbours, taken together, are all recurring passages, whole to their edges. A
+copy in the same document counts where it does not overlap the first. Blank lines around a
+passage stay.
+
+With a number of levels, content-defined chunks stand for the passages, and those
+that no chunk fits stay: lines are hashed; a rolling hash over the hashes of LINES neighbouring lines
 chooses where chunks begin, so that boundaries move with the text and not with
 its position. LEVELS such rolling hashes, apart by their seeds, cut each text in
 as many ways, as a short passage may miss the boundaries of one. A chunk of
@@ -14,7 +22,7 @@ hashes, not by a hash of these. Every removed line is still in the document with
 the smallest id that has its chunk, or, where another chunk takes it from there, in
 one with a smaller id still.
 
-DataFrame functions only. Chunks are counted before they are shuffled, so that a
+DataFrame functions only. Chunks (or neighbours) are counted before they are shuffled, so that a
 passage that a third of all documents share sends one row a task; occurrences
 are joined to the repeated chunks by key, where adaptive execution splits a hot key.
 
@@ -60,10 +68,22 @@ def chunks(hashed: DataFrame, levels: int = LEVELS) -> DataFrame:
     made = [F.filter(spans(starts(F.col("h"), level)), lambda s: s["high"] - s["low"] >= LEAST_LINES) for level in range(levels)]
     spread = hashed.select("doc_id", "text_hash", "h", F.explode(F.array_distinct(F.concat(*made))).alias("s"))
     cut = spread.select("doc_id", "text_hash", F.slice("h", F.col("s.low") + 1, F.col("s.high") - F.col("s.low")).alias("hashes"), "s.low", "s.high")
-    whole = cut.filter(F.size(F.filter("hashes", lambda x: x != 0)) >= LEAST_LINES)
+    return keyed(cut.filter(F.size(F.filter("hashes", lambda x: x != 0)) >= LEAST_LINES))
+
+
+def neighbours(hashed: DataFrame) -> DataFrame:
+    """As chunks, but of each two neighbouring lines of text and the blank lines between them."""
+    at = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.col("h")[i] != 0)
+    pair = lambda a, b: F.struct(F.slice("h", a + 1, b - a + 1).alias("hashes"), a.alias("low"), (b + 1).alias("high"))
+    both = F.zip_with(at, F.slice(at, F.lit(2), F.size(at)), lambda a, b: F.when(b.isNotNull(), pair(a, b)))
+    spread = hashed.select("doc_id", "text_hash", F.explode(both).alias("s")).filter("s is not null")
+    return keyed(spread.select("doc_id", "text_hash", "s.hashes", "s.low", "s.high"))
+
+
+def keyed(cut: DataFrame) -> DataFrame:
     # Ordered as (doc_id, low), in one number, which hash aggregation can hold.
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("low")
-    return whole.withColumns({"key": F.xxhash64("hashes"), "place": place.cast("decimal(38,0)")})
+    return cut.withColumns({"key": F.xxhash64("hashes"), "place": place.cast("decimal(38,0)")})
 
 
 def clashes(docs: DataFrame) -> DataFrame:
@@ -73,24 +93,28 @@ def clashes(docs: DataFrame) -> DataFrame:
     return distinct.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1 or hash = 0").select("hash")
 
 
-def kept_ranges(docs: DataFrame, levels: int) -> DataFrame:
+def kept_ranges(docs: DataFrame, levels: int | None) -> DataFrame:
     """doc_id, text_hash, ranges of lines to keep and where the last begins, for texts that lose lines."""
     hashed = docs.filter("doc_id is not null").select("doc_id", "text_hash", line_hashes(F.col("text")).alias("h"))
-    found = staged(chunks(hashed.filter(F.size("h") > 1), levels), "chunks")
+    several = hashed.filter(F.size("h") > 1)
+    found = staged(neighbours(several) if levels is None else chunks(several, levels), "chunks")
     repeated = found.groupBy("key", "hashes").agg(F.min("place").alias("owner"), F.count("*").alias("n")).filter("n > 1").drop("n")
     bad = staged(clashes(docs), "clashes")
     if not bad.isEmpty():
         wrong = repeated.select("key", "hashes", F.explode("hashes").alias("hash")).join(bad, "hash", "left_semi").select("key", "hashes").distinct()
         repeated = repeated.join(wrong, ["key", "hashes"], "left_anti")
-    gone = found.join(repeated, ["key", "hashes"]).filter("place != owner").select("doc_id", "text_hash", "low", "high")
+    copy = "place - owner >= high - low" if levels is None else "place != owner"
+    gone = found.join(repeated, ["key", "hashes"]).filter(copy).select("doc_id", "text_hash", "low", "high")
     before = Window.partitionBy("doc_id", "text_hash").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
     reached = gone.withColumn("reached", F.coalesce(F.max("high").over(before), F.lit(0)))
     gap = F.when(F.col("low") > F.col("reached"), F.struct(F.col("reached").alias("low"), F.col("low").alias("high")))
     return reached.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(gap)).alias("ranges"), F.max("high").alias("tail"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int = LEVELS) -> DataFrame:
-    """doc_id, text without repeated passages, n_removed (lines that went), and docs' other columns under their names."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int | None = LEVELS) -> DataFrame:
+    """doc_id, text without repeated passages, n_removed (lines that went), and docs' other columns under their names.
+
+    levels=None finds every passage, a number only those that as many ways of cutting find."""
     more = {f"more_{i}": c for i, c in enumerate(docs.columns) if c not in (id_col, text_col)}
     chosen = picked(docs, doc_id=id_col, text=text_col, **more).withColumn("text_hash", F.xxhash64("text"))
     ranges = kept_ranges(chosen.select("doc_id", "text", "text_hash"), levels)
@@ -104,4 +128,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), levels=None)

@@ -92,3 +92,50 @@ def test_starts(spark, text):
     df = spark.createDataFrame([(text,)], "text string").select(L.line_hashes(F.col("text")).alias("h")).select("h", L.starts(F.col("h"), 0).alias("at"))
     row = df.first()
     assert row["at"][0] == 0 and row["at"][-1] == len(row["h"])
+
+
+def every_run(docs):
+    """docs: {doc_id: text}. What each keeps when all recurring runs of any length go, from the text line they begin with to the one they end with."""
+    runs, owners = [], {}
+    for i, text in docs.items():
+        lines = [x if x.strip(" ") else "" for x in text.split("\n")]
+        for a in range(len(lines)):
+            for b in range(a + 2, len(lines) + 1):
+                if lines[a] and lines[b - 1]:
+                    run = tuple(lines[a:b])
+                    runs.append((i, a, b, run))
+                    owners.setdefault(run, (i, a))
+    gone = {(i, k) for i, a, b, run in runs if owners[run][0] != i or owners[run][1] + b - a <= a for k in range(a, b)}
+    return {i: "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in gone) for i, text in docs.items()}
+
+
+def test_every_run_against_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    passages = [[rng.choice(["", " ", f"line {p} {k}"]) if 0 < k < n - 1 else f"line {p} {k}" for k in range(n)] for p in range(8) for n in [rng.randint(2, 7)]]
+    docs = {-3: "same\n" * 5 + "a\nb\na\nb", -2: "x\n\ny\n", -1: "z\nx\n \ny"}
+    for i in range(60):
+        lines = []
+        for _ in range(rng.randint(0, 5)):
+            lines += rng.choice(passages) if rng.random() < 0.5 else [f"own {i} {rng.random()}"] * rng.randint(1, 3) + [""] * rng.randint(0, 2)
+        docs[i] = "\n".join(lines)
+    df = spark.createDataFrame([(i, t) for i, t in docs.items()], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in L.remove_repeats(df, levels=None).collect()}
+    want = every_run(docs)
+    assert got == want and want[-3] == "same\nsame\n" + "a\nb" and want[-1] == "z"
+
+
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_query_finds_short_passages_whole(spark, tmp_path, n):
+    rows = [(10 * p + d, "\n".join([f"before {p} {d}", *[f"passage {p} line {k}" for k in range(n)], f"after {p} {d}"])) for p in range(40) for d in range(2)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in L.op3_lines(spark, str(tmp_path)).collect()}
+    assert all(got[10 * p].n_removed == 0 and got[10 * p + 1].text == f"before {p} 1\nafter {p} 1" and got[10 * p + 1].n_removed == n for p in range(40))
+
+
+def test_stage_drops_documents_of_which_blank_lines_are_left(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "a\nb", 3), (2, "\na\nb\n \n", 7), (3, "\n", 1)], "doc_id long, text string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.lines(spark, df, "").collect()) == [1, 3]
