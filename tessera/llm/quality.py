@@ -2,8 +2,7 @@
 
 Two generative models, bags of hashed word unigrams and bigrams: of raw text,
 counted over every document, and of target text, counted over labelled rows of
-good quality that are not toxic. (Toxic rows of good quality are left out of the
-models' fit and of the bar: this filter judges quality alone.) A document's log importance weight is its mean
+good quality that are not toxic. A document's log importance weight is its mean
 log ratio of the two models times a nominal length, so that its own length
 decides nothing; few n-grams are drawn towards the usual ratio of target text.
 Gumbel noise, drawn from the document's id and the seed, is added, and the k
@@ -14,13 +13,21 @@ k is the number of documents whose weight reaches a bar. The bar comes from
 labelled rows held out of the target model: it is the value at which the share
 of bad rows let through plus COST times the share of good rows lost is least.
 
+Toxic text is rejected by a second model, whatever its quality: in how many labelled
+toxic rows each n-gram occurs, against the labelled rows that are not toxic. A few
+insults move the mean of a long text too little, so a document's toxicity is the largest
+sum of log ratios over all windows of WINDOW words of its whole text. Its bar comes from
+held-out rows in the same way (toxic ones against good ones), and documents
+at that bar or above take no part in the draw.
+
 Only labelled rows are sampled, by hash, FIT_ROWS of them at most. Raw counts,
 weights and the cut cover every document; the cut is found from histograms of
 sums, so no list of documents reaches the driver.
 
 A null or empty text has no n-grams and the usual weight of target text.
 Repeated rows of an id have one noise and share its fate unless their texts
-differ; rows of a null id share one noise. Without labels of both kinds nothing is rejected.
+differ; rows of a null id share one noise. Without labels of both kinds nothing is rejected;
+without toxic ones nothing is toxic.
 """
 
 from __future__ import annotations
@@ -38,6 +45,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import picked, slices, staged, table
 
 BUCKETS = 1 << 16
+#: Buckets of the toxic model are so many times as many: a single n-gram decides there, and one that shares its bucket must be rare.
+FINER = 16
+WINDOW = 32
 FIT_ROWS = 20_000
 SMOOTHING = 1.0
 NOMINAL = 512
@@ -50,8 +60,8 @@ PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SIGNS = r"([^\pL\pN\s]+)"
 
 
-def buckets(texts: pa.Array, size: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """The hashed unigrams and bigrams of the texts, and which text each belongs to."""
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' words as hashes, which text each belongs to, and the hash of each word and the next."""
     spaced = pc.replace_substring_regex(pc.fill_null(texts, "").cast(pa.large_string()), SIGNS, r" \1 ")
     split = pc.ascii_split_whitespace(spaced)
     coded = split.flatten().dictionary_encode()
@@ -63,8 +73,14 @@ def buckets(texts: pa.Array, size: int = BUCKETS) -> tuple[np.ndarray, np.ndarra
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
     h, of = (hashes[codes[real]], of[real]) if distinct else (np.zeros(0, np.uint64), of[:0])
     pairs = (h[:-1] * PRIME + h[1:]) * MIX if len(h) else h
+    return h, of, pairs >> np.uint64(20)
+
+
+def buckets(texts: pa.Array, size: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed unigrams and bigrams of the texts, and which text each belongs to."""
+    h, of, pairs = hashed(texts)
     inside = of[:-1] == of[1:]
-    both = np.concatenate([h, (pairs >> np.uint64(20))[inside]])
+    both = np.concatenate([h, pairs[inside]])
     return (both % np.uint64(size)).astype(np.int64), np.concatenate([of, of[:-1][inside]])
 
 
@@ -85,6 +101,47 @@ def counted(docs: DataFrame, size: int = BUCKETS) -> np.ndarray:
     return out
 
 
+def counted_rows(fit: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """In how many toxic rows of fit (text, toxic) each bucket occurs, and in how many others."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * size, np.int64)
+        for batch in slices(batches, "text"):
+            at, of = buckets(batch.column("text"), size)
+            of, at = np.divmod(np.unique(of * size + at), size)
+            total += np.bincount(at + size * batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)[of], minlength=2 * size)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there])], ["bucket", "n"])
+
+    found = fit.select("text", "toxic").mapInArrow(rows, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(2 * size, np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return out[size:], out[:size]
+
+
+def toxic_ratios(toxic: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The log ratio by bucket at two standard errors below its count in toxic rows; 0 where that is no sign of toxic text."""
+    sure = np.maximum(toxic - 2 * np.sqrt(toxic), 0)
+    return np.maximum(np.log(sure + SMOOTHING) - np.log(others * (toxic.sum() / others.sum()) + SMOOTHING), 0).astype(np.float32)
+
+
+def worst(texts: pa.Array, ratios: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Each text's largest sum of log ratios over the windows of that many words; 0 without words."""
+    h, of, pairs = hashed(texts)
+    out = np.zeros(len(texts))
+    if not len(h):
+        return out
+    size = np.uint64(len(ratios))
+    value = ratios[(h % size).astype(np.int64)].astype(float)
+    value[1:] += np.where(of[1:] == of[:-1], ratios[(pairs % size).astype(np.int64)], 0.0)
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    begins = np.repeat(first, np.diff(np.append(first, len(h))))
+    total = np.append(0.0, np.cumsum(value))
+    place = np.arange(len(h))
+    out[of[first]] = np.maximum.reduceat(total[1:] - total[np.maximum(begins, place + 1 - window)], first)
+    return out
+
+
 def log_ratios(target: np.ndarray, raw: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
     """log p_target / p_raw by bucket; both are smoothed at the size of the smaller model."""
     size = min(target.sum(), raw.sum())
@@ -98,17 +155,18 @@ def sums(texts: pa.Array, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.bincount(of, ratios[at], len(texts)), np.bincount(of, minlength=len(texts))
 
 
-def weighted(docs: DataFrame, ratios: np.ndarray, usual: float, nominal: int, kept: list[str]) -> DataFrame:
-    """The kept columns of docs, n_grams and log_weight of their text."""
+def weighted(docs: DataFrame, ratios: np.ndarray, toxic: np.ndarray | None, usual: float, nominal: int, kept: list[str]) -> DataFrame:
+    """The kept columns of docs, n_grams, log_weight and toxicity (0 without toxic ratios) of their text."""
     schema = ", ".join(f"`{n}` {dict(docs.dtypes)[n]}" for n in kept)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             total, n = sums(batch.column("text"), ratios)
             weight = nominal * (total + PRIOR_GRAMS * usual) / (n + PRIOR_GRAMS)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(weight)], [*kept, "n_grams", "log_weight"])
+            bad = np.zeros(len(n)) if toxic is None else worst(batch.column("text"), toxic)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(n, pa.int64()), pa.array(weight), pa.array(bad)], [*kept, "n_grams", "log_weight", "toxicity"])
 
-    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(rows, f"{schema}, n_grams long, log_weight double")
+    return docs.select(*dict.fromkeys([*kept, "text"])).mapInArrow(rows, f"{schema}, n_grams long, log_weight double, toxicity double")
 
 
 def best_bar(good: np.ndarray, bad: np.ndarray, cost: float = COST) -> float:
@@ -159,14 +217,19 @@ class Sampler:
     """What is needed to weigh a document and to tell whether it is in the sample."""
 
     ratios: np.ndarray
+    toxic: np.ndarray | None
     usual: float
     nominal: int
     seed: int
+    toxic_bar: float = np.inf
     cut: float = -np.inf
 
     def keyed(self, docs: DataFrame, kept: list[str]) -> DataFrame:
-        """The kept columns of docs (doc_id, text, more) with n_grams, log_weight and key."""
-        return weighted(docs, self.ratios, self.usual, self.nominal, kept).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), self.seed))
+        """The kept columns of docs (doc_id, text, more) with n_grams, log_weight, toxicity and key."""
+        return weighted(docs, self.ratios, self.toxic, self.usual, self.nominal, kept).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), self.seed))
+
+    def sample(self, keyed: DataFrame) -> DataFrame:
+        return keyed.filter((F.col("key") >= F.lit(self.cut)) & (F.col("toxicity") < F.lit(self.toxic_bar)))
 
 
 def fitted(
@@ -183,38 +246,45 @@ def fitted(
     fit_rows: int = FIT_ROWS,
     seed: int = SEED,
 ) -> tuple[Sampler, DataFrame]:
-    """The sampler for docs, and each row's doc_id, n_grams, log_weight and key."""
+    """The sampler for docs, and each row's doc_id, n_grams, log_weight, toxicity and key."""
     chosen = picked(docs, doc_id=id_col, text=text_col)
-    told = picked(labels, doc_id=label_id_col, quality=quality_col, toxic=toxic_col).filter("doc_id is not null and quality is not null")
+    told = picked(labels, doc_id=label_id_col, quality=quality_col, toxic=toxic_col).filter("doc_id is not null and (quality is not null or toxic is not null)")
     told = told.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     draw = F.xxhash64(F.lit(seed), "doc_id")
     some = told.withColumn("draw", draw).orderBy("draw", "doc_id").limit(fit_rows)
-    some = some.filter("quality = 0 or toxic = 0").select("doc_id", (F.col("quality") == 1).alias("good"), (F.pmod("draw", F.lit(4)) == 0).alias("held"))
+    kinds = [F.coalesce(x, F.lit(False)).alias(n) for n, x in (("good", F.expr("quality = 1 and toxic = 0")), ("bad", F.expr("quality = 0")), ("toxic", F.expr("toxic <> 0")))]
+    some = some.select("doc_id", *kinds, (F.pmod("draw", F.lit(4)) == 0).alias("held"))
     # At most fit_rows ids of 24 bytes.
     fit = staged(chosen.join(F.broadcast(some), "doc_id"), "labelled")
     ratios = log_ratios(counted(fit.filter("good and not held"), size), counted(chosen, size))
-    held = weighted(fit.filter("not good or held"), ratios, 0.0, nominal, ["doc_id", "good"]).groupBy("doc_id", "good").agg(F.max("log_weight").alias("w"), F.max("n_grams").alias("n")).collect()
+    in_toxic, in_others = counted_rows(fit.filter("not held"), size * FINER)
+    toxic = toxic_ratios(in_toxic, in_others) if in_toxic.any() and in_others.any() else None
+    held = weighted(fit.filter("bad or held"), ratios, toxic, 0.0, nominal, ["doc_id", "good", "bad", "toxic", "held"]).groupBy("doc_id", "good", "bad", "toxic", "held")
+    held = held.agg(F.max("log_weight").alias("w"), F.max("n_grams").alias("n"), F.max("toxicity").alias("toxicity")).collect()
     mean = np.asarray([r["w"] / nominal for r in held])
-    good, n = np.asarray([r["good"] for r in held], bool), np.asarray([r["n"] for r in held])
+    good, bad, out = (np.asarray([r[x] for r in held], bool) for x in ("good", "bad", "held"))
+    good, n = good & out, np.asarray([r["n"] for r in held])
     usual = float(np.median(mean[good])) if good.any() else 0.0
     weights = nominal * (mean + usual * PRIOR_GRAMS / (n + PRIOR_GRAMS))
-    bar = best_bar(weights[good], weights[~good])
-    sampler = Sampler(ratios, usual, nominal, seed)
+    bar = best_bar(weights[good], weights[bad])
+    toxicity, is_toxic = np.asarray([r["toxicity"] for r in held]), np.asarray([r["toxic"] for r in held], bool)
+    sampler = Sampler(ratios, toxic, usual, nominal, seed, toxic_bar=-best_bar(-toxicity[good], -toxicity[is_toxic & out]) if toxic is not None else np.inf)
     scored = staged(sampler.keyed(chosen, ["doc_id"]), "weights")
-    sampler.cut = cut_of(scored, scored.filter(F.col("log_weight") >= F.lit(bar)).count() if k is None else k)
+    drawn = sampler.sample(scored)
+    sampler.cut = cut_of(drawn, drawn.filter(F.col("log_weight") >= F.lit(bar)).count() if k is None else k)
     return sampler, scored
 
 
 def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The sample: doc_id, n_grams, log_weight, key; k rows, or those that the bar gives. Options: those of fitted()."""
+    """The sample: doc_id, n_grams, log_weight, key; k rows (all that are not toxic, if these are fewer), or those that the bar gives. Options: those of fitted()."""
     sampler, scored = fitted(docs, labels, **options)
-    return scored.filter(F.col("key") >= F.lit(sampler.cut))
+    return sampler.sample(scored).drop("toxicity")
 
 
 def sampled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The sample as rows of docs, whose text and doc_id have these names. Weighs each text again, which is cheaper than a join."""
     sampler, _ = fitted(docs, labels)
-    return sampler.keyed(docs, docs.columns).filter(F.col("key") >= F.lit(sampler.cut)).select(*docs.columns)
+    return sampler.sample(sampler.keyed(docs, docs.columns)).select(*docs.columns)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

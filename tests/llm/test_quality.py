@@ -71,3 +71,36 @@ def test_buckets():
     assert of.tolist().count(0) == 3 and of.tolist().count(2) == 1 and of.tolist().count(4) == 5
     assert sorted(at[of == 0].tolist())[0] in at[of == 4].tolist()
     assert Q.best_bar(np.asarray([5.0, 6.0]), np.asarray([1.0, 2.0])) == 3.5
+
+
+def test_toxic_documents_of_good_quality_go(spark):
+    rng = random.Random(6)
+    insults = ["idiotex", "moronex", "scumex"]
+    docs, labels = [], []
+    for i in range(400):
+        words = rng.choices(WORDS, k=rng.randint(30, 1500))
+        toxic = i % 5 == 0
+        if toxic:
+            at = rng.randrange(len(words) - 20)
+            for k in (0, 7, 15):
+                words[at + k] = rng.choice(insults)
+        docs.append((i, " ".join(words)))
+        if i % 2 == 0:
+            labels.append((i, 1, int(toxic)))
+    # Labels of bad quality, too.
+    docs += [(1000 + i, " ".join(w + "$$$" for w in rng.choices(WORDS, k=60))) for i in range(80)]
+    labels += [(1000 + i, 0, 0) for i in range(40)]
+    df = frames(spark, docs, labels)
+    kept = {r.doc_id for r in Q.resample(*df).collect()}
+    clean = {i for i in range(400) if i % 5}
+    assert len(clean & kept) > 0.97 * len(clean) and len(kept - clean) <= 4
+    assert {r.doc_id for r in Q.sampled_documents(*df).collect()} == kept
+    assert not {i for i in range(0, 400, 5)} & {r.doc_id for r in Q.resample(*df, k=100).collect()}
+
+
+def test_worst_window():
+    ratios = np.zeros(1 << 20)
+    at, _ = Q.buckets(pa.array(["bad"]), 1 << 20)
+    ratios[at] = 2.0
+    texts = ["x " * 99 + "bad bad", "bad " + "x " * 30 + "bad", "bad " + "x " * 31 + "bad", "", None, "bad"]
+    assert Q.worst(pa.array(texts), ratios, 32).tolist() == [4.0, 4.0, 2.0, 0.0, 0.0, 2.0]
