@@ -2,7 +2,7 @@
 
 Four base kinds are always reported once their pattern and validator hold:
 email, ip, card (Luhn) and phone. The method adds two kinds: iban, confirmed by
-mod-97, and ssn, which has no checksum and so needs a context word nearby.
+mod-97 at its country's length, and ssn, which has no checksum and so needs a context word nearby.
 Every span has a score: its kind's prior, more for a checksum that holds, more
 for a context word within CONTEXT characters before it. Only added kinds are
 dropped by a low score.
@@ -35,7 +35,14 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}))")
+#: Characters by country, of the IBAN registry.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29,
+    "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -103,11 +110,33 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def ibans(text: str) -> list[Span]:
+    """The candidate is cut to its country's length; for a country that is not in the registry, to each end of a word, the longest first."""
+    found, low = [], 0
+    for m in IBAN.finditer(text):
+        if m.start() < low:
+            continue
+        # Ends of words, by the number of characters up to them.
+        ends, n = {}, 4
+        for at in range(*m.span(2)):
+            if text[at] != " ":
+                n += 1
+                after = text[at + 1 : at + 2]
+                if not (after.isascii() and after.isalnum()):
+                    ends[n] = at + 1
+        known = IBAN_LENGTHS.get(m[1])
+        for n in [known] if known else sorted(ends, reverse=True):
+            if n in ends and mod97(text[m.start() : ends[n]].replace(" ", "")):
+                found.append(("iban", m.start(), ends[n]))
+                low = ends[n]
+                break
+    return found
+
+
 def added_spans(text: str) -> list[Span]:
     if not DIGIT.search(text):
         return []
-    found = [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
-    return found + [("ssn", *m.span()) for m in SSN.finditer(text)]
+    return ibans(text) + [("ssn", *m.span()) for m in SSN.finditer(text)]
 
 
 def score(text: str, span: Span) -> float:

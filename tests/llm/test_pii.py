@@ -54,3 +54,18 @@ def test_query_rows(spark):
     assert (1, 0, 0, "") in by and (2, 0, 0, "") in by and by.count((3, 1, 0, "email:5:20")) == 2 and (None, 0, 1, "ip:0:7") in by
     assert next(r.base_sha256 for r in got if r.doc_id == 1) == empty
     assert pii.pii_spans(docs.limit(0)).count() == 0
+
+
+def test_iban_before_other_words():
+    for text, want in [
+        ("IBAN DE89370400440532013000 BIC COBADEFFXXX", ["DE89370400440532013000"]),
+        ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89370400440532013000 EUR 500", ["DE89370400440532013000"]),
+        ("GB82WEST12345698765432 2024 invoice", ["GB82WEST12345698765432"]),
+        ("DE89370400440532013000 GB82WEST12345698765432", ["DE89370400440532013000", "GB82WEST12345698765432"]),
+        ("AB12 DE89370400440532013000 x", ["DE89370400440532013000"]),
+        ("NO9386011117947, MT84MALT011000012345MTLCAST001S", ["NO9386011117947", "MT84MALT011000012345MTLCAST001S"]),
+        ("DE893704004405320130001", []), ("DE89370400440532013000x", []), ("DE88370400440532013000 BIC", []),
+    ]:
+        assert [text[a:b] for k, a, b in pii.added_spans(text) if k == "iban"] == want, text
+    assert not pii.ibans("AA00 " * 60_000)
