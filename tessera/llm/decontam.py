@@ -17,7 +17,8 @@ the bounds of block-max WAND, each of which is safe:
    the bar or above is retrieved.
 
 A retrieved pair is verified on the words of its passage and the half-windows
-around it: the item's question (its words up to the last sentence) and its
+around it, and, for a part of a longer item, on as many words more on either side as the item
+has there, and a quarter of these: the item's question (its words up to the last sentence) and its
 answer (the last sentence, or the last third of a single one) must both have
 OVERLAP of their word shingles there.
 
@@ -135,11 +136,12 @@ class Index:
     impacts: np.ndarray
     questions: list[tuple[int, np.ndarray]]  # words a shingle (fewer than SHINGLE if the text has fewer), shingles
     answers: list[tuple[int, np.ndarray]]
+    around: list[tuple[int, int]]  # words of the item before the part and after it
 
 
 def build(items: list[tuple[int, str]]) -> Index | None:
     """Index of items; None if none has words."""
-    ids, words, questions, answers = [], [], [], []
+    ids, words, questions, answers, around = [], [], [], [], []
     for item, text in items:
         h, _ = word_hashes(pa.array([text]))
         if not len(h):
@@ -154,11 +156,12 @@ def build(items: list[tuple[int, str]]) -> Index | None:
             words.append(piece)
             questions.append(q)
             answers.append(a)
+            around.append((low, len(h) - low - len(piece)))
     if not ids:
         return None
     # Like lengths share a block: a common word weighs most in short items, whose blocks are then few.
     order = sorted(range(len(ids)), key=lambda k: len(words[k]))
-    ids, words, questions, answers = ([x[k] for k in order] for x in (ids, words, questions, answers))
+    ids, words, questions, answers, around = ([x[k] for k in order] for x in (ids, words, questions, answers, around))
     n = len(ids)
     lengths = np.asarray([len(w) for w in words])
     part = np.repeat(np.arange(n), lengths)
@@ -177,7 +180,7 @@ def build(items: list[tuple[int, str]]) -> Index | None:
     np.maximum.at(block_most, at, impact)
     starts = np.searchsorted(at, np.arange(blocks * len(terms) + 1))
     block_most = block_most.reshape(blocks, len(terms))
-    return Index(np.asarray(ids, np.int64), terms, block_most.max(axis=0), block_most, starts, part % BLOCK, impact, questions, answers)
+    return Index(np.asarray(ids, np.int64), terms, block_most.max(axis=0), block_most, starts, part % BLOCK, impact, questions, answers, around)
 
 
 def retrieve(index: Index, of: np.ndarray, code: np.ndarray, n: int, bar: float = BAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -237,18 +240,20 @@ def matches(index: Index, texts: pa.Array, bar: float = BAR, overlap: float = OV
     of = np.searchsorted(base, passage, "right") - 1
     cache: dict[tuple[int, int, int], np.ndarray] = {}
 
-    def share(r: int, k: int, n: int, part: np.ndarray) -> float:
-        """Of the part's shingles, those in the passage and the half-windows around it; 1 of none."""
+    def share(r: int, k: int, around: tuple[int, int], n: int, part: np.ndarray) -> float:
+        """Of the part's shingles, those in the passage, the half-windows around it and the words of the item's rest; 1 of none."""
         if not len(part):
             return 1.0
-        if (r, k, n) not in cache:
-            low = int(begins[r]) + max(0, k - 1) * HALF
-            cache[r, k, n] = shingles(h[low : min(int(ends[r]), int(begins[r]) + (k + 3) * HALF)], n)
-        return float(np.isin(part, cache[r, k, n]).mean())
+        slack = sum(around) // 4
+        low = max(int(begins[r]), int(begins[r]) + (k - 1) * HALF - (around[0] + slack if around[0] else 0))
+        high = min(int(ends[r]), int(begins[r]) + (k + 3) * HALF + (around[1] + slack if around[1] else 0))
+        if (low, high, n) not in cache:
+            cache[low, high, n] = shingles(h[low:high], n)
+        return float(np.isin(part, cache[low, high, n]).mean())
 
     for p, r, i, s in zip(passage.tolist(), of.tolist(), item.tolist(), score.tolist(), strict=True):
         k = p - int(base[r])
-        q, a = share(r, k, *index.questions[i]), share(r, k, *index.answers[i])
+        q, a = share(r, k, index.around[i], *index.questions[i]), share(r, k, index.around[i], *index.answers[i])
         if q < overlap or a < overlap:
             continue
         key = (r, int(index.items[i]))

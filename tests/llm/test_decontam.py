@@ -69,3 +69,14 @@ def test_parts():
     assert D.parts("Who is it? It is me.") == ("Who is it?", " It is me.")
     assert D.parts("one two three four five six") == ("one two three four", "five six")
     assert D.parts("one") == ("one", "") and D.parts("...") == ("...", "") and D.parts("") == ("", "")
+
+
+def test_long_items(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(900)]
+    say = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    items = [(k, f"{say(20)}? {say(7)}.") for k in range(20)] + [(100 + n, f"{say(n - 10)}? {say(10)}.") for n in (400, 1500)]
+    texts = dict(items)
+    docs = [(1, f"{say(333)} {texts[500]} {say(210)}"), (2, f"{say(100)} {texts[1600]} {say(50)}"), (3, " ".join(texts[500].split()[:200])), (4, say(900)), (5, texts[500])]
+    got = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(1, 500), (2, 1600), (5, 500)}
