@@ -8,11 +8,14 @@ calibrates the probabilities; below SURE the family is unknown, as it is where t
 class of other text wins. A prediction is confirmed when at least SIMILAR of the
 bigrams of one of the family's templates occur in the paragraph.
 
-A paragraph is what line feeds part. One without any licensing word has no feature, so
+A paragraph is a line, and also a run of lines up to a blank one, joined without their comment
+signs, as texts and headers are often wrapped. A joined paragraph is reported if it is confirmed and
+none of its lines is for the same family; it then stands for those of its lines that
+are nearest to that family, under the number of its first line with a licensing word. One without any licensing word has no feature, so
 it always is other text; that is the only reason to pass over a paragraph, and
 whole texts without such a word are passed over at once. DataFrame functions and
-Spark's own ML only; nothing is shuffled but the training rows, so hot sources and
-copies do not matter.
+Spark's own ML only; nothing is shuffled but the training rows and, by a number of
+its own, each text's licence paragraphs, so hot sources and copies do not matter.
 
 A null or empty text has no paragraphs and gives no rows. Repeated rows repeat. Null
 ids are kept.
@@ -98,6 +101,10 @@ OTHERS = (
 )
 
 
+#: Comment signs at a line's begin and end.
+SIGNS_BEFORE, SIGNS_AFTER = r"(?m)^[ \t]*(?:(?:/\*+|\*+/?|//+!?|#+|;+|--+|<!--|%+|dnl\b|REM\b|\(\*)[ \t]*)+|^[ \t]+", r"(?m)[ \t\r]*(?:\*+/|-->|\*\))?[ \t\r]*$"
+
+
 def words_of(text: Column) -> Column:
     spaced = F.regexp_replace(F.lower(text), r"[^a-z0-9.-]+", " ")
     return F.filter(F.transform(F.split(spaced, " "), lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", "")), lambda w: w != "")
@@ -190,8 +197,28 @@ def license_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per licence paragraph: doc_id, paragraph (its number), family, nearest, probability, similarity, confirmed."""
     cue = r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(c) for c in CUES) + r")(?![a-z0-9])"
     chosen = picked(docs, doc_id=id_col, text=text_col).filter(F.col("text").rlike(cue))
-    spread = chosen.select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "paragraph")).filter(F.col("paragraph").rlike(cue))
-    return classified(spread).select("doc_id", F.col("number").alias("paragraph"), "family", "nearest", "probability", "similarity", "confirmed")
+    bare = F.regexp_replace(F.regexp_replace("text", SIGNS_BEFORE, ""), SIGNS_AFTER, "")
+    # Pieces keep the line feeds that end them, which number the lines.
+    pieces = F.split(bare, r"(?<=\n\n)(?!\n)")
+    feeds = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n")))
+    cut = chosen.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("text", "\n").alias("lines"), pieces.alias("pieces")).withColumn("feeds", F.transform("pieces", feeds))
+    line = lambda x, i: F.struct(i.alias("number"), i.alias("low"), (i + 1).alias("high"), F.lit(False).alias("joined"), x.alias("paragraph"))
+
+    def block(x: Column) -> Column:
+        low = F.aggregate(F.slice("feeds", F.lit(1), x["i"]), F.lit(0), lambda n, y: n + y)
+        first = F.array_position(F.transform(F.split(x["piece"], "\n"), lambda y: y.rlike(cue)), F.lit(True)).cast("int") - 1
+        return F.struct((low + first).alias("number"), low.alias("low"), (low + feeds(x["piece"]) + 1).alias("high"), F.lit(True).alias("joined"), F.replace(x["piece"], F.lit("\n"), F.lit(" ")).alias("paragraph"))
+
+    several = F.filter(F.transform("pieces", lambda x, i: F.struct(x.alias("piece"), i.alias("i"))), lambda x: x["piece"].rlike(r"\S[^\n]*\n[^\n]*\S") & x["piece"].rlike(cue))
+    both = F.concat(F.filter(F.transform("lines", line), lambda x: x["paragraph"].rlike(cue)), F.transform(several, block))
+    told = classified(cut.select("doc_id", "row", F.explode(both).alias("s")).select("doc_id", "row", "s.*"))
+    names = ("number", "low", "high", "joined", "family", "nearest", "probability", "similarity", "confirmed")
+    found = told.groupBy("row", "doc_id").agg(F.collect_list(F.struct(*names)).alias("found"))
+    within = lambda x, y: (y["low"] <= x["low"]) & (x["low"] < y["high"])
+    alone = lambda y: y["joined"] & y["confirmed"] & ~F.exists("found", lambda x: ~x["joined"] & x["confirmed"] & (x["family"] == y["family"]) & within(x, y))
+    found = found.withColumns({"single": F.filter("found", lambda x: ~x["joined"]), "blocks": F.filter("found", alone)})
+    left = F.filter("single", lambda x: x["confirmed"] | ~F.exists("blocks", lambda y: (x["nearest"] == y["family"]) & within(x, y)))
+    return found.select("doc_id", F.explode(F.concat(left, "blocks")).alias("s")).select("doc_id", F.col("s.number").alias("paragraph"), *[f"s.{x}" for x in names[4:]])
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,3 +43,24 @@ def test_defined_cases(spark):
 def test_native(spark):
     plan = S.license_paragraphs(spark.createDataFrame([(1, "MIT License")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_wrapped_texts(spark):
+    import textwrap
+
+    wrap = lambda t, sign, before="", after="": "\n".join([before, *[sign + x for x in textwrap.wrap(t, 60)], after])
+    rows = [
+        (1, "mit", wrap(S.TEXTS["mit"][0], " * ", "/*", " */") + "\nint x;"),
+        (2, "bsd", "code\n\n" + wrap(S.TEXTS["bsd"][0], "# ")),
+        (3, "apache-2.0", wrap(S.TEXTS["apache-2.0"][1], "// ")),
+        (4, "gpl", "This is under the GNU General\nPublic License, version 3."),
+        (5, "isc", wrap(S.TEXTS["isc"][0], "")),
+    ]
+    got = S.license_paragraphs(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")).collect()
+    for i, family, text in rows:
+        mine = [r for r in got if r.doc_id == i and r.confirmed]
+        assert [r.family for r in mine] == [family], (i, [r for r in got if r.doc_id == i])
+        assert "\n" in text and mine[0].paragraph < len(text.split("\n"))
+    assert next(r.paragraph for r in got if r.doc_id == 2 and r.confirmed) == 3
+    two = S.license_paragraphs(spark.createDataFrame([(1, "Released under the MIT License.\nLicensed under CC BY 4.0.")], "doc_id long, text string")).collect()
+    assert {(r.paragraph, r.family) for r in two if r.confirmed} == {(0, "mit"), (1, "cc-by")}
