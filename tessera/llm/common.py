@@ -49,6 +49,25 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a filter of ids: PARTS rows of 4 KB, whatever the input. A fuller filter lets more through, and what reads it checks again.
+PARTS, PART_BITS = 1024, 1 << 15
+
+
+def filter_of(ids: DataFrame, column: str) -> DataFrame:
+    """(part, bits): a bit is set for the hash of each id."""
+    at = F.pmod(F.xxhash64(column), F.lit(PARTS * PART_BITS))
+    return ids.select(F.shiftright(at, 15).cast("int").alias("part"), at.bitwiseAND(PART_BITS - 1).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits"))
+
+
+def perhaps(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """Rows whose id may be in the filter: all that are, few others. The filter is broadcast, 4 MB at most."""
+    at = F.pmod(F.xxhash64(column), F.lit(PARTS * PART_BITS))
+    where = at.bitwiseAND(PART_BITS - 1).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(where, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    keyed = rows.withColumn("part", F.shiftright(at, 15).cast("int")).join(F.broadcast(bits), "part")
+    return keyed.filter(F.getbit(byte, where.bitwiseAND(7)) == 1).select(*rows.columns)
+
+
 def tasks(spark: SparkSession, factor: int = 1) -> int:
     """Partitions for a repartition that is spelled out: as many as shuffles have."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * factor

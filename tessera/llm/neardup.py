@@ -1,55 +1,60 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. Sketch: each text becomes its set of distinct word shingles (hashed to 64 bits)
-   and HASHES minimum hashes. Texts with equal sets form a class; from here on its
-   smallest id stands for it, so exact copies never meet again.
+   and HASHES minimum hashes. Texts with equal sets (by SHA-256 of the whole set)
+   form a class; from here on its smallest id stands for it, so exact copies never
+   meet again.
 2. Candidates: BANDS bands of ROWS hashes; two texts at similarity 0.8 share no
-   band with probability 2e-5 (at 0.85: 7e-9), two at 0.3 share one with 0.004. Buckets of one text are dropped.
-3. Links: all pairs of a bucket are never listed. A round takes one leader a bucket
-   and pairs it with the members that are not yet in its component; linked ones
-   join it. A leader is then done with its bucket (it has met every member or
-   shares a component with it), and a bucket whose members are one component is
-   done. When the pairs left between components are few beside the rows, or after
-   ROUNDS rounds, those that are left are all tried, so no link that matters is
-   passed over, whatever a bucket's size.
-   Pairs whose sets differ too much in size are no candidates.
-4. Verification: signatures of a pair are compared a batch at a time; after each
-   the posterior probability (uniform prior) that the similarity reaches the
-   threshold is looked up, and below `miss` the pair is dropped. Survivors are
-   confirmed on their full sets.
-5. Components of the confirmed links give one class id, the smallest id reachable.
+   band with probability 2e-5 (at 0.85: 7e-9), two at 0.3 share one with 0.004.
+   Buckets of one text are dropped. A bucket's smallest id is its leader, and the
+   texts of all buckets with one leader are a group: two texts that share a bucket
+   share a group, and a cluster's many buckets have few leaders.
+3. Large groups first meet their leader alone, whose links merge most of the group
+   into one component.
+4. What is left are pairs of one group in different components. A group's rows are
+   dealt into blocks of bounded bytes; texts outside of the group's largest
+   component meet all blocks, those inside meet only the former. Two blocks
+   meet in one task; pairs are compared there and never become rows. So
+   the work between blocks grows with the group times the texts outside of its
+   largest component, and what a task holds does not grow.
+5. Verification, of each pair whose sizes allow a link: signatures are compared a
+   batch at a time; after each the posterior probability (uniform prior) that the
+   similarity reaches the threshold is looked up, and below `miss` the pair is
+   dropped. Survivors are confirmed on their full sets, unless links found before
+   join them already; a task emits fewer links than it has rows.
+6. Components of the confirmed links give one class id, the smallest id reachable.
 
 Words are runs of other than ASCII white space, with A-Z in lower case. Fewer words
 than a shingle takes are one shingle; a null or empty text has none and links
 with nothing. Repeated rows of an id share its fate, and texts given under one id
-count as one document. A null id is its own (null) component and is kept.
+count as one document. A null id is its own (null) component and is kept. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import picked, slices, staged, table
+from tessera.llm.common import filter_of, perhaps, picked, slices, staged, table
 
 BANDS, ROWS = 59, 8
 HASHES = BANDS * ROWS
 BATCH = 20
 MISS = 1e-9
-ROUNDS = 6
-#: Turns of both stars between rounds; what they leave apart costs pairs, not links.
-TURNS = 2
-#: Turns of both stars between rounds; what they leave apart costs pairs, not links.
-TURNS = 2
-#: Bands that the first rounds look at. Most copies meet in a few bands, and what has become one component is not paired again in the others.
-OPENED = (3, 12)
+#: Groups of more rows, or of more bytes than a block, meet their leader alone first.
+LARGE = 128
+#: A block of a group holds about so many bytes and rows at most.
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 1024
 BLOCK = 1 << 15
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -138,7 +143,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             x, ends = shingles(batch.column("text"), words)
             found = signatures(x, ends)
             starts = np.concatenate([[0], ends[:-1]])
-            keys = [xxhash.xxh3_128_digest(x[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            keys = [hashlib.sha256(x[a:b].tobytes()).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(ends) + 1, BANDS), pa.int32()), pa.array(bands_of(found).ravel()))
             small = (found >> np.uint64(24)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ends - starts), pa.array(keys, pa.binary()), bands, pa.array([s.tobytes() for s in small], pa.binary())], ["doc_id", "n_shingles", "set_key", "bands", "signature"])
@@ -147,14 +152,17 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
+    """A row per text: its whole set and that set's key."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x, ends = shingles(batch.column("text"), words)
             starts = np.concatenate([[0], ends[:-1]])
             held = [x[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(held, pa.binary())], ["doc_id", "held"])
+            keys = [hashlib.sha256(h).digest() for h in held]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(held, pa.binary())], ["doc_id", "set_key", "held"])
 
-    return docs.mapInArrow(rows, "doc_id long, held binary")
+    return docs.mapInArrow(rows, "doc_id long, set_key binary, held binary")
 
 
 @functools.cache
@@ -174,43 +182,48 @@ def least_matches(threshold: float, miss: float = MISS) -> np.ndarray:
     return np.asarray(out)
 
 
-def survivors(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures leave a link possible."""
-    least = least_matches(percent / 100)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # merges two sorted runs
+    return int((both[1:] == both[:-1]).sum())
+
+
+@dataclass
+class Met:
+    """Rows of one task: two blocks of a group, or one."""
+
+    ids: np.ndarray
+    labels: np.ndarray
+    first: np.ndarray  # whether the row is of the first block
+    sizes: np.ndarray
+    signatures: np.ndarray
+    sets: list[bytes]
+
+
+def links_of(met: Met, inside: bool, least: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links that join labels: between the first block and the others, and, with `inside`, within the first."""
+    label, place = met.labels.copy(), np.arange(len(met.ids))
+    for i in np.flatnonzero(met.first).tolist():
+        others = ~met.first | (place > i) if inside else ~met.first
+        able = others & (label != label[i]) & (np.minimum(met.sizes, met.sizes[i]) * 100 >= np.maximum(met.sizes, met.sizes[i]) * percent)
+        alive = np.flatnonzero(able)
+        matches = np.zeros(len(alive), np.int64)
+        for k, fewest in enumerate(least.tolist()):
+            if not len(alive):
+                break
+            part = slice(k * BATCH, (k + 1) * BATCH)
+            matches += (met.signatures[alive, part] == met.signatures[i, part]).sum(axis=1)
+            stays = matches >= fewest
+            alive, matches = alive[stays], matches[stays]
+        mine = np.frombuffer(met.sets[i], np.uint64) if len(alive) else None
+        for j in alive.tolist():
+            if label[j] == label[i]:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(-1, HASHES) for n in ("x", "y"))
-            alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for k, fewest in enumerate(least.tolist()):
-                part = slice(k * BATCH, (k + 1) * BATCH)
-                matches[alive] += (x[alive, part] == y[alive, part]).sum(axis=1)
-                alive = alive[matches[alive] >= fewest]
-            yield batch.select(["a", "b"]).take(pa.array(alive))
-
-    one = marks.select(F.col("doc_id").alias("b"), F.col("signature").alias("y"))
-    two = marks.select(F.col("doc_id").alias("a"), F.col("signature").alias("x"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
-
-
-def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                n = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * n >= percent * (len(x) + len(y) - n):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    one = held.select(F.col("doc_id").alias("b"), F.col("held").alias("y"))
-    two = held.select(F.col("doc_id").alias("a"), F.col("held").alias("x"))
-    return pairs.join(one, "b").join(two, "a").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long")
+            other = np.frombuffer(met.sets[j], np.uint64)
+            n = common(mine, other)
+            if 100 * n >= percent * (len(mine) + len(other) - n):
+                yield int(met.ids[i]), int(met.ids[j])
+                label[label == label[j]] = label[i]
 
 
 def starred(edges: DataFrame) -> DataFrame:
@@ -244,38 +257,75 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
-def linked(buckets: DataFrame, marks: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) inside buckets (bucket, doc_id, n), enough of them to make the components whole.
+def blocks(rows: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
 
-    Between rounds labels need only be right, not final: a node's label is always in its component.
+def dealt(groups: DataFrame) -> DataFrame:
+    """Each row of groups (leader, doc_id, label, outer, p, q) once for each task (leader, i, j) that it goes to.
+
+    The p blocks of outer rows meet the q blocks of the others (j < q) and one another (j >= q).
     """
-    edges = buckets.sparkSession.createDataFrame([], "u long, v long")
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    for turn in range(ROUNDS + 1):
-        labels = edges.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("label"))
-        now = buckets.join(labels, "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("label", "doc_id").alias("label")) if turn else buckets.withColumn("label", F.col("doc_id"))
-        sizes = now.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("own"), F.count("*").alias("labels")).filter("labels > 1")
-        open_ = staged(now.join(sizes, "bucket").select("bucket", "doc_id", "n", "label", "rows", "own"), "open")
-        rows, left = open_.agg(F.count("*"), F.sum((F.col("rows") - F.col("own") / F.col("rows")) / 2)).first()
-        if not rows:
-            break
-        last = turn == ROUNDS or left <= 2 * rows
-        if last:
-            other = open_.select("bucket", F.col("doc_id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-            pairs = open_.withColumnRenamed("doc_id", "a").join(other, "bucket").filter("a < b and label != other").filter(fits).select("a", "b").distinct()
-        else:
-            # The smallest component's: buckets of one group then choose alike. In it the smallest id first, often the text that others were copied from.
-            order = F.struct("label", F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn)))
-            leaders = open_.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("a"), F.col("label").alias("other"), F.col("n").alias("m"))).alias("l")).select("bucket", "l.a", "l.other", "l.m")
-            met = open_.join(leaders, "bucket")
-            pairs = met.filter("doc_id != a and label != other").filter(fits).select(F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")).distinct()
-            buckets = met.filter("doc_id != a").select("bucket", "doc_id", "n")
-        edges = staged(edges.unionByName(edges_of(confirmed(survivors(pairs, marks, percent), held, percent))).distinct(), "found")
-        if last:
-            break
-        for _ in range(TURNS):
-            edges = starred(edges)
-    return edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    mine = F.pmod(F.xxhash64("doc_id"), F.when(F.col("outer"), F.col("p")).otherwise(F.col("q"))).cast("int")
+    at = lambda i, j, first: F.struct(i.alias("i"), j.alias("j"), first.alias("first"))
+    over = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    others = F.filter(F.transform(over("p"), lambda k: at(F.least("mine", k), F.col("q") + F.greatest("mine", k), F.col("mine") < k)), lambda x: x["i"] + F.col("q") != x["j"])
+    outer = F.concat(F.transform(over("q"), lambda k: at(F.col("mine"), k, F.lit(True))), others)
+    inner = F.transform(over("p"), lambda k: at(k, F.col("mine"), F.lit(False)))
+    return groups.withColumn("mine", mine).select("leader", "doc_id", "label", F.explode(F.when(F.col("outer"), outer).otherwise(inner)).alias("t")).select("leader", "doc_id", "label", "t.*")
+
+
+def verified(groups: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of all pairs that meet (see dealt), save those that other links make needless."""
+    least = least_matches(percent / 100)
+
+    def found(rows: pa.Table, at: list[int]) -> pa.RecordBatch:
+        links: list[tuple[int, int]] = []
+        for low, high in zip(at[:-1], at[1:], strict=True):
+            if high - low < 2:
+                continue
+            part = rows.slice(low, high - low)
+            ids, labels, first, n = (part.column(c).to_numpy() for c in ("doc_id", "label", "first", "n_shingles"))
+            signatures = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint8).reshape(-1, HASHES)
+            links += links_of(Met(ids, labels, first, n, signatures, part.column("held").to_pylist()), part.column("j")[0].as_py() == 0, least, percent)
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            have = pa.Table.from_batches([batch])
+            have = have if rest is None else pa.concat_tables([rest, have])
+            keys = np.stack([have.column(c).to_numpy() for c in key])
+            at = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
+            yield found(have, at)
+            rest = have.slice(at[-1])  # of the last task more rows may follow
+        if rest is not None:
+            yield found(rest, [0, rest.num_rows])
+
+    key = ("leader", "i", "j")
+    told = dealt(groups).join(members, "doc_id").select(*key, "first", "doc_id", "label", "n_shingles", "signature", "held")
+    return told.repartition(*key).sortWithinPartitions(*key).mapInArrow(rows, "a long, b long")
+
+
+def linked(met: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) inside groups (leader, doc_id, n_shingles), enough of them to make the components whole."""
+    size = F.col("n_shingles") * 8 + HASHES
+    rows, total = F.count("*").alias("rows"), F.sum(size).alias("total")
+    large = met.groupBy("leader").agg(rows, total).filter((F.col("rows") > LARGE) | (F.col("total") > BLOCK_BYTES))
+    led = met.join(large, "leader").select("leader", "doc_id", F.col("doc_id").alias("label"), (F.col("doc_id") == F.col("leader")).alias("outer"), F.lit(1).alias("p"), blocks(F.col("rows"), F.col("total")).alias("q"))
+    stars = staged(verified(led, members, percent), "stars")
+
+    told = met.join(components(stars).withColumnRenamed("node", "doc_id"), "doc_id", "left").select("leader", "doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("label"))
+    parts = told.groupBy("leader", "label").agg(rows, total)
+    top = F.max(F.struct("rows", "total", "label")).alias("top")
+    open_ = parts.groupBy("leader").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"), top).filter("rows > top.rows")
+    p, q = blocks(F.col("rows") - F.col("top.rows"), F.col("total") - F.col("top.total")), blocks(F.col("top.rows"), F.col("top.total"))
+    groups = told.join(open_.select("leader", F.col("top.label").alias("largest"), p.alias("p"), q.alias("q")), "leader")
+    links = verified(groups.select("leader", "doc_id", "label", (F.col("label") != F.col("largest")).alias("outer"), "p", "q"), members, percent)
+    return stars.unionByName(staged(links, "links"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -284,16 +334,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     made = staged(sketches(chosen, words), "sketches")
     some = made.filter("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("set_key").agg(F.min("doc_id").alias("first"))
-    mine = staged(some.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", "first").distinct(), "classes")
-    whole = some.join(classes.select(F.col("first").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
+    mine = staged(some.select("doc_id", "set_key").join(classes, "set_key").distinct(), "classes")
+    firsts = mine.filter("doc_id = first").select("doc_id", "set_key")
+    whole = some.join(firsts, ["doc_id", "set_key"], "left_semi")
     # Sets so small that one shingle more is too many link with equal sets only.
-    spread = whole.filter(F.col("n_shingles") * 100 >= (F.col("n_shingles") + 1) * percent).select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("bucket")
-    buckets = staged(spread.join(shared, "bucket", "left_semi"), "buckets")
-    ids = buckets.select("doc_id").distinct()
-    marks = staged(some.select("doc_id", "signature").join(ids, "doc_id", "left_semi"), "signatures")
-    held = staged(sets(chosen.join(ids, "doc_id", "left_semi"), words), "sets")
-    links = linked(buckets, marks, held, percent)
+    spread = whole.filter(F.col("n_shingles") * 100 >= (F.col("n_shingles") + 1) * percent).select("doc_id", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("high")).filter("leader < high").select("bucket", "leader")
+    met = staged(spread.join(shared, "bucket").select("leader", "doc_id").distinct(), "groups")
+    # Few texts of a corpus share a bucket: a filter of bounded size spares the others the shuffles.
+    ids = met.select("doc_id").distinct()
+    bits = staged(filter_of(ids, "doc_id"), "filter")
+    marks = perhaps(some, "doc_id", bits).join(ids, "doc_id", "left_semi").join(firsts, ["doc_id", "set_key"], "left_semi").select("doc_id", "set_key", "n_shingles", "signature").dropDuplicates(["doc_id", "set_key"])
+    held = sets(perhaps(chosen, "doc_id", bits), words).dropDuplicates(["doc_id", "set_key"])
+    members = staged(held.join(marks, ["doc_id", "set_key"]).drop("set_key"), "members")
+    # An id has a row for each of its texts; the largest counts, as sizes only bound blocks.
+    sized = staged(met.join(members.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")), "doc_id"), "sized")
+    links = linked(sized, members, percent)
     # An id that was given with several texts is in several classes: its first ones join them.
     joined = components(links.unionByName(mine.filter("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))))
     told = made.select("doc_id", "n_shingles").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")

@@ -110,3 +110,49 @@ def test_given_documents(spark):
     rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.op10_neardup(spark, "/root/testdata/sf0.01").collect()}
     assert got == brute(rows, 2, 80)
+
+
+def around(rng, n):
+    """Texts of one base whose similarities lie around and below the threshold, and two bridges."""
+    base = [f"h{k}" for k in range(120)]
+    rows = [edited(base, rng, rng.randrange(4, 16)) for _ in range(n)]
+    return [(5 * i, t) for i, t in enumerate(rows)]
+
+
+def test_small_blocks_lose_no_link(spark, monkeypatch):
+    """Groups cut into many blocks give what all pairs give."""
+    monkeypatch.setattr(neardup, "LARGE", 8)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
+    compare(spark, around(random.Random(3), 90) + [(10_000 + i, t) for i, t in made(random.Random(4))], 2)
+
+
+def test_blocks_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 3_000)
+    compare(spark, around(random.Random(5), 40), 2)
+
+
+def test_rows_grow_with_blocks_not_pairs(spark, monkeypatch):
+    """A group that mostly does not link: the rows that tasks get stay near the number of texts."""
+    sent = []
+    whole = neardup.dealt
+    monkeypatch.setattr(neardup, "dealt", lambda groups: sent.append(whole(groups)) or sent[-1])
+    rows = around(random.Random(6), 400)
+    compare(spark, rows, 2)
+    assert sum(x.count() for x in sent) < 400 * 60  # of 79,800 pairs, most of which share a band
+
+
+def test_each_pair_of_blocks_meets_once(spark):
+    rows = [(1, d, 0, d % 3 == 0, 4, 3) for d in range(200)]
+    met = neardup.dealt(spark.createDataFrame(rows, "leader long, doc_id long, label long, outer boolean, p int, q int")).collect()
+    tasks = {}
+    for r in met:
+        tasks.setdefault((r.i, r.j), []).append(r)
+    seen = {}
+    for (_, j), rs in tasks.items():
+        for a in rs:
+            for b in rs:
+                if a.first and (not b.first or (j == 0 and a.doc_id < b.doc_id)):
+                    key = (min(a.doc_id, b.doc_id), max(a.doc_id, b.doc_id))
+                    seen[key] = seen.get(key, 0) + 1
+    want = {(a, b) for a in range(200) for b in range(a + 1, 200) if a % 3 == 0 or b % 3 == 0}
+    assert set(seen) == want and set(seen.values()) == {1}
