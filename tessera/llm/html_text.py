@@ -16,7 +16,8 @@ are mostly links count as empty.
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by one line feed. A null or empty page has empty text.
 Repeated rows repeat; ids and urls may be null. A page's cost is linear in its
-length, whatever is unbalanced or cut off in it.
+length, whatever is unbalanced or cut off in it. A form around the article (its
+mark, or, where nothing else is left, its text) is no form but the page's wrapper.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ LINKED = 0.6
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,65536}+\"|'[^']{0,65536}+'){0,256}+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S,
@@ -50,6 +51,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("aside audio button canvas datalist dialog footer form head header iframe menu nav noembed noframes noscript object script select style svg template textarea title video xmp".split())
 CONTAINERS = frozenset("article aside body blockquote details dialog div dl fieldset figure footer form head header html main menu nav noscript object ol section select svg table template ul video audio canvas button datalist".split())
 MARKS = frozenset(("article", "main"))
+BORDERS = frozenset(("article", "main", "body"))
+#: Their closing tags pass borders.
+PASSING = BORDERS | {"html"}
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 WORDS = COMMENTS | frozenset(
     "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr header login masthead menu modal nav navbar"
@@ -58,6 +62,7 @@ WORDS = COMMENTS | frozenset(
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+FORM = re.compile(r"<form[\s>]", re.I)
 PART = re.compile(r"[^a-z0-9]+")
 
 
@@ -74,12 +79,17 @@ def told(name: str, attributes: str) -> tuple[bool, bool]:
     return drop, mark and not drop
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Each block's text, the characters of it inside links, whether it is dropped, whether it is inside a mark."""
+def lines_of(page: str, forms: bool = False) -> list[tuple[str, int, bool, bool]]:
+    """Each block's text, the characters of it inside links, whether it is dropped, whether it is inside a mark.
+
+    forms: whether forms are taken as wrappers of other text.
+    """
     out: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
-    linked = links = 0
+    linked = links = hard = 0
     stack: list[tuple[str, bool, bool]] = []  # name, dropped, inside a mark
+    places: dict[str, list[int]] = {}  # by name, where in the stack it is open
+    borders: list[int] = []  # where in the stack elements are open that others' closing tags do not pass
     at, end = 0, len(page)
 
     def flush() -> None:
@@ -88,16 +98,33 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         text = "".join(parts)
         parts.clear()
         if text and not dropped:
-            text = " ".join(html.unescape(text).split())
+            text = " ".join(text.split())
         if text:
             out.append(("" if dropped else text, linked, dropped, marked))
         linked = 0
 
+    def push(name: str, drop: bool, mark: bool) -> None:
+        nonlocal hard
+        places.setdefault(name, []).append(len(stack))
+        if name in BORDERS:
+            borders.append(len(stack))
+        hard += name in DROPPED and name != "form"
+        stack.append((name, drop, mark))
+
+    def cut(i: int) -> None:
+        nonlocal hard
+        while len(stack) > i:
+            name = stack.pop()[0]
+            places[name].pop()
+            if name in BORDERS:
+                borders.pop()
+            hard -= name in DROPPED and name != "form"
+
     while at < end:
         m = TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
         if text:
-            parts.append(text)
+            parts.append(html.unescape(text))
             if links:
                 linked += len(text)
         if not m:
@@ -113,13 +140,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if closing:
             if name in BLOCKS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    flush()
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("article", "main", "body") and name not in ("article", "main", "body", "html"):
-                    break
+            found = places.get(name)
+            if found and (name in PASSING or not borders or borders[-1] <= found[-1]):
+                flush()
+                cut(found[-1])
             continue
         if name in BLOCKS:
             flush()
@@ -131,8 +155,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if name in VOID:
             continue
         if name == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
+            cut(len(stack) - 1)
         drop, mark = told(name, attributes)
+        if forms and name == "form":
+            drop = False
         above = stack[-1] if stack else ("", False, False)
         if attributes.endswith("/") and name not in CONTAINERS:
             continue
@@ -140,8 +166,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             if name not in BLOCKS:
                 flush()
             # An article inside a wrapper that a word of its class would drop is still an article.
-            kept = mark and above[1] and not any(s[0] in DROPPED or s[2] for s in stack)
-            stack.append((name, drop or above[1] and not kept, mark or above[2]))
+            kept = mark and above[1] and not hard and not above[2]
+            push(name, drop or above[1] and not kept, mark or above[2])
     flush()
     return out
 
@@ -169,15 +195,22 @@ def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
     return found
 
 
-def main_text(page: str) -> str:
-    lines = lines_of(page)
+def kept_lines(lines: list[tuple[str, int, bool, bool]]) -> list[str]:
     if any(marked and text for text, _, _, marked in lines):
         grid = [(text if marked else "", 0) for text, _, dropped, marked in lines if not (marked and dropped)]
     else:
         grid = [(text, linked) for text, linked, *_ in lines]
     lengths = [0 if linked > LINKED * len(text) else len(text) for text, linked in grid]
-    kept = [text for a, b in regions(lengths) for (text, _), n in zip(grid[a:b], lengths[a:b], strict=True) if n]
-    return "\n".join(kept)
+    return [text for a, b in regions(lengths) for (text, _), n in zip(grid[a:b], lengths[a:b], strict=True) if n]
+
+
+def main_text(page: str) -> str:
+    found = kept_lines(lines_of(page))
+    if not found and FORM.search(page):
+        found = kept_lines(lines_of(page, forms=True))
+        if max(map(len, found), default=0) < SURGE:  # labels and buttons only
+            found = []
+    return "\n".join(found)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,3 +57,38 @@ def test_given_pages(spark):
         article = page.split("<article>", 1)[1].split("</article>")[0]
         want = [" ".join(html.unescape(re.sub(r"</?b>", "", x)).split()) for x in re.split(r"</?p>|<br>|</?h1>", article)]
         assert got[page_id] == "\n".join(x for x in want if x), page_id
+
+
+def test_form_around_the_page():
+    wrapped = f"<body><form id=aspnet><div class=nav><a href=/>Menu</a></div><article><p>{LONG}</p><form><label>Mail</label></form></article></form></body>"
+    assert main_text(wrapped) == LONG.strip()
+    assert main_text(f"<body><form><div><p>{LONG}</p><p>{LONG}</p></div><div class=footer>no</div></form></body>") == f"{LONG.strip()}\n{LONG.strip()}"
+    assert main_text("<body><form><label>Name</label><input><button>Send</button></form></body>") == ""
+
+
+def test_references_end_with_their_run():
+    assert main_text("<article><p>a &am<b>p;lt</b> c &lt;b&gt;</article>") == "a &amp;lt c <b>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * n + "</x>" * n for n in (200_000,)]
+    + ["<section><article>" + "<div>" * 100_000 + "</section>" * 100_000, "<article>" * 100_000, "<nav>" + "<main>" * 100_000, "<a \"" * 100_001, "<a '>" * 100_001, "<p title='" * 50_000 + ">", "<form>" * 100_000 + "x"],
+    ids=range(8),
+)
+def test_linear(page):
+    import time
+
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 6
+
+
+def test_any_markup():
+    import random
+
+    rng = random.Random(8)
+    bits = ["<", ">", "</", "<!--", "-->", "<article>", "</article>", "<form>", "</form>", "<div class='ad'>", "</div>", "<p>", "&amp;", "&#x41;", "&", "'", '"', "=", " ", "\n", "text", "<script>", "</script>", "<body", "/>", "é", "\x00"]
+    for _ in range(3000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(40)))
+        assert isinstance(main_text(page), str), page
