@@ -7,8 +7,9 @@ horizontal differencing. Directories are walked through their offsets with a
 guard against loops; every offset is checked against the file's length.
 
 `tiff_pages` gives one row per page. A null or empty media value gives no row.
-A file or page that cannot be decoded gives one row with `error` set and null
-samples, so a damaged file never fails the job. Repeated rows repeat.
+A file or page that cannot be decoded, or whose samples take more than MOST bytes,
+gives one row with `error` set and null samples, so a damaged file never fails the
+job; decoders stop at the size that the page states. Repeated rows repeat.
 
 `to_tiff` stores bytes losslessly as 8-bit grey samples, 64 to a row, deflated
 in strips, which is how the query stores texts.
@@ -39,6 +40,10 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 ROW = 64
 STRIP_ROWS = 1024
+#: Bytes of a page's samples; a larger page is an error, as a small file can state any size.
+MOST = 1 << 29
+#: Bytes of samples that a batch of pages holds before it is handed on.
+BATCH_BYTES = 1 << 26
 
 PAGES = "page int, width int, height int, samples_per_pixel int, bits int, compression int, predictor int, samples binary, error string"
 
@@ -47,9 +52,10 @@ class BadTiff(ValueError):
     """The bytes are not a TIFF that this reader takes."""
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, size: int = MOST) -> bytes:
+    """Until size bytes are there."""
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and len(out) < size:
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -62,8 +68,8 @@ def unpack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def unpack_lzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, most significant bit first, widened one code early; 256 clears, 257 ends."""
+def unpack_lzw(data: bytes, size: int = MOST) -> bytes:
+    """Codes of 9 to 12 bits, most significant bit first, widened one code early; 256 clears, 257 ends, as do size bytes."""
     out = bytearray()
     words = [bytes((i,)) for i in range(256)] + [b"", b""]
     width, bits, held, last = 9, 0, 0, b""
@@ -87,6 +93,8 @@ def unpack_lzw(data: bytes) -> bytes:
         else:
             raise BadTiff("LZW code out of order")
         out += word
+        if len(out) >= size:
+            break
         if last and len(words) < 4096:
             words.append(last + word[:1])
         last = word
@@ -213,9 +221,9 @@ def block(data: bytes, offset: int, count: int, how: int, size: int) -> bytes:
     if how == NONE:
         got = raw
     elif how == PACKBITS:
-        got = unpack_bits(raw)
+        got = unpack_bits(raw, size)
     elif how == LZW:
-        got = unpack_lzw(raw)
+        got = unpack_lzw(raw, size)
     elif how in (DEFLATE, OLD_DEFLATE):
         got = inflate(raw, size)
     else:
@@ -237,6 +245,10 @@ def page(data: bytes, order: str, f: dict[int, tuple[int, ...]]) -> dict:
         raise BadTiff("samples of this kind are not taken")
     unit = bits[0] // 8
     kind = np.dtype(f"{order}u{unit}")
+    if not all(isinstance(x, int) and x > 0 for x in (width, height, per)):
+        raise BadTiff("width, height or samples per pixel are not positive numbers")
+    if width * height * per * unit > MOST:
+        raise BadTiff("page too large")
 
     def undone(raw: bytes, rows: int, columns: int) -> np.ndarray:
         x = np.frombuffer(raw, kind).reshape(rows, columns, per)
@@ -244,6 +256,8 @@ def page(data: bytes, order: str, f: dict[int, tuple[int, ...]]) -> dict:
 
     if TILE_OFFSETS in f:
         tw, th = f[TILE_WIDTH][0], f[TILE_HEIGHT][0]
+        if tw * th * per * unit > MOST:
+            raise BadTiff("tile too large")
         across = -(-width // tw)
         if len(f[TILE_OFFSETS]) < across * -(-height // th):
             raise BadTiff("tiles missing")
@@ -266,6 +280,10 @@ def page(data: bytes, order: str, f: dict[int, tuple[int, ...]]) -> dict:
     return {"width": width, "height": height, "samples_per_pixel": per, "bits": bits[0], "compression": how, "predictor": predictor, "samples": samples, "error": None}
 
 
+#: What a field that is missing, of another type or out of range can raise.
+DAMAGED = (ArithmeticError, LookupError, TypeError, ValueError, MemoryError)
+
+
 def decode(data: bytes) -> Iterator[dict]:
     """Each page's columns; what cannot be decoded is a page with an error."""
     bad = dict.fromkeys(("width", "height", "samples_per_pixel", "bits", "compression", "predictor", "samples"))
@@ -275,12 +293,12 @@ def decode(data: bytes) -> Iterator[dict]:
             order, fields = next(walk)
         except StopIteration:
             return
-        except (BadTiff, struct.error) as e:
+        except (struct.error, *DAMAGED) as e:
             yield bad | {"error": str(e)}
             return
         try:
             yield page(data, order, fields)
-        except (BadTiff, ValueError, IndexError, ZeroDivisionError, MemoryError) as e:
+        except (struct.error, *DAMAGED) as e:
             yield bad | {"error": str(e) or type(e).__name__}
 
 
@@ -316,16 +334,22 @@ def to_tiff(payload: bytes, how: int = DEFLATE, predictor: int = 1, order: str =
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = {"page": pa.int32(), **dict.fromkeys(("width", "height", "samples_per_pixel", "bits", "compression", "predictor"), pa.int32()), "samples": pa.binary(), "error": pa.string()}
+    def made(batch: pa.RecordBatch, rows: list[dict], of: list[int]) -> pa.RecordBatch:
+        kept = batch.drop_columns(["media"]).take(pa.array(of))
+        return pa.RecordBatch.from_arrays([*kept.columns, *[pa.array([r[n] for r in rows], kind) for n, kind in kinds.items()]], [*kept.schema.names, *kinds])
+
     for batch in slices(batches, "media"):
-        rows, of = [], []
+        rows, of, held = [], [], 0
         for i, media in enumerate(batch.column("media").to_pylist()):
             for n, found in enumerate(decode(media) if media else ()):
                 rows.append({"page": n} | found)
                 of.append(i)
+                held += len(found["samples"] or b"")
+                if held > BATCH_BYTES:
+                    yield made(batch, rows, of)
+                    rows, of, held = [], [], 0
         if rows:
-            kept = batch.drop_columns(["media"]).take(pa.array(of))
-            made = [pa.array([r[n] for r in rows], kind) for n, kind in kinds.items()]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *made], [*kept.schema.names, *kinds])
+            yield made(batch, rows, of)
 
 
 def tiff_pages(media: DataFrame, id_col: str = "media_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -91,3 +91,46 @@ def test_query(spark, tmp_path):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
     assert got[5].media_sha256 == got[6].media_sha256 and got[5].feature == got[6].feature
+
+
+def directory(*fields, data=b""):
+    """A file of one directory; fields are (tag, kind, count, value)."""
+    import struct
+
+    ifd = struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", *f) for f in fields) + struct.pack("<I", 0)
+    return b"II*\0" + struct.pack("<I", 8) + ifd + data
+
+
+DAMAGED = {
+    "tiles without a width": directory((256, 4, 1, 8), (257, 4, 1, 8), (258, 3, 1, 8), (324, 4, 1, 8), (325, 4, 1, 4)),
+    "tiles without counts": directory((256, 4, 1, 8), (257, 4, 1, 8), (258, 3, 1, 8), (322, 4, 1, 8), (323, 4, 1, 8), (324, 4, 1, 8)),
+    "width in letters": directory((256, 2, 1, 65), (257, 4, 1, 8), (258, 3, 1, 8), (273, 4, 1, 8), (279, 4, 1, 64)),
+    "a huge strip": directory((256, 4, 1, 2**32 - 1), (257, 4, 1, 2**32 - 1), (258, 3, 1, 8), (273, 4, 1, 8), (279, 4, 1, 64)),
+    "a tile of no width": directory((256, 4, 1, 8), (257, 4, 1, 8), (258, 3, 1, 8), (322, 4, 1, 0), (323, 4, 1, 8), (324, 4, 1, 8), (325, 4, 1, 8)),
+}
+
+
+def test_damaged_fields():
+    for name, data in DAMAGED.items():
+        got = list(tiff.decode(data))
+        assert len(got) == 1 and got[0]["error"] and got[0]["samples"] is None, name
+
+
+def test_any_bytes():
+    import random
+
+    rng = random.Random(4)
+    payload = bytes(rng.randrange(4) for _ in range(64 * 40))
+    for how in (tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE):
+        whole = tiff.to_tiff(payload, how, predictor=2)
+        for _ in range(400):
+            data = bytearray(whole)
+            for _ in range(rng.randrange(1, 6)):
+                data[rng.randrange(len(data)) if rng.random() < 0.3 else -rng.randrange(1, 160)] = rng.randrange(256)
+            for page in tiff.decode(bytes(data[: rng.randrange(len(data) // 2, len(data) + 1)])):
+                assert (page["error"] is None) == (page["samples"] is not None)
+
+
+def test_output_stops_at_the_stated_size():
+    assert len(tiff.unpack_bits(bytes((129, 7)) * 100_000, 1000)) < 1200
+    assert len(tiff.unpack_lzw(tiff.pack_lzw(b"\0" * 1_000_000), 1000)) < 6000
