@@ -3,7 +3,7 @@
 Payload bytes are stored once, under their SHA-1; exact record headers are
 stored apart, one row per record, naming the digest. `write_archive` makes the
 two tables, `read_archive` joins them and gives each original record's bytes
-again, and `export_warc` writes these as ordinary WARC files.
+again, and `export_warc` writes these as ordinary WARC files, which `read_warc` reads.
 
 The digest is verified: before a payload is shared, every record's bytes are
 compared with those stored under its digest, and a difference fails the job
@@ -18,11 +18,17 @@ referred to unless no other row has that payload. Other columns are ignored.
 
 from __future__ import annotations
 
+import gzip
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import picked, staged, table
 
+RECORD = pa.schema([(n, pa.string()) for n in ("path", "record_type", "record_id", "target_uri", "payload_digest", "refers_to")] + [("http_header", pa.binary()), ("payload", pa.binary()), ("error", pa.string())])
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
 #: WARC-Date of a record whose input names none; a fixed value keeps archives reproducible.
@@ -113,17 +119,56 @@ def export_warc(records: DataFrame, path: str, compression: str = "gzip") -> Non
     records.select(F.substring(whole, F.lit(1), F.length(whole) - 1).alias("value")).write.option("lineSep", "\n").option("compression", compression).text(path)
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            data, rows = io.BytesIO(content), []
+            stream = gzip.GzipFile(fileobj=data) if content[:2] == b"\x1f\x8b" else data
+            while True:
+                lines = []
+                while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+                    lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
+                if not lines:
+                    if line:
+                        continue  # blank lines between records
+                    break
+                fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+                size = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else 0
+                block = stream.read(size)
+                head, _, payload = block.partition(b"\r\n\r\n")
+                error = None if lines[0].startswith("WARC/") and "content-length" in fields and len(block) == size else "not a whole record"
+                rows.append((path, fields.get("warc-type"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-payload-digest"), fields.get("warc-refers-to"), head, payload, error))
+                if error or len(rows) == 1000:
+                    yield pa.RecordBatch.from_pylist([dict(zip(RECORD.names, r, strict=True)) for r in rows], RECORD)
+                    rows = []
+                if error:
+                    break
+            if rows:
+                yield pa.RecordBatch.from_pylist([dict(zip(RECORD.names, r, strict=True)) for r in rows], RECORD)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files, plain or gzip: path, record_type, record_id, target_uri, payload_digest, refers_to,
+    http_header and payload (bytes; a revisit's is empty), error.
+
+    A task reads whole files, so files should be of a part's size, as export_warc's are. What is no record, or cut
+    short, gives a row with an error and ends its file; fields that a record lacks are null.
+    """
+    kinds = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'string'}" for f in RECORD)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parsed, kinds)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages archived and read back: every column comes from the archive's own bytes."""
     records = read_archive(*write_archive(table(spark, sf_dir, "pages")))
+    # Fields begin lines; a URL that spells one has no line ends.
     header = F.decode("header", "UTF-8")
-    refers = F.regexp_extract(header, r"WARC-Refers-To: <urn:page:(-?[0-9]+)>", 1)
+    refers = F.regexp_extract(header, r"\r\nWARC-Refers-To: <urn:page:(-?[0-9]+)>\r\n", 1)
     return records.select(
         "page_id",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
         sha1_base32(F.col("payload")).alias("payload_digest"),
-        F.regexp_extract(header, r"WARC-Type: ([a-z]+)", 1).alias("record_type"),
+        F.regexp_extract(header, r"\r\nWARC-Type: ([a-z]+)\r\n", 1).alias("record_type"),
         F.when(refers != "", refers.cast("long")).alias("refers_to"),
-        F.regexp_extract(header, r"WARC-Target-URI: ([^\r]*)", 1).alias("target_uri"),
-        F.octet_length("record").cast("long").alias("record_bytes"),
+        F.regexp_extract(header, r"\r\nWARC-Target-URI: ([^\r]*)\r\n", 1).alias("target_uri"),
     )

@@ -50,3 +50,25 @@ def test_small_payloads_and_empty(spark):
     kinds = {r.page_id: bytes(r.header) for r in warc.read_archive(headers, payloads).collect()}
     assert b"response" in kinds[3] and b"WARC-Type: response" in kinds[4]
     assert warc.read_archive(*warc.write_archive(frame(spark, ROWS[:1]).limit(0))).count() == 0
+
+
+def test_forged_header(spark, tmp_path):
+    rows = [(1, "x\r\nWARC-Refers-To: <urn:page:7>\r\nWARC-Type: revisit\r\n", "a"), (2, "u WARC-Refers-To: <urn:page:7> WARC-Type: revisit", "b"), (3, "v", "a")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.op5_warc(spark, str(tmp_path)).collect()}
+    assert got == {1: ("response", None), 2: ("response", None), 3: ("revisit", 1)}
+
+
+def test_files_read_back(spark, tmp_path):
+    headers, payloads = warc.write_archive(frame(spark))
+    records = warc.read_archive(headers, payloads)
+    warc.export_warc(records, f"{tmp_path}/gz")
+    warc.export_warc(records, f"{tmp_path}/plain", "none")
+    want = sorted((bytes(r.header).decode().split("\r\n")[1], bytes(r.header).partition(b"\r\n\r\n")[2].strip(), b"" if b"Type: revisit" in r.header else bytes(r.payload)) for r in records.collect())
+    for folder in ("gz", "plain"):
+        got = warc.read_warc(spark, f"{tmp_path}/{folder}/part-*").collect()
+        assert all(r.error is None for r in got)
+        assert sorted((f"WARC-Type: {r.record_type}", bytes(r.http_header).strip(), bytes(r.payload)) for r in got) == want
+    Path(tmp_path, "cut.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nshort")
+    Path(tmp_path, "odd.warc").write_bytes(b"\xff\x00 no record\n\nx")
+    assert [r.error for r in warc.read_warc(spark, f"{tmp_path}/*.warc").collect()] == ["not a whole record"] * 2
