@@ -22,9 +22,11 @@ has there, and a quarter of these: the item's question (its words up to the last
 answer (the last sentence, or the last third of a single one) must both have
 OVERLAP of their word shingles there.
 
-The items may be of any number: they are indexed in shards of SHARD items, each
-bounded in size and broadcast, one pass over the documents a shard. Documents
-are never shuffled, so neither copies nor hot passages matter.
+The number of parts, their mean length and each term's document frequency are counted
+over all items. The items may be of any number: they are indexed in shards of
+about SHARD items and SHARD_CHARS characters, each broadcast, one pass over the documents a shard; scores
+do not depend on the shards. Documents are never shuffled, so neither copies nor
+hot passages matter.
 
 Words are what white space parts, in lower case, without other signs than letters
 and digits. Items and texts that are null or
@@ -43,17 +45,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import picked, slices, table
+from tessera.llm.common import picked, slices, staged, table
 
 K1, B = 1.2, 0.75
 BLOCK = 16
 BAR = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
-SHARD = 1024
+SHARD, SHARD_CHARS = 8192, 8_000_000
 HALF = 64
-#: Words of an item that are indexed at once; a longer item is indexed and found by each of its parts.
-PART = HALF
+#: Words of an item that are indexed at once; a longer item is indexed and found by each of its parts. A tail of under TAIL words goes with the part before it.
+PART, TAIL = HALF, 2 * SHINGLE
 NEITHER = r"[^\pL\pN]+"
 WEIGHTS = np.random.default_rng(20240601).integers(0, 1 << 63, 512, np.uint64) * np.uint64(2) + np.uint64(1)
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -123,15 +125,43 @@ def parts(text: str) -> tuple[str, str]:
     return " ".join(words[:cut]), " ".join(words[cut:])
 
 
+def pieces(h: np.ndarray) -> list[np.ndarray]:
+    """The parts of an item's words that are indexed."""
+    if not len(h):
+        return []
+    cuts = list(range(0, len(h), PART))
+    if len(cuts) > 1 and len(h) - cuts[-1] < TAIL:
+        cuts.pop()
+    return [h[a:b] for a, b in zip(cuts, [*cuts[1:], len(h)], strict=True)]
+
+
+@dataclass
+class Statistics:
+    """Of all items: parts, their mean length, and in how many parts each term is (terms in order)."""
+
+    n: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def counted(items: list[tuple[int, str]]) -> Statistics:
+    parts_ = [p for _, text in items for p in pieces(word_hashes(pa.array([text]))[0])]
+    terms, df = np.unique(np.concatenate([distinct(p) for p in parts_]), return_counts=True) if parts_ else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return Statistics(len(parts_), float(np.mean([len(p) for p in parts_])) if parts_ else 0.0, terms, df)
+
+
 @dataclass
 class Index:
-    """Of one shard: terms in order, their bounds, and postings by block and term."""
+    """Of one shard: terms in order, their bounds, the blocks that hold each term, and postings by term and block."""
 
     items: np.ndarray  # item id of each indexed part
     terms: np.ndarray
     most: np.ndarray  # by term
-    block_most: np.ndarray  # by block, then term
-    starts: np.ndarray  # by block, then term: where its postings begin
+    entries: np.ndarray  # by term: where its blocks begin; one more than terms
+    blocks: np.ndarray  # by entry
+    block_most: np.ndarray  # by entry
+    starts: np.ndarray  # by entry: where its postings begin; one more than entries
     slots: np.ndarray  # of postings: the part inside its block
     impacts: np.ndarray
     questions: list[tuple[int, np.ndarray]]  # words a shingle (fewer than SHINGLE if the text has fewer), shingles
@@ -139,24 +169,23 @@ class Index:
     around: list[tuple[int, int]]  # words of the item before the part and after it
 
 
-def build(items: list[tuple[int, str]]) -> Index | None:
-    """Index of items; None if none has words."""
+def build(items: list[tuple[int, str]], known: Statistics | None = None) -> Index | None:
+    """Index of items, with the statistics of all items (theirs if none are given); None if none has words."""
+    known = known or counted(items)
     ids, words, questions, answers, around = [], [], [], [], []
     for item, text in items:
         h, _ = word_hashes(pa.array([text]))
         if not len(h):
             continue
         q, a = (spelled(word_hashes(pa.array([x]))[0]) for x in parts(text))
-        for low in range(0, len(h), PART):
-            piece = h[low : low + PART]
-            # A tail of a few words says little and is found with the part before it.
-            if low and len(piece) < SHINGLE * 2:
-                continue
+        low = 0
+        for piece in pieces(h):
             ids.append(item)
             words.append(piece)
             questions.append(q)
             answers.append(a)
             around.append((low, len(h) - low - len(piece)))
+            low += len(piece)
     if not ids:
         return None
     # Like lengths share a block: a common word weighs most in short items, whose blocks are then few.
@@ -168,19 +197,29 @@ def build(items: list[tuple[int, str]]) -> Index | None:
     terms, code = np.unique(np.concatenate(words), return_inverse=True)
     cell, tf = np.unique(part * len(terms) + code, return_counts=True)
     part, code = cell // len(terms), cell % len(terms)
-    df = np.bincount(code, minlength=len(terms))
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    weight = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[part] / lengths.mean()))
+    df = known.df[np.searchsorted(known.terms, terms)]
+    idf = np.log1p((known.n - df + 0.5) / (df + 0.5))
+    weight = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[part] / known.mean))
     impact = weight / np.bincount(part, weight, n)[part]
     blocks = -(-n // BLOCK)
-    order = np.lexsort((part, code, part // BLOCK))
+    order = np.lexsort((part, code))
     part, code, impact = part[order], code[order], impact[order]
-    at = (part // BLOCK) * len(terms) + code
-    block_most = np.zeros(blocks * len(terms))
-    np.maximum.at(block_most, at, impact)
-    starts = np.searchsorted(at, np.arange(blocks * len(terms) + 1))
-    block_most = block_most.reshape(blocks, len(terms))
-    return Index(np.asarray(ids, np.int64), terms, block_most.max(axis=0), block_most, starts, part % BLOCK, impact, questions, answers, around)
+    at = code * blocks + part // BLOCK
+    entry = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    block_most = np.maximum.reduceat(impact, entry)
+    entries = np.searchsorted(at[entry] // blocks, np.arange(len(terms) + 1))
+    most = np.maximum.reduceat(block_most, entries[:-1])
+    return Index(np.asarray(ids, np.int64), terms, most, entries, at[entry] % blocks, block_most, np.append(entry, len(at)), part % BLOCK, impact, questions, answers, around)
+
+
+def spread(begins: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0] + 1, ... many[0] of them, then those from begins[1] on."""
+    ends = np.cumsum(many)
+    return np.repeat(begins - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+
+
+#: Cells (a passage and a block) whose bounds are summed at once.
+CELLS = 1 << 22
 
 
 def retrieve(index: Index, of: np.ndarray, code: np.ndarray, n: int, bar: float = BAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,20 +234,26 @@ def retrieve(index: Index, of: np.ndarray, code: np.ndarray, n: int, bar: float
         return empty, empty, np.zeros(0)
     rows = distinct(of)
     of = np.searchsorted(rows, of)
-    for b in range(len(index.block_most)):
-        most = index.block_most[b]
-        some = np.bincount(of, most[code], len(rows)) >= slack
-        mine = some[of] & (most[code] > 0)
-        if not mine.any():
+    blocks = int(index.blocks.max()) + 1
+    step = max(1, CELLS // blocks)
+    for low in range(0, len(rows), step):
+        a, b = np.searchsorted(of, (low, low + step))
+        o, c = of[a:b] - low, code[a:b]
+        many = index.entries[c + 1] - index.entries[c]
+        entry = spread(index.entries[c], many)
+        cell = np.repeat(o, many) * blocks + index.blocks[entry]
+        bound = np.bincount(cell, index.block_most[entry], min(step, len(rows) - low) * blocks)
+        live = bound[cell] >= slack
+        cell, entry = cell[live], entry[live]
+        if not len(cell):
             continue
-        o, c = of[mine], code[mine]
-        first = index.starts[b * len(most) + c]
-        many = index.starts[b * len(most) + c + 1] - first
-        ends = np.cumsum(many)
-        posting = np.repeat(first - (ends - many), many) + np.arange(ends[-1])
-        score = np.bincount(np.repeat(o, many) * BLOCK + index.slots[posting], index.impacts[posting], len(rows) * BLOCK)
+        cells, cell = np.unique(cell, return_inverse=True)
+        many = index.starts[entry + 1] - index.starts[entry]
+        posting = spread(index.starts[entry], many)
+        score = np.bincount(np.repeat(cell, many) * BLOCK + index.slots[posting], index.impacts[posting], len(cells) * BLOCK)
         hit = np.flatnonzero(score >= slack)
-        found.append((rows[hit // BLOCK], b * BLOCK + hit % BLOCK, score[hit]))
+        at = cells[hit // BLOCK]
+        found.append((rows[low + at // blocks], at % blocks * BLOCK + hit % BLOCK, score[hit]))
     if not found:
         return empty, empty, np.zeros(0)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
@@ -262,6 +307,19 @@ def matches(index: Index, texts: pa.Array, bar: float = BAR, overlap: float = OV
         yield r, i, s, q, a, k
 
 
+def terms_of(items: DataFrame) -> DataFrame:
+    """term, n (parts that have it); the parts and words of a task are told with its first term."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            found = counted([(0, x) for x in batch.column("text").to_pylist()])
+            if found.n:
+                first = np.arange(len(found.terms)) == 0
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found.terms.view(np.int64), found.df, np.where(first, found.n, 0), np.where(first, round(found.n * found.mean), 0))], ["term", "n", "parts", "words"])
+
+    return items.select("text").mapInArrow(rows, "term long, n long, parts long, words long")
+
+
 PAIRS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
@@ -280,12 +338,20 @@ def contaminated(
     spark = docs.sparkSession
     chosen = picked(docs, doc_id=id_col, text=text_col).filter("doc_id is not null")
     tests = picked(items, item_id=item_col, text=item_text_col).filter("item_id is not null and text is not null").distinct()
-    shards = -(-tests.count() // shard)
+    tests = staged(tests, "items")
+    many, chars = tests.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    shards = max(-(-many // shard), -(-chars // SHARD_CHARS))
+    terms = staged(terms_of(tests).groupBy("term").agg(F.sum("n").alias("df"), F.sum("parts").alias("parts"), F.sum("words").alias("words")), "terms")
+    n, words = terms.agg(F.sum("parts"), F.sum("words")).first()
     found = None
     for k in range(shards):
-        # About `shard` items at a time: their number is bounded, whatever the benchmark's size.
-        mine = tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).orderBy("item_id", "text").collect()
-        index = build([(r["item_id"], r["text"]) for r in mine])
+        # About `shard` items at a time: their number and length are bounded, whatever the benchmark's size.
+        some = tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
+        mine = some.orderBy("item_id", "text").collect()
+        told = terms.join(terms_of(some).select("term").distinct(), "term").select("term", "df").toArrow()
+        term, df = told.column("term").to_numpy().view(np.uint64), told.column("df").to_numpy()
+        order = np.argsort(term)
+        index = build([(r["item_id"], r["text"]) for r in mine], Statistics(n, words / n, term[order], df[order])) if len(term) else None
         if index is None:
             continue
         held = spark.sparkContext.broadcast(index)
