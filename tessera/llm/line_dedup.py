@@ -28,8 +28,8 @@ are joined to the repeated chunks by key, where adaptive execution splits a hot
 
 A null or empty text is returned as it is, and so is the text of a row with a null
 id. Rows that share an id count as one document: equal ones keep the same lines.
-Texts without repeats are unchanged, byte by byte. Columns of docs that are named
-like those of the result must be renamed first.
+Texts without repeats are unchanged, byte by byte. Other columns of docs keep their names;
+one called n_removed needs another name for the number of lines (`removed_col`).
 """
 
 from __future__ import annotations
@@ -111,8 +111,8 @@ def kept_ranges(docs: DataFrame, levels: int | None) -> DataFrame:
     return reached.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(gap)).alias("ranges"), F.max("high").alias("tail"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int | None = LEVELS) -> DataFrame:
-    """doc_id, text without repeated passages, n_removed (lines that went), and docs' other columns under their names.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", levels: int | None = LEVELS, removed_col: str = "n_removed") -> DataFrame:
+    """doc_id, text without repeated passages, removed_col (lines that went), and docs' other columns under their names.
 
     levels=None finds every passage, a number only those that as many ways of cutting find."""
     more = {f"more_{i}": c for i, c in enumerate(docs.columns) if c not in (id_col, text_col)}
@@ -124,7 +124,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     left = F.flatten(F.transform(whole, lambda r: F.slice(lines, r["low"] + 1, r["high"] - r["low"])))
     text = F.when(F.col("tail").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     lost = F.when(F.col("tail").isNull(), F.lit(0)).otherwise(F.size(lines) - F.aggregate(whole, F.lit(0), lambda n, r: n + r["high"] - r["low"]))
-    return both.select("doc_id", text.alias("text"), lost.cast("long").alias("n_removed"), *[F.col(k).alias(v) for k, v in more.items()])
+    return both.select("doc_id", text.alias("text"), lost.cast("long").alias(removed_col), *[F.col(k).alias(v) for k, v in more.items()])
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

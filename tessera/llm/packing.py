@@ -39,7 +39,7 @@ from tessera.llm.common import picked, slices, staged, table
 CAPACITY = 2048
 END = 0
 #: Distinct words whose ids a worker remembers, from task to task; beyond it, it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 MARK = "\x01"
 #: A letter, then punctuation other than the apostrophe, which contractions need.
 PARTED = r"(\pL)([.,!?;:*$%&#]+)"

@@ -5,9 +5,13 @@ counted over every document, and of target text, counted over labelled rows of
 good quality that are not toxic. A document's log importance weight is its mean
 log ratio of the two models times a nominal length, so that its own length
 decides nothing; few n-grams are drawn towards the usual ratio of target text.
+Divided by a temperature, it is the weight of the draw:
 Gumbel noise, drawn from the document's id and the seed, is added, and the k
 documents with the largest sums are the sample: draws without replacement in
-proportion to importance.
+proportion to tempered importance. Unless given, the temperature puts MARGIN units
+of noise between the bar and the LOW quantile of good held-out rows, so that chance decides among documents
+near the bar and leaves those alone that are as good as nearly all good rows. `effective_size` says how
+many equally weighted documents the draw amounts to.
 
 k is the number of documents whose weight reaches a bar. The bar comes from
 labelled rows held out of the target model: it is the value at which the share
@@ -55,6 +59,7 @@ PRIOR_GRAMS = 16
 COST = 4.0
 SEED = 20240601
 BINS = 4096
+MARGIN, LOW = 8.0, 0.01
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Runs of signs are words of their own.
 SIGNS = r"([^\pL\pN\s]+)"
@@ -221,12 +226,13 @@ class Sampler:
     usual: float
     nominal: int
     seed: int
+    temperature: float = 1.0
     toxic_bar: float = np.inf
     cut: float = -np.inf
 
     def keyed(self, docs: DataFrame, kept: list[str]) -> DataFrame:
         """The kept columns of docs (doc_id, text, more) with n_grams, log_weight, toxicity and key."""
-        return weighted(docs, self.ratios, self.toxic, self.usual, self.nominal, kept).withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), self.seed))
+        return weighted(docs, self.ratios, self.toxic, self.usual, self.nominal, kept).withColumn("key", F.col("log_weight") / F.lit(self.temperature) + gumbel(F.col("doc_id"), self.seed))
 
     def sample(self, keyed: DataFrame) -> DataFrame:
         return keyed.filter((F.col("key") >= F.lit(self.cut)) & (F.col("toxicity") < F.lit(self.toxic_bar)))
@@ -245,6 +251,7 @@ def fitted(
     nominal: int = NOMINAL,
     fit_rows: int = FIT_ROWS,
     seed: int = SEED,
+    temperature: float | None = None,
 ) -> tuple[Sampler, DataFrame]:
     """The sampler for docs, and each row's doc_id, n_grams, log_weight, toxicity and key."""
     chosen = picked(docs, doc_id=id_col, text=text_col)
@@ -268,7 +275,10 @@ def fitted(
     weights = nominal * (mean + usual * PRIOR_GRAMS / (n + PRIOR_GRAMS))
     bar = best_bar(weights[good], weights[bad])
     toxicity, is_toxic = np.asarray([r["toxicity"] for r in held]), np.asarray([r["toxic"] for r in held], bool)
-    sampler = Sampler(ratios, toxic, usual, nominal, seed, toxic_bar=-best_bar(-toxicity[good], -toxicity[is_toxic & out]) if toxic is not None else np.inf)
+    if temperature is None:
+        gap = float(np.quantile(weights[good], LOW)) - bar if good.any() and np.isfinite(bar) else 0.0
+        temperature = max(1.0, gap / MARGIN)
+    sampler = Sampler(ratios, toxic, usual, nominal, seed, temperature, toxic_bar=-best_bar(-toxicity[good], -toxicity[is_toxic & out]) if toxic is not None else np.inf)
     scored = staged(sampler.keyed(chosen, ["doc_id"]), "weights")
     drawn = sampler.sample(scored)
     sampler.cut = cut_of(drawn, drawn.filter(F.col("log_weight") >= F.lit(bar)).count() if k is None else k)
@@ -281,10 +291,24 @@ def resample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return sampler.sample(scored).drop("toxicity")
 
 
+def effective_size(scored: DataFrame, temperature: float) -> float:
+    """(sum of w)^2 / (sum of w^2) for the tempered weights w of scored rows: 1 where one document has all the weight."""
+    x = F.col("log_weight") / F.lit(temperature)
+    most = scored.agg(F.max(x)).first()[0]
+    if most is None:
+        return 0.0
+    w = F.exp(x - F.lit(most))
+    one, two = scored.agg(F.sum(w), F.sum(w * w)).first()
+    return float(one * one / two)
+
+
 def sampled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The sample as rows of docs, whose text and doc_id have these names. Weighs each text again, which is cheaper than a join."""
+    """The sample as rows of docs, whose text and doc_id have these names and whose other columns may have any. Weighs each text again, which is cheaper than a join."""
     sampler, _ = fitted(docs, labels)
-    return sampler.sample(sampler.keyed(docs, docs.columns)).select(*docs.columns)
+    more = {f"more_{i}": c for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    chosen = picked(docs, doc_id="doc_id", text="text", **more)
+    names = {c: k for k, c in more.items()} | {"doc_id": "doc_id", "text": "text"}
+    return sampler.sample(sampler.keyed(chosen, chosen.columns)).select(*[F.col(names[c]).alias(c) for c in docs.columns])
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,3 +104,34 @@ def test_worst_window():
     ratios[at] = 2.0
     texts = ["x " * 99 + "bad bad", "bad " + "x " * 30 + "bad", "bad " + "x " * 31 + "bad", "", None, "bad"]
     assert Q.worst(pa.array(texts), ratios, 32).tolist() == [4.0, 4.0, 2.0, 0.0, 0.0, 2.0]
+
+
+def test_query_is_gumbel_top_k(spark):
+    """The sample is what sorting all sums gives, and the noise decides some of it."""
+    docs, labels = made(300, seed=3)
+    a, b = frames(spark, docs, labels)
+    sampler, scored = Q.fitted(a, labels=b, k=120, temperature=40.0)
+    rows = scored.withColumn("noise", Q.gumbel(scored.doc_id, Q.SEED)).collect()
+    order = sorted(rows, key=lambda r: -(r.log_weight / 40.0 + r.noise))
+    got = {r.doc_id for r in sampler.sample(scored).collect()}
+    assert got == {r.doc_id for r in order[:120]}
+    plain = {r.doc_id for r in sorted(rows, key=lambda r: -r.log_weight)[:120]}
+    assert 5 < len(got - plain) < 100
+    w = np.exp(np.asarray([r.log_weight for r in rows]) / 40.0)
+    assert Q.effective_size(scored, 40.0) == pytest.approx(w.sum() ** 2 / (w * w).sum())
+
+
+def test_temperature_leaves_good_rows_alone(spark):
+    docs, labels = made(600, seed=5)
+    sampler, scored = Q.fitted(*frames(spark, docs, labels))
+    assert sampler.temperature > 1
+    assert {r.doc_id for r in sampler.sample(scored).collect()} == {i for i, _ in docs if i % 4}
+
+
+def test_clashing_columns(spark):
+    docs, labels = made(80)
+    a, b = frames(spark, docs, labels)
+    clash = a.selectExpr("1 AS key", "doc_id", "'n' AS n_grams", "text", "0.5 AS log_weight", "true AS toxicity", "7 AS more_0")
+    got = Q.sampled_documents(clash, b)
+    assert got.columns == clash.columns
+    assert {tuple(r)[0:1] + tuple(r)[2:3] + tuple(r)[6:] for r in got.collect()} == {(1, "n", 7)}
