@@ -100,18 +100,35 @@ def script_language_strict(text: Text, least: int = 50, share: float = 0.3) -> C
 # Quality ------------------------------------------------------------------------
 
 
+#: The heading of a scanned gazette, white space, and what odd sequences of OCR look like.
+GAZETTE = "Imprimerie Officielle de la République Tunisienne"
+SPACE = "[ \\t\\n\\r\\f\\x{0B}\\x{A0}\\x{FEFF}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+OTHER = SPACE.replace("[", "[^")
+SINGLE_LETTERS = f"[\\x{{600}}-\\x{{6FF}}]{SPACE}[\\x{{600}}-\\x{{6FF}}]{SPACE}[\\x{{600}}-\\x{{6FF}}]"
+MIXED_LETTERS = f"[\\x{{600}}-\\x{{6FF}}]{SPACE}[A-Z]{SPACE}[\\x{{600}}-\\x{{6FF}}]"
+SIGNS = r"[*#$%&!^|\\~<>{}=]"
+CORRUPT = 0.6
+
+
 def corruption_score(text: Text, least: int = 100) -> Column:
-    """0 to 1 from the shares of short tokens, single letters, odd signs and digits mixed into words; 0 for short texts."""
+    """0 to 1, corrupt from CORRUPT on: a gazette's heading, shares of tokens of one or two characters and of
+    short numbers (in texts of over 50 tokens), sequences of single letters, and the share of odd signs. 0 for short texts.
+
+    Counts come from regular expressions over the text; no list of words is made."""
     x = col(text)
-    w = words(x)
-    n = F.greatest(F.size(w), F.lit(1))
-    short = F.size(F.filter(w, lambda v: F.length(v) <= 2)) / n
-    single = F.size(F.filter(w, lambda v: v.rlike(r"^[A-Za-z]$"))) / n
-    odd = F.length(F.regexp_replace(x, r"[A-Za-zÀ-ÿ0-9 \t\n\r.,;:!?'()\"-]", "")) / F.greatest(F.length(x), F.lit(1))
-    mixed = F.size(F.filter(w, lambda v: v.rlike(r"[A-Za-z][0-9]|[0-9][A-Za-z]"))) / n
-    step = lambda share, a, x1, b, x2: F.when(share > a, x1).when(share > b, x2).otherwise(0.0)
-    score = step(short, 0.6, 0.35, 0.45, 0.20) + step(single, 0.2, 0.30, 0.1, 0.15) + step(odd, 0.2, 0.20, 0.1, 0.10) + step(mixed, 0.2, 0.25, 0.1, 0.15)
-    return F.when(F.length(x) < least, 0.0).otherwise(F.least(score, F.lit(1.0)))
+    alone = lambda token: F.regexp_count(x, F.lit(f"(?<!{OTHER}){token}(?!{OTHER})"))
+    n = F.regexp_count(x, F.lit(f"{OTHER}+"))
+    share = lambda k: F.when(n > 50, k / n).otherwise(0.0)
+    step = lambda value, a, x1, b, x2: F.when(value > a, x1).when(value > b, x2).otherwise(0.0)
+    score = (
+        F.when(F.contains(x, F.lit(GAZETTE)), 0.5).otherwise(0.0)
+        + step(share(alone(f"{OTHER}{{1,2}}")), 0.65, 0.35, 0.50, 0.20)
+        + step(F.regexp_count(x, F.lit(SINGLE_LETTERS)), 20, 0.30, 10, 0.15)
+        + step(F.regexp_count(x, F.lit(SIGNS)) / F.length(x), 0.025, 0.20, 0.015, 0.10)
+        + step(F.regexp_count(x, F.lit(MIXED_LETTERS)), 15, 0.25, 8, 0.15)
+        + F.when(share(alone("[0-9]{1,3}")) > 0.12, 0.15).otherwise(0.0)
+    )
+    return F.when(F.coalesce(F.length(x), F.lit(0)) < least, 0.0).otherwise(F.round(F.least(score, F.lit(1.0)), 2))
 
 
 # Trigrams -----------------------------------------------------------------------
@@ -140,16 +157,10 @@ def mask_token(x: Text, kept: int = 4) -> Column:
     return F.when(F.length(col(x)) <= 2 * kept, "***").otherwise(F.concat(F.left(col(x), F.lit(kept)), F.lit("***"), F.right(col(x), F.lit(kept))))
 
 
-def phone_e164(x: Text, country: str = "216", digits: int = 8) -> Column:
-    """+country and digits from the usual ways to write a number; null if it is none."""
+def phone_e164(x: Text, country: str = "216", local: str = "[2-9][0-9]{7}") -> Column:
+    """+country and digits from the usual ways to write a number; what is none comes back without other signs."""
     n = F.regexp_replace(col(x), r"[^0-9+]", "")
-    return (
-        F.when(n.rlike(rf"^\+{country}[0-9]{{{digits}}}$"), n)
-        .when(n.rlike(rf"^00{country}[0-9]{{{digits}}}$"), F.concat(F.lit("+"), F.substring(n, 3, 99)))
-        .when(n.rlike(rf"^{country}[0-9]{{{digits}}}$"), F.concat(F.lit("+"), n))
-        .when(n.rlike(rf"^0?[0-9]{{{digits}}}$"), F.concat(F.lit(f"+{country}"), F.right(n, F.lit(digits))))
-        .when(n.rlike(r"^\+[0-9]{8,15}$"), n)
-    )
+    return F.when(n.rlike(f"^{local}$"), F.concat(F.lit(f"+{country}"), n)).when(n.rlike(f"^00{country}{local}$"), F.concat(F.lit("+"), F.substring(n, 3, 99))).when(n.rlike(f"^{country}{local}$"), F.concat(F.lit("+"), n)).otherwise(n)
 
 
 # URLs ------------------------------------------------------------------------------

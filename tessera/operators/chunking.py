@@ -36,9 +36,23 @@ def page_groups(docs: DataFrame, pages: int = 3, least: int = 10, mark: str = "\
     return cut.filter(F.size(words("content")) >= least)
 
 
-def valid_chunk(content: Column, least_words: int = 10, least_letters: int = 5) -> Column:
-    letters = F.length(F.regexp_replace(content, r"[^\p{L}]", ""))
-    return (F.size(words(content)) >= least_words) & (letters >= least_letters)
+#: What is left of a table without cells, and an article of a code without its text.
+EMPTY_TABLE = r"^[\s|─═\-*]+$"
+HEADING_ONLY = r"^.+\|\s*الفصل\s+[\d\s]+\s*\|\s*\[codes\]\s*\n---\n(الفصل|Article)\s+[\d\s\w]*$"
+
+
+def valid_chunk(content: Column, last: Column | None = None, least_words: int = 40) -> Column:
+    """Whether the chunk has content, and enough words unless it is its document's last."""
+    told = F.trim(content)
+    empty = told.rlike(EMPTY_TABLE) | told.rlike(HEADING_ONLY) | (told == "")
+    return ~empty & ((F.size(words(content)) >= least_words) | (F.lit(False) if last is None else last))
+
+
+def kept_chunks(chunks: DataFrame, least_words: int = 40) -> DataFrame:
+    """chunks (doc_id, chunk, content, more) that are valid, numbered anew from 0."""
+    w = Window.partitionBy("doc_id").orderBy("chunk")
+    told = chunks.withColumn("_last", F.lead("chunk").over(w).isNull())
+    return told.filter(valid_chunk(F.col("content"), F.col("_last"), least_words)).withColumn("chunk", F.row_number().over(w) - 1).drop("_last")
 
 
 def sentences(text: str) -> list[str]:

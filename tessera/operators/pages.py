@@ -29,11 +29,24 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"[ \t\r]+", " "), r" ?\n[ \n]*", "\n"))
 
 
+def without_dots(path: Column) -> Column:
+    """The path with its . and .. parts carried out."""
+    parts = F.split(F.regexp_replace(path, r"^/", ""), "/")
+    fold = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    folder = F.when(path.rlike(r"(^|/)\.\.?$"), F.lit("/")).otherwise(F.lit(""))
+    joined = F.concat(F.lit("/"), F.array_join(fold, "/"))
+    return F.concat(joined, F.when(joined.endswith("/"), F.lit("")).otherwise(folder))
+
+
 def absolute(link: Column, url: Column) -> Column:
-    """The link as a whole URL, of the page it stands on."""
+    """The link as a whole URL, of the page it stands on; &amp; is decoded, parts . and .. are carried out."""
+    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
     base, scheme = F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]+)", 1), F.regexp_extract(url, r"^([A-Za-z]+:)", 1)
-    folder = F.concat(base, F.regexp_extract(path_of(url), r"^(.*/)", 1))
-    return F.when(link.rlike(r"^[A-Za-z]+://"), link).when(link.startswith("//"), F.concat(scheme, link)).when(link.startswith("/"), F.concat(base, link)).otherwise(F.concat(F.when(folder == base, F.concat(base, F.lit("/"))).otherwise(folder), link))
+    page = path_of(url)
+    path, rest = F.regexp_extract(link, r"^([^?#]*)", 1), F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
+    whole = F.when(path == "", F.when(page == "", F.lit("/")).otherwise(page)).otherwise(F.when(path.startswith("/"), path).otherwise(F.concat(F.regexp_extract(page, r"^(.*/)", 1), path)))
+    dotted = F.when(whole.rlike(r"(^|/)\.\.?(/|$)"), without_dots(whole)).otherwise(F.when(whole.startswith("/"), whole).otherwise(F.concat(F.lit("/"), whole)))
+    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link).when(link.startswith("//"), F.concat(scheme, link)).otherwise(F.concat(base, dotted, rest))
 
 
 def links_of(pages: DataFrame) -> DataFrame:
@@ -67,17 +80,22 @@ CONDITIONS = {
 
 
 def apply_rules(pages: DataFrame, rules: list[dict]) -> DataFrame:
-    """url, rule, category, confidence of the rules that hold: all conditions of a rule must match; the
-    confidence is 1 with its boost, capped. A rule is a list of (kind, value, negated) and stays in the plan, as
-    there are few. Fields that are missing match nothing."""
+    """url, rule, category, confidence of the rules that hold: all conditions of a rule must match, none that is negated; the
+    confidence is the share of conditions that are not negated, with the rule's boost, 1 at most. A rule without conditions
+    never holds. A rule is a list of (kind, value, negated) and stays in the plan, as there are few. Fields that are missing match nothing."""
     holding = []
     for rule in rules:
+        if not rule["conditions"]:
+            continue
         holds = F.lit(True)
         for kind, value, negated in rule["conditions"]:
             one = F.coalesce(CONDITIONS[kind](F.lit(value)), F.lit(False))
             holds = holds & (~one if negated else one)
-        share = F.least(F.lit(rule.get("base", 0.8) + rule.get("boost", 0.0)), F.lit(1.0))
-        holding.append(F.when(holds, F.struct(F.lit(rule["name"]).alias("rule"), F.lit(rule["category"]).alias("category"), share.alias("confidence"))))
+        share = sum(not negated for *_, negated in rule["conditions"]) / len(rule["conditions"])
+        confidence = F.lit(min(share + rule.get("boost", 0.0), 1.0))
+        holding.append(F.when(holds, F.struct(F.lit(rule["name"]).alias("rule"), F.lit(rule["category"]).alias("category"), confidence.alias("confidence"))))
+    if not holding:
+        return pages.select("url", F.lit("").alias("rule"), F.lit("").alias("category"), F.lit(0.0).alias("confidence")).limit(0)
     return pages.select("url", F.explode(F.array_compact(F.array(*holding))).alias("r")).select("url", "r.*")
 
 
@@ -193,10 +211,14 @@ def table_of(weights: dict[str, float], word: Column) -> Column:
     return out.otherwise(0.0)
 
 
-def breadcrumbs(pages: DataFrame) -> DataFrame:
-    """page_id, crumbs: the path's parts as words, without numbers and endings."""
+def crumbs_of(url: Column | str) -> Column:
+    """The path's parts as words, without numbers and endings."""
     part = lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, r"\.[A-Za-z0-9]+$", ""), r"[-_+]+", " "))
-    return pages.select("page_id", F.filter(F.transform(F.split(path_of("url"), "/"), part), lambda s: (s != "") & ~s.rlike("^[0-9 ]+$")).alias("crumbs"))
+    return F.filter(F.transform(F.split(path_of(url), "/"), part), lambda s: (s != "") & ~s.rlike("^[0-9 ]+$"))
+
+
+def breadcrumbs(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", crumbs_of("url").alias("crumbs"))
 
 
 def headings(html: Column) -> Column:

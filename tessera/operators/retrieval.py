@@ -115,8 +115,10 @@ def adaptive_bar(n_found: Column, least: float, floor: float, wanted: int = 3) -
     return F.when(n_found < wanted, F.greatest(F.lit(0.8 * least), F.lit(floor))).otherwise(F.lit(least))
 
 
-def quality_gate(n_words: Column, n_sources: Column, language: Column) -> Column:
-    base = F.when(language == "ar", 0.20).otherwise(0.25)
+def quality_gate(n_words: Column, n_sources: Column, language: Column, has_vectors: Column | None = None) -> Column:
+    """The least score of an answer's sources; higher where only words found them (has_vectors false)."""
+    vectors = F.lit(True) if has_vectors is None else has_vectors
+    base = F.when(language == "ar", F.when(vectors, 0.20).otherwise(0.22)).otherwise(F.when(vectors, 0.25).otherwise(0.30))
     bar = base * F.when(n_words <= 3, 0.85).otherwise(1.0) * F.when(n_sources <= 2, 0.90).otherwise(1.0)
     return F.greatest(F.lit(0.12), F.least(bar, F.lit(0.30)))
 

@@ -97,7 +97,7 @@ def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH p AS (SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN '+216 20 123 ' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') WHEN 1 THEN '0021620123' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') WHEN 2 THEN '20.123.' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') WHEN 3 THEN '+33 1 2345 67' || lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') ELSE '12' END AS raw FROM supplier), n AS (SELECT s_suppkey, regexp_replace(raw, '[^0-9+]', '', 'g') AS n FROM p)
- SELECT s_suppkey, CASE WHEN regexp_full_match(n, '\+216[0-9]{8}') THEN n WHEN regexp_full_match(n, '00216[0-9]{8}') THEN '+' || substr(n, 3) WHEN regexp_full_match(n, '216[0-9]{8}') THEN '+' || n WHEN regexp_full_match(n, '0?[0-9]{8}') THEN '+216' || right(n, 8) WHEN regexp_full_match(n, '\+[0-9]{8,15}') THEN n END AS phone FROM n""")
+ SELECT s_suppkey, CASE WHEN regexp_full_match(n, '[2-9][0-9]{7}') THEN '+216' || n WHEN regexp_full_match(n, '00216[2-9][0-9]{7}') THEN '+' || substr(n, 3) WHEN regexp_full_match(n, '216[2-9][0-9]{7}') THEN '+' || n ELSE n END AS phone FROM n""")
 def phone_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0")
     raw = F.concat(F.element_at(F.array(*map(F.lit, ("+216 20 123 ", "0021620123", "20.123.", "+33 1 2345 67", "12"))), (F.col("s_suppkey") % 5 + 1).cast("int")), F.when(F.col("s_suppkey") % 5 == 4, "").otherwise(end))

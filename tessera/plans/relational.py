@@ -249,13 +249,13 @@ def migration_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("o_custkey", F.round(F.least(F.lit(100.0), 2.0 * F.col("n") + 30.0 * F.col("t") / 5000000 + 20.0 * F.greatest(F.lit(0), 1 - age / 365.0)), 4).alias("score"))
 
 
-@query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) SELECT user_id, round(sum(value * pow(0.5, i)) FILTER (WHERE i <= 20) / sum(pow(0.5, i)) FILTER (WHERE i <= 20), 6) AS smoothed FROM r GROUP BY 1""")
+@query("""WITH r AS (SELECT user_id, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)) SELECT user_id, round(sum(value * pow(0.5, CASE WHEN i = n THEN i - 1 ELSE i END)), 6) AS smoothed FROM r GROUP BY 1""")
 def smoothed_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each new value counts half: weights halve with age. Twenty values leave less than a millionth."""
+    """(old + new) / 2, value by value, from the first: weights halve with age, and the first weighs as the second."""
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    rows = table(spark, sf_dir, "events").withColumn("i", F.row_number().over(w)).filter("i <= 20")
-    weight = F.pow(F.lit(0.5), F.col("i"))
-    return rows.groupBy("user_id").agg(F.round(F.sum(F.col("value") * weight) / F.sum(weight), 6).alias("smoothed"))
+    rows = table(spark, sf_dir, "events").select("user_id", "value", F.row_number().over(w).alias("i"), F.lead("event_id").over(w).isNull().alias("first"))
+    weight = F.pow(F.lit(0.5), F.col("i") - F.col("first").cast("int"))
+    return rows.groupBy("user_id").agg(F.round(F.sum(F.col("value") * weight), 6).alias("smoothed"))
 
 
 @query("""SELECT user_id, max(ts) AS last_seen, round(greatest(0.0, 1 - date_diff('day', max(ts), TIMESTAMP '2024-01-15') / 30.0), 6) AS freshness FROM events GROUP BY 1""")

@@ -144,10 +144,10 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'), m AS (SELECT conv_id, count(*) AS n, avg(length(text)) / 1000.0 AS mean FROM t GROUP BY 1) SELECT conv_id, n, round(mean, 6) AS mean, CASE WHEN n = 0 THEN 'no_sources' WHEN mean < 0.30 THEN 'abstain' WHEN mean < 0.40 AND n < 2 THEN 'low_quality' ELSE 'answer' END AS decision,
- round(greatest(0.12, least(0.25 * CASE WHEN n <= 3 THEN 0.85 ELSE 1.0 END * CASE WHEN n <= 2 THEN 0.90 ELSE 1.0 END, 0.30)), 6) AS gate FROM m""")
+ round(greatest(0.12, least(CASE WHEN mean > 0.2 THEN 0.25 ELSE 0.30 END * CASE WHEN n <= 3 THEN 0.85 ELSE 1.0 END * CASE WHEN n <= 2 THEN 0.90 ELSE 1.0 END, 0.30)), 6) AS gate FROM m""")
 def answer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = table(spark, sf_dir, "conversations").filter("role = 'assistant'").groupBy("conv_id").agg(F.count("*").alias("n"), (F.avg(F.length("text")) / 1000.0).alias("m"))
-    gate = retrieval.quality_gate(F.col("n"), F.col("n"), F.lit("fr"))
+    gate = retrieval.quality_gate(F.col("n"), F.col("n"), F.lit("fr"), F.col("m") > 0.2)
     return by.select("conv_id", "n", F.round("m", 6).alias("mean"), retrieval.abstention(F.col("m"), F.col("n")).alias("decision"), F.round(gate, 6).alias("gate"))
 
 

@@ -37,16 +37,17 @@ def best_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("key").agg(F.min(F.struct(-F.col("n"), "doc_id")).alias("m")).select("m.doc_id", "key")
 
 
-CORRUPT = r"""WITH d AS (SELECT doc_id, text, W AS w FROM documents), s AS (SELECT doc_id, length(text) AS chars, len(list_filter(w, lambda v: length(v) <= 2)) / greatest(len(w), 1) AS short,
- len(list_filter(w, lambda v: regexp_full_match(v, '[A-Za-z]'))) / greatest(len(w), 1) AS single, length(regexp_replace(text, '[A-Za-zÀ-ÿ0-9 \t\n\r.,;:!?''()"-]', '', 'g')) / greatest(length(text), 1) AS odd,
- len(list_filter(w, lambda v: regexp_matches(v, '[A-Za-z][0-9]|[0-9][A-Za-z]'))) / greatest(len(w), 1) AS mixed FROM d), c AS (SELECT doc_id, CASE WHEN chars < 100 THEN 0.0 ELSE
- least(CASE WHEN short > 0.6 THEN 0.35 WHEN short > 0.45 THEN 0.2 ELSE 0.0 END + CASE WHEN single > 0.2 THEN 0.3 WHEN single > 0.1 THEN 0.15 ELSE 0.0 END + CASE WHEN odd > 0.2 THEN 0.2 WHEN odd > 0.1 THEN 0.1 ELSE 0.0 END
- + CASE WHEN mixed > 0.2 THEN 0.25 WHEN mixed > 0.1 THEN 0.15 ELSE 0.0 END, 1.0) END AS x FROM s) SELECT doc_id, CAST(round(x, 4) AS DOUBLE) AS score FROM c""".replace("W AS w", f"{W} AS w")
+CORRUPT = r"""WITH d AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, 'SPACE+'), lambda v: v <> '') AS w FROM documents), s AS (SELECT doc_id, text, length(text) AS chars, len(w) AS n, len(list_filter(w, lambda v: length(v) <= 2)) / greatest(len(w), 1) AS short,
+ len(list_filter(w, lambda v: regexp_full_match(v, '[0-9]{1,3}'))) / greatest(len(w), 1) AS numbers, len(regexp_extract_all(text, 'SINGLE_LETTERS')) AS single, len(regexp_extract_all(text, 'MIXED_LETTERS')) AS mixed, len(regexp_extract_all(text, '[*#$%&!^|\\~<>{}=]')) / greatest(length(text), 1) AS odd FROM d)
+ SELECT doc_id, CAST(CASE WHEN chars < 100 THEN 0.0 ELSE round(least(CASE WHEN contains(text, 'GAZETTE') THEN 0.5 ELSE 0.0 END + CASE WHEN n > 50 AND short > 0.65 THEN 0.35 WHEN n > 50 AND short > 0.5 THEN 0.2 ELSE 0.0 END
+ + CASE WHEN single > 20 THEN 0.3 WHEN single > 10 THEN 0.15 ELSE 0.0 END + CASE WHEN odd > 0.025 THEN 0.2 WHEN odd > 0.015 THEN 0.1 ELSE 0.0 END + CASE WHEN mixed > 15 THEN 0.25 WHEN mixed > 8 THEN 0.15 ELSE 0.0 END + CASE WHEN n > 50 AND numbers > 0.12 THEN 0.15 ELSE 0.0 END, 1.0), 2) END AS DOUBLE) AS score FROM s"""
+for _name in ("SINGLE_LETTERS", "MIXED_LETTERS", "SPACE", "GAZETTE"):
+    CORRUPT = CORRUPT.replace(_name, getattr(T, _name))
 
 
 @query(CORRUPT)
 def corruption_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.corruption_score("text"), 4).alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.corruption_score("text").alias("score"))
 
 
 @query(r"""WITH d AS (SELECT doc_id, source, text, list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '') AS l FROM documents) SELECT doc_id, array_to_string(list_filter([CASE WHEN length(text) < 100 THEN 'block:short' END,
@@ -100,13 +101,20 @@ RULES = [
     {"name": "mobile", "category": "mobile", "conditions": [("url_contains", "://m.", False)], "boost": 0.1},
     {"name": "tracked", "category": "campaign", "conditions": [("url_contains", "utm_", False), ("url_contains", "ref=", True)], "boost": 0.3},
     {"name": "deep", "category": "detail", "conditions": [("url_pattern", "/[0-9]+", False), ("url_starts_with", "http", False)]},
+    {"name": "headed", "category": "article", "conditions": [("heading_contains", "the", False), ("title_pattern", "[a-z]", False), ("url_ends_with", ".pdf", True)], "boost": 0.05},
+    {"name": "crumbed", "category": "section", "conditions": [("breadcrumb_level", "p", False), ("breadcrumb_contains", "p", False), ("domain_match", "nowhere.org", True)]},
 ]
 
 
-@query(r"""SELECT url, 'mobile' AS rule, 'mobile' AS category, 0.9::DOUBLE AS confidence FROM pages WHERE contains(lower(url), '://m.') UNION ALL SELECT url, 'tracked', 'campaign', 1.0 FROM pages WHERE contains(lower(url), 'utm_') AND NOT contains(lower(url), 'ref=')
- UNION ALL SELECT url, 'deep', 'detail', 0.8 FROM pages WHERE regexp_matches(url, '/[0-9]+') AND starts_with(lower(url), 'http')""")
+@query(r"""WITH p AS (SELECT url, lower(array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), lambda h: trim(regexp_replace(regexp_replace(h, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))), lambda h: h <> ''), chr(10))) AS headings, trim(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1)) AS title,
+ list_filter(list_transform(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/'), lambda s: trim(regexp_replace(regexp_replace(s, '\.[A-Za-z0-9]+$', ''), '[-_+]+', ' ', 'g'))), lambda s: s <> '' AND NOT regexp_full_match(s, '[0-9 ]+')) AS crumbs, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host FROM pages)
+ SELECT url, 'mobile' AS rule, 'mobile' AS category, 1.0::DOUBLE AS confidence FROM p WHERE contains(lower(url), '://m.') UNION ALL SELECT url, 'tracked', 'campaign', 0.8 FROM p WHERE contains(lower(url), 'utm_') AND NOT contains(lower(url), 'ref=')
+ UNION ALL SELECT url, 'deep', 'detail', 1.0 FROM p WHERE regexp_matches(url, '/[0-9]+') AND starts_with(lower(url), 'http')
+ UNION ALL SELECT url, 'headed', 'article', round(2 / 3 + 0.05, 6) FROM p WHERE contains(headings, 'the') AND regexp_matches(title, '[a-z]') AND NOT ends_with(lower(url), '.pdf')
+ UNION ALL SELECT url, 'crumbed', 'section', round(2 / 3, 6) FROM p WHERE crumbs[1] = 'p' AND contains(lower(array_to_string(crumbs, chr(10))), 'p') AND NOT (host = 'nowhere.org' OR ends_with(host, '.nowhere.org'))""")
 def classified_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = table(spark, sf_dir, "pages").select("url", pages.title_of(F.col("html")).alias("title"), F.lit(None).cast("string").alias("headings"), F.lit(None).cast("array<string>").alias("crumbs"))
+    html = F.col("html")
+    told = table(spark, sf_dir, "pages").select("url", pages.title_of(html).alias("title"), F.array_join(pages.headings(html), "\n").alias("headings"), pages.crumbs_of("url").alias("crumbs"))
     return pages.apply_rules(told, RULES).withColumn("confidence", F.round("confidence", 6).cast("double"))
 
 
@@ -133,9 +141,11 @@ def word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "chunk", "n_words", F.md5("content").alias("digest"))
 
 
-@query(f"SELECT doc_id, len({W}) >= 10 AND length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) >= 5 AS valid FROM documents")
+@query(rf"""WITH d AS (SELECT doc_id, {W} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, CAST(floor((len(w) - 1) / 45) AS BIGINT) + 1)) AS i FROM d WHERE len(w) > 0), k AS (SELECT doc_id, i, len(list_slice(w, i * 45 + 1, i * 45 + 50)) AS n, array_to_string(list_slice(w, i * 45 + 1, i * 45 + 50), ' ') AS t, i = max(i) OVER (PARTITION BY doc_id) AS last FROM c)
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk, n AS n_words, md5(t) AS digest FROM k WHERE (n >= 40 OR last) AND NOT regexp_full_match(t, '[\s|─═*-]+')""")
 def chunk_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", chunking.valid_chunk(F.col("text")).alias("valid"))
+    made = chunking.kept_chunks(chunking.word_windows(table(spark, sf_dir, "documents"), 50, 5))
+    return made.select("doc_id", "chunk", "n_words", F.md5("content").alias("digest"))
 
 
 @query()
@@ -185,11 +195,14 @@ def ab_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.groupBy(hash_bucket(F.col("conv_id"), {"control": 0.5, "a": 0.3, "b": 0.2}).alias("variant")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', CAST(i AS INTEGER), 3))))) AS g FROM part), q AS (SELECT g FROM p ORDER BY p_partkey LIMIT 1)
- SELECT p_partkey, round(len(list_intersect(p.g, q.g)) / len(list_distinct(list_concat(p.g, q.g))), 6) AS similarity FROM p, q WHERE len(list_intersect(p.g, q.g)) / len(list_distinct(list_concat(p.g, q.g))) >= 0.4""")
+@query("""WITH p AS (SELECT p_partkey, p_name, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', CAST(i AS INTEGER), 3))))) AS g FROM part), q AS (SELECT lower(p_name) AS name, g FROM p ORDER BY p_partkey LIMIT 1),
+ s AS (SELECT p_partkey, lower(p_name) = name AS exact, contains(lower(p_name), left(name, 6)) AS inside, len(list_intersect(p.g, q.g)) / len(list_distinct(list_concat(p.g, q.g))) AS s FROM p, q) SELECT p_partkey, exact, round(s, 6) AS similarity FROM s WHERE inside OR s >= 0.6 ORDER BY exact DESC, s DESC, p_partkey LIMIT 50""")
 def fuzzy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that hold what is asked (here the first six letters of a name) or have at least 0.6 of its trigrams; equal ones first, then by similarity. The best 50."""
     part = table(spark, sf_dir, "part")
     # One row.
-    asked = part.orderBy("p_partkey").limit(1).select(T.trigrams("p_name").alias("asked"))
-    told = part.select("p_partkey", T.trigrams("p_name").alias("g")).crossJoin(F.broadcast(asked))
-    return told.select("p_partkey", T.set_similarity(F.col("g"), F.col("asked")).alias("s")).filter("s >= 0.4").select("p_partkey", F.round("s", 6).alias("similarity"))
+    asked = part.orderBy("p_partkey").limit(1).select(F.lower("p_name").alias("name"), T.trigrams("p_name").alias("asked"))
+    told = part.select("p_partkey", F.lower("p_name").alias("mine"), T.trigrams("p_name").alias("g")).crossJoin(F.broadcast(asked))
+    scored = told.select("p_partkey", (F.col("mine") == F.col("name")).alias("exact"), F.contains("mine", F.left("name", F.lit(6))).alias("inside"), T.set_similarity(F.col("g"), F.col("asked")).alias("s"))
+    found = scored.filter("inside or s >= 0.6").orderBy(F.desc("exact"), F.desc("s"), "p_partkey").limit(50)
+    return found.select("p_partkey", "exact", F.round("s", 6).alias("similarity"))

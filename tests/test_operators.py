@@ -32,7 +32,7 @@ def test_strict_language(spark):
     assert one(spark, text.script_language_strict("t"), t="a" * 30 + "م" * 30) == "mixed"
 
 
-@pytest.mark.parametrize(("raw", "want"), [("+216 20 123 456", "+21620123456"), ("0021620123456", "+21620123456"), ("21620123456", "+21620123456"), ("20-123-456", "+21620123456"), ("12", None), (None, None)])
+@pytest.mark.parametrize(("raw", "want"), [("+216 20 123 456", "+21620123456"), ("0021620123456", "+21620123456"), ("21620123456", "+21620123456"), ("20-123-456", "+21620123456"), ("12", "12"), ("10123456", "10123456"), ("020123456", "020123456"), ("+33 1 23 45", "+3312345"), ("216 71 123 456", "+21671123456"), (None, None)])
 def test_phone(spark, raw, want):
     assert one(spark, text.phone_e164(F.lit(raw).cast("string"))) == want
 
@@ -155,3 +155,55 @@ def test_vectors_and_sources(spark, tmp_path):
     assert {(r.k, r.v) for r in tables.updated(base, new.filter("k = 2"), "k", ["v"]).collect()} == {(1, "a"), (2, "y")}
     tables.export(base, str(tmp_path / "out"), "csv")
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 2
+
+
+ARABIC = "م"
+
+
+@pytest.mark.parametrize(
+    ("t", "want"),
+    [
+        ("short", 0.0),
+        (None, 0.0),
+        ("a plain sentence that says something useful " * 4, 0.0),
+        ("x" * 100 + " Imprimerie Officielle de la République Tunisienne", 0.5),
+        ("ab " * 60, 0.35),
+        ("ab " * 60 + "abc " * 50, 0.2),
+        ("ab " * 40 + "abc", 0.0),  # not over 50 tokens
+        ("word " * 52 + "12 " * 10, 0.15),
+        ("word " * 60 + "1234 " * 20, 0.0),
+        (f"{ARABIC} {ARABIC} {ARABIC}x " * 21, 0.65),
+        ("word " * 40 + "= " * 4, 0.1),
+        ("word " * 20 + "=" * 4, 0.2),
+        (f"{ARABIC} A {ARABIC}" * 16 + "x" * 40, 0.25),
+    ],
+)
+def test_corruption(spark, t, want):
+    from pyspark.sql import functions as F
+
+    assert one(spark, text.corruption_score(F.lit(t).cast("string"))) == want
+
+
+def test_gate_rules_chunks_links(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import chunking, pages, retrieval
+
+    gate = lambda words, found, lang, vectors: one(spark, F.round(retrieval.quality_gate(F.lit(words), F.lit(found), F.lit(lang), F.lit(vectors)), 6))
+    assert [gate(9, 9, "ar", True), gate(9, 9, "ar", False), gate(9, 9, "fr", True), gate(9, 9, "fr", False)] == [0.20, 0.22, 0.25, 0.30]
+    assert gate(3, 2, "fr", True) == round(0.25 * 0.85 * 0.9, 6) and gate(3, 2, "ar", True) == 0.153
+    page = spark.createDataFrame([("http://a.org/x/1", "T", None, ["x"])], "url string, title string, headings string, crumbs array<string>")
+    rules = [
+        {"name": "r", "category": "c", "conditions": [("url_contains", "a.org", False), ("url_contains", "b.org", True)], "boost": 0.2},
+        {"name": "none", "category": "c", "conditions": []},
+        {"name": "no", "category": "c", "conditions": [("url_contains", "a.org", True), ("breadcrumb_exact", "x", False)]},
+    ]
+    assert [(r.rule, r.confidence) for r in pages.apply_rules(page, rules).collect()] == [("r", 0.7)]
+    rows = [(1, 0, "word " * 40), (1, 1, "word " * 39), (1, 2, "| --- |\n|  |"), (1, 3, "tail"), (2, 0, "|---|"), (3, 0, "x | الفصل 12 | [codes]\n---\nالفصل 12"), (3, 1, "end")]
+    kept = chunking.kept_chunks(spark.createDataFrame(rows, "doc_id long, chunk int, content string")).collect()
+    assert sorted((r.doc_id, r.chunk, r.content[:4]) for r in kept) == [(1, 0, "word"), (1, 1, "tail"), (3, 0, "end")]
+    url = "http://a.org/p/q/r.html?z=1"
+    want = {"../x": "http://a.org/p/x", "./y": "http://a.org/p/q/y", "?k=2": "http://a.org/p/q/r.html?k=2", "/a/../b": "http://a.org/b", "s?a=1&amp;b=2": "http://a.org/p/q/s?a=1&b=2", "//o.org/x": "http://o.org/x", "..": "http://a.org/p/", "../../../up": "http://a.org/up", "https://q/../x": "https://q/../x"}
+    for link, target in want.items():
+        assert one(spark, pages.absolute(F.lit(link), F.lit(url))) == target, link
+    assert one(spark, pages.absolute(F.lit("x"), F.lit("http://a.org"))) == "http://a.org/x"
