@@ -18,10 +18,11 @@ labelled rows held out of the target model: it is the value at which the share
 of bad rows let through plus COST times the share of good rows lost is least.
 
 Toxic text is rejected by a second model, whatever its quality: in how many labelled
-toxic rows each n-gram occurs, against the labelled rows that are not toxic. A few
-insults move the mean of a long text too little, so a document's toxicity is the largest
-sum of log ratios over all windows of WINDOW words of its whole text. Its bar comes from
-held-out rows in the same way (toxic ones against good ones), and documents
+toxic rows each n-gram occurs, against the labelled rows that are not toxic; equal texts
+count once. A few insults move the mean of a long text too little, so a document's toxicity is the largest
+sum of log ratios over all windows of WINDOW words of its whole text. Ratios under a
+floor count nothing, so that many weak signs do not add up in clean text. The floor (of FLOORS) and the
+bar come from held-out rows in the same way (toxic ones against good ones), and documents
 at that bar or above take no part in the draw.
 
 Only labelled rows are sampled, by hash, FIT_ROWS of them at most. Raw counts,
@@ -60,6 +61,7 @@ COST = 4.0
 SEED = 20240601
 BINS = 4096
 MARGIN, LOW = 8.0, 0.01
+FLOORS = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 5.0)
 PRIME, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Runs of signs are words of their own.
 SIGNS = r"([^\pL\pN\s]+)"
@@ -147,6 +149,19 @@ def worst(texts: pa.Array, ratios: np.ndarray, window: int = WINDOW) -> np.ndarr
     return out
 
 
+def toxicities(held: DataFrame, ratios: np.ndarray, floors: tuple[float, ...] = FLOORS) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of the held-out rows (text, good, toxic) is toxic, and its toxicity at each floor (a row each)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = [np.where(ratios >= floor, ratios, np.float32(0)) for floor in floors]
+        for batch in slices(batches, "text"):
+            found = np.stack([worst(batch.column("text"), x) for x in each], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, len(floors)), pa.int32()), pa.array(found.ravel()))], ["toxic", "at"])
+
+    got = held.select("text", "toxic").mapInArrow(rows, "toxic boolean, at array<double>").collect()
+    return np.asarray([r["toxic"] for r in got], bool), np.asarray([r["at"] for r in got], float).reshape(-1, len(floors))
+
+
 def log_ratios(target: np.ndarray, raw: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
     """log p_target / p_raw by bucket; both are smoothed at the size of the smaller model."""
     size = min(target.sum(), raw.sum())
@@ -176,15 +191,19 @@ def weighted(docs: DataFrame, ratios: np.ndarray, toxic: np.ndarray | None, usua
 
 def best_bar(good: np.ndarray, bad: np.ndarray, cost: float = COST) -> float:
     """Between the values where the cost steps, the middle of the best gap; minus infinity without both kinds."""
+    return best_step(good, bad, cost)[0]
+
+
+def best_step(good: np.ndarray, bad: np.ndarray, cost: float = COST) -> tuple[float, float]:
+    """The bar and its cost."""
     if not len(good) or not len(bad):
-        return -np.inf
+        return -np.inf, np.inf
     at = np.unique(np.concatenate([good, bad]))
     lost = np.searchsorted(np.sort(good), at) / len(good)
     let = 1 - np.searchsorted(np.sort(bad), at) / len(bad)
-    i = int(np.argmin(cost * lost + let))
-    if i == 0:
-        return -np.inf
-    return float((at[i] + at[i - 1]) / 2)
+    costs = cost * lost + let
+    i = int(np.argmin(costs))
+    return (float((at[i] + at[i - 1]) / 2) if i else -np.inf), float(costs[i])
 
 
 def gumbel(doc_id: Column, seed: int) -> Column:
@@ -264,21 +283,26 @@ def fitted(
     # At most fit_rows ids of 24 bytes.
     fit = staged(chosen.join(F.broadcast(some), "doc_id"), "labelled")
     ratios = log_ratios(counted(fit.filter("good and not held"), size), counted(chosen, size))
-    in_toxic, in_others = counted_rows(fit.filter("not held"), size * FINER)
-    toxic = toxic_ratios(in_toxic, in_others) if in_toxic.any() and in_others.any() else None
-    held = weighted(fit.filter("bad or held"), ratios, toxic, 0.0, nominal, ["doc_id", "good", "bad", "toxic", "held"]).groupBy("doc_id", "good", "bad", "toxic", "held")
-    held = held.agg(F.max("log_weight").alias("w"), F.max("n_grams").alias("n"), F.max("toxicity").alias("toxicity")).collect()
+    in_toxic, in_others = counted_rows(fit.filter("not held").dropDuplicates(["text", "toxic"]), size * FINER)
+    toxic, toxic_bar = toxic_ratios(in_toxic, in_others) if in_toxic.any() and in_others.any() else None, np.inf
+    if toxic is not None:
+        is_toxic, at = toxicities(fit.filter("held and (good or toxic)"), toxic)
+        # Toxic text lies above its bar: signs turned, as best_step keeps what is large. Of like floors the smallest.
+        steps = [best_step(-at[~is_toxic, f], -at[is_toxic, f]) for f in range(len(FLOORS))]
+        floor = int(np.argmin([cost for _, cost in steps]))
+        toxic, toxic_bar = np.where(toxic >= FLOORS[floor], toxic, np.float32(0)), -steps[floor][0]
+    held = weighted(fit.filter("bad or held"), ratios, None, 0.0, nominal, ["doc_id", "good", "bad", "held"]).groupBy("doc_id", "good", "bad", "held")
+    held = held.agg(F.max("log_weight").alias("w"), F.max("n_grams").alias("n")).collect()
     mean = np.asarray([r["w"] / nominal for r in held])
     good, bad, out = (np.asarray([r[x] for r in held], bool) for x in ("good", "bad", "held"))
     good, n = good & out, np.asarray([r["n"] for r in held])
     usual = float(np.median(mean[good])) if good.any() else 0.0
     weights = nominal * (mean + usual * PRIOR_GRAMS / (n + PRIOR_GRAMS))
     bar = best_bar(weights[good], weights[bad])
-    toxicity, is_toxic = np.asarray([r["toxicity"] for r in held]), np.asarray([r["toxic"] for r in held], bool)
     if temperature is None:
         gap = float(np.quantile(weights[good], LOW)) - bar if good.any() and np.isfinite(bar) else 0.0
         temperature = max(1.0, gap / MARGIN)
-    sampler = Sampler(ratios, toxic, usual, nominal, seed, temperature, toxic_bar=-best_bar(-toxicity[good], -toxicity[is_toxic & out]) if toxic is not None else np.inf)
+    sampler = Sampler(ratios, toxic, usual, nominal, seed, temperature, toxic_bar)
     scored = staged(sampler.keyed(chosen, ["doc_id"]), "weights")
     drawn = sampler.sample(scored)
     sampler.cut = cut_of(drawn, drawn.filter(F.col("log_weight") >= F.lit(bar)).count() if k is None else k)
