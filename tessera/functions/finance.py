@@ -41,6 +41,50 @@ def child_support(income: Column, children: Column, share: float = 0.25) -> Colu
     return F.when(children > 0, F.round(income * share / children, 3))
 
 
+def half_up(x: Column, places: int) -> Column:
+    """Rounded as numbers of the calculators are: halves go up."""
+    return F.floor(x * 10**places + 0.5) / 10**places
+
+
+def amount_due(principal: Column, owed: Column, fee: float = 40.0) -> Column:
+    """Principal, its interest and the flat fee of recovery; null unless the principal is above 0."""
+    return F.when(principal > 0, half_up(principal + owed + fee, 3))
+
+
+def statutory_interest(principal: Column, percent: Column, days: Column) -> Column:
+    """Interest as the stored procedure has it: 14.5 % where no rate is known, to the third place, null without a
+    principal or a date; days before the term count below 0."""
+    return F.round(principal * (F.coalesce(percent, F.lit(14.5)) / 100) * (days / 365), 3)
+
+
+def compensation(years: Column, income: Column, months: float = 2.0) -> Column:
+    """Months of income for each year; 0 where either is not above 0."""
+    return F.when((years > 0) & (income > 0), half_up(years * months * income, 2)).otherwise(0.0)
+
+
+def support_band(income: Column, children: Column, percent: float = 25.0) -> Column:
+    """per_child, total, low, high: the part of the income for children, each child's part and its band of 20 to 30 %; 0 without income or children."""
+    some = (income > 0) & (children > 0)
+    of = lambda x: F.when(some, half_up(x, 2)).otherwise(0.0)
+    n = F.when(children > 0, children)
+    return F.struct(of(income * percent / 100 / n).alias("per_child"), of(income * percent / 100).alias("total"), of(income * 20 / 100 / n).alias("low"), of(income * 30 / 100 / n).alias("high"))
+
+
+def minor(born: Column, day: Column) -> Column:
+    return full_years(born, day) < 18
+
+
+#: What each sign of a doubtful answer weighs.
+SIGNS = {"low_similarity": 0.30, "single_source": 0.20, "source_conflict": 0.25, "source_outdated": 0.15, "sensitive_topic": 0.10, "citation_warning": 0.15, "quality_gate": 0.20, "cross_legal_code": 0.25}
+
+
+def answer_risk(signs: dict[str, Column]) -> Column:
+    """score, level: the weights of the signs that hold, at most 1; high from 0.65, medium from 0.40. An unknown sign does not hold."""
+    total = sum((F.when(holds, SIGNS[name]).otherwise(0.0) for name, holds in signs.items()), F.lit(0.0))
+    score = F.least(F.round(total, 2), F.lit(1.0))
+    return F.struct(score.alias("score"), F.when(score >= 0.65, "high").when(score >= 0.40, "medium").otherwise("low").alias("level"))
+
+
 def urgency(days_left: Column) -> Column:
     return F.when(days_left < 0, "overdue").when(days_left <= 3, "critical").when(days_left <= 7, "urgent").when(days_left <= 15, "soon").otherwise("normal")
 

@@ -40,3 +40,20 @@ def tag_overlap(a: Column, b: Column) -> Column:
     """Common tags over the larger list's size; 0 without tags."""
     most = F.greatest(F.size(a), F.size(b))
     return F.when(most > 0, F.size(F.array_intersect(a, b)) / most).otherwise(F.lit(0.0))
+
+
+def any_between(columns: list[str], low: object | None, high: object | None) -> Column | None:
+    """Whether one of the columns is in the range."""
+    ranges = [r for c in columns if (r := between(c, low, high)) is not None]
+    return functools.reduce(lambda a, b: a | b, ranges) if ranges else None
+
+
+def holds_all(json: str, values: list[str]) -> Column:
+    """Whether a JSON array of strings contains each value; unknown where it is null."""
+    told = F.from_json(F.col(json), "array<string>")
+    return functools.reduce(lambda a, b: a & b, [F.array_contains(told, v) for v in values], told.isNotNull())
+
+
+def any_object(json: str, schema: str, test) -> Column:
+    """Whether an object of a JSON array passes; false for an empty or a null one."""
+    return F.coalesce(F.exists(F.from_json(F.col(json), f"array<struct<{schema}>>"), test), F.lit(False))

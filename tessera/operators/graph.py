@@ -40,6 +40,12 @@ def tree_paths(nodes: DataFrame, separator: str = " > ", most: int = 50) -> Data
     raise ValueError(f"the tree is deeper than {most} levels")
 
 
+def subtree(nodes: DataFrame, root: str, separator: str = " > ") -> DataFrame:
+    """code, label, depth, path of the node called root and all below it, depth and path from there."""
+    cut = nodes.withColumn("parent", F.when(F.col("code") != root, F.coalesce("parent", F.lit(""))))
+    return tree_paths(cut, separator)
+
+
 def pagerank(edges: DataFrame, damping: float = 0.85, most: int = 20, tolerance: float = 1e-4, boosts: DataFrame | None = None) -> DataFrame:
     """node, rank, score of edges (src, dst): rank starts at 1/N, is multiplied by the node's boost in every
     turn, and stops when no rank moves by the tolerance; score is rank between 0 and 1, 0.5 if all are equal.

@@ -124,9 +124,33 @@ def ban_signal(status: Column, body: Column) -> Column:
     )
 
 
+#: Words of a text that is repealed, annulled or replaced.
+REPEALED = "أُلغي|ملغى|نُسخ|عُوِّض|يعوّض|(?iu:abrog[ée]|annul[ée]|remplacé par)"
+
+
+def change_kind(old: Column, new: Column) -> Column:
+    """new (nothing before), none, repeal (its words are new), minor (under 5 % of lines) or major."""
+    share = change_share(old, new)
+    repeal = F.coalesce(new, F.lit("")).rlike(REPEALED) & ~F.coalesce(old, F.lit("")).rlike(REPEALED)
+    return F.when(old.isNull(), "new").when(share == 0, "none").when(repeal, "repeal").when(share < 0.05, "minor").otherwise("major")
+
+
+#: Least confidence of a class and least quality, by domain or category.
+THRESHOLDS = {
+    "jurisprudence": (0.65, 75), "legislation": (0.75, 85), "doctrine": (0.60, 70), "immobilier": (0.70, 80), "fiscal": (0.72, 82), "commercial": (0.68, 78), "penal": (0.73, 83), "famille": (0.67, 77),
+    "social": (0.69, 79), "administratif": (0.71, 81), "bancaire": (0.72, 82), "propriete_intellectuelle": (0.70, 80), "international_public": (0.68, 78), "default": (0.70, 80),
+}
+
+
+def threshold(category: Column, domain: Column, quality: bool = False) -> Column:
+    """The domain's, else the category's, else the default."""
+    known = F.create_map(*[F.lit(x) for name, pair in THRESHOLDS.items() for x in (name, float(pair[quality]))])
+    return F.coalesce(F.try_element_at(known, domain), F.try_element_at(known, category), F.lit(float(THRESHOLDS["default"][quality])))
+
+
 def change_share(old: Column, new: Column) -> Column:
     """1 less the similarity of the two texts' sets of lines that are not blank."""
-    lines = lambda x: F.array_distinct(F.filter(F.transform(F.split(x, "\n"), F.trim), lambda s: s != ""))
+    lines = lambda x: F.array_distinct(F.filter(F.transform(F.split(x, "\n"), lambda s: F.trim(s)), lambda s: s != ""))
     a, b = lines(F.coalesce(old, F.lit(""))), lines(F.coalesce(new, F.lit("")))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 0.0).otherwise(1 - set_similarity(a, b))
 
@@ -232,7 +256,7 @@ def markdown_tables(html: Column) -> Column:
     rows = lambda t: F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1), row), lambda r: F.size(r) > 0)
 
     def written(cells: Column) -> Column:
-        width = F.array_max(F.transform(cells, F.size))
+        width = F.array_max(F.transform(cells, lambda c: F.size(c)))
         line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
         rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), width))
         lines = F.transform(cells, line)
@@ -262,7 +286,7 @@ def published_on(html: Column) -> Column:
 
 def structured_data(html: Column) -> Column:
     """The JSON-LD blocks of a page, as they stand."""
-    return F.transform(F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1), F.trim)
+    return F.transform(F.regexp_extract_all(html, F.lit(r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1), lambda s: F.trim(s))
 
 
 def garbled(text: Column, least: float = 0.4, sample: int = 500) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """One row per file with its bytes and the kind that its first bytes tell."""
+    """One row per file with its bytes and the kind that its first bytes tell; Spark lists no files of no bytes."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return raw.withColumn("kind", kind_of(F.col("content")))
 
@@ -64,6 +67,39 @@ def updated(base: DataFrame, ids: DataFrame, key: str, values: list[str]) -> Dat
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in base.columns])
 
 
+def deleted(base: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """base without the rows of the keys; null keys delete nothing and are not deleted."""
+    return base.join(ids.select(key).distinct(), key, "left_anti")
+
+
+def docx_text(content: bytes) -> str | None:
+    """Paragraphs of a DOCX file, tabs and breaks kept; null if it is none."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    try:
+        body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, RuntimeError, NotImplementedError, OSError, zlib.error):
+        return None
+    signs = {w + "tab": "\t", w + "br": "\n", w + "cr": "\n"}
+    lines = ("".join(e.text or "" if e.tag == w + "t" else signs.get(e.tag, "") for e in p.iter()) for p in body.iter(w + "p"))
+    return "\n".join(lines).strip()
+
+
+def parsed_files(found: DataFrame) -> DataFrame:
+    """path, kind, text of files(): DOCX by its paragraphs, HTML and text decoded as UTF-8; null for other kinds."""
+
+    def rows(batches):
+        for batch in batches:
+            kinds = batch.column("kind").to_pylist()
+            texts = [docx_text(c) if k == "zip" else c.decode("utf-8", "replace") if k in ("html", "text", "empty") else None for k, c in zip(kinds, batch.column("content").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("kind"), pa.array(texts, pa.string())], ["path", "kind", "text"])
+
+    return found.select("path", "kind", "content").mapInArrow(rows, "path string, kind string, text string")
+
+
 def export(df: DataFrame, path: str, kind: str = "json") -> None:
     """A report as JSON, CSV or Parquet, written by all tasks."""
     writer = df.write.mode("overwrite")
