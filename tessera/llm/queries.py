@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import sql
 from tessera.llm.decontam import op2_decontam
 from tessera.llm.html_text import op1_html
 from tessera.llm.license_scan import op7_licenses
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_lines": sql.LINES, "op5_warc": sql.WARC, "op8_pii": sql.pii_sql(), "op10_neardup": sql.NEARDUP}
