@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import chunking, pages, references, retrieval, selection
-from tessera.plans.registry import query
+from tessera.plans.registry import query, quoted
 from tessera.sources.tables import table
 
 PATH = r"regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1)"
@@ -31,7 +31,12 @@ def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all(html, F.lit(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), 1)).alias("n_headings"), F.size(F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), 1)).alias("n_tables"))
 
 
-@query()
+CELLS = r"list_transform(regexp_extract_all(r, '(?is)<t[dh][^>]*>(.*?)</t[dh]>', 1), lambda c: replace(trim(regexp_replace(regexp_replace(c, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' '), '|', '\|'))"
+
+
+@query(rf"""WITH t AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<table[^>]*>(.*?)</table>', 1), lambda t: list_filter(list_transform(regexp_extract_all(t, '(?is)<tr[^>]*>(.*?)</tr>', 1), lambda r: {CELLS}), lambda r: len(r) > 0)), lambda t: len(t) > 0) AS tables FROM pages),
+ u AS (SELECT page_id, unnest(tables) AS c, unnest(range(0, len(tables))) AS n FROM t), w AS (SELECT *, list_max(list_transform(c, lambda r: len(r))) AS width FROM u), l AS (SELECT *, list_transform(c, lambda r: '| ' || array_to_string(list_resize(r, width, ''), ' | ') || ' |') AS l FROM w)
+ SELECT page_id, CAST(n AS INTEGER) AS n, '[TABLE]' || chr(10) || l[1] || chr(10) || '|' || repeat(' --- |', width) || chr(10) || array_to_string(l[2:], chr(10)) || chr(10) || '[/TABLE]' AS markdown FROM l""")
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(pages.markdown_tables(F.col("html"))).alias("n", "markdown"))
     return found
@@ -53,7 +58,7 @@ def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("conv_id", "turn", selection.query_kind(F.col("text")).alias("kind"))
 
 
-@query()
+@query(rf"""WITH f AS (SELECT doc_id, 'article' AS kind, unnest(regexp_extract_all(text, {quoted(references.ARTICLE)}, 1)) AS number FROM documents UNION ALL SELECT doc_id, 'law', unnest(regexp_extract_all(text, {quoted(references.LAW)}, 1)) FROM documents) SELECT doc_id, kind, regexp_replace(number, '\s+', ' ', 'g') AS number, count(*) AS n FROM f GROUP BY ALL""")
 def cited_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.cited(table(spark, sf_dir, "documents"))
 
@@ -133,12 +138,25 @@ def garbled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", pages.garbled(F.col("text"), 0.6).alias("garbled"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages), m AS (SELECT host, min(path) AS a, max(path) AS b FROM p GROUP BY 1),
+ s AS (SELECT host, left(a, list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda i: left(a, i) = left(b, i)))) AS prefix FROM m) SELECT host, prefix FROM s WHERE length(prefix) >= 2""")
 def shared_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.mined_affix(table(spark, sf_dir, "pages"), 2)
 
 
-@query()
+def meta_sql(name: str) -> str:
+    content = r"""content\s*=\s*["']([^"'>]*)["']"""
+    named = rf"""(?:name|property)\s*=\s*["']{name}["']"""
+    first, second = (f"nullif(regexp_extract(html, {quoted(p)}, 1), '')" for p in (rf"(?is)<meta[^>]*?{named}[^>]*?{content}", rf"(?is)<meta[^>]*?{content}[^>]*?{named}"))
+    return f"nullif(trim(coalesce({first}, {second}), ' '), '')"
+
+
+STRUCTURED = r"""(?is)<script[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script>"""
+TIMES = r"""(?i)<time[^>]*\sdatetime\s*=\s*["']([^"']+)"""
+
+
+@query(rf"""WITH s AS (SELECT *, coalesce({meta_sql("article:published_time")}, {meta_sql("date")}, nullif(regexp_extract(html, '"datePublished"\s*:\s*"([^"]+)"', 1), ''), nullif(regexp_extract(html, {quoted(TIMES)}, 1), '')) AS said FROM pages)
+ SELECT page_id, CAST(try_strptime(CASE WHEN regexp_full_match(left(said, 10), '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN left(said, 10) END, '%Y-%m-%d') AS DATE) AS published, {meta_sql("description")} AS description, CAST(len(regexp_extract_all(html, {quoted(STRUCTURED)}, 1)) AS INTEGER) AS n_blocks FROM s""")
 def page_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
     return table(spark, sf_dir, "pages").select("page_id", pages.published_on(html).alias("published"), pages.meta_of(html, "description").alias("description"), F.size(pages.structured_data(html)).alias("n_blocks"))

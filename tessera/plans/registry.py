@@ -11,6 +11,11 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def quoted(pattern: str) -> str:
+    """A pattern as a literal of SQL."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Registers a query under its function's name."""
 

@@ -20,6 +20,9 @@ WORDS = f"""d AS (SELECT doc_id, {TOKENS} AS w FROM documents), n AS (SELECT cou
 POOLS = f"{NEAR}, {WORDS}, a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS v FROM (SELECT * FROM v ORDER BY score DESC, id LIMIT 20)), l AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS w FROM (SELECT * FROM b ORDER BY score DESC, id LIMIT 100))"
 
 
+PAIRS = """e1 AS (SELECT vec_id, embedding, min(vec_id) OVER (PARTITION BY embedding) AS first FROM embeddings), f AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM e1 WHERE vec_id = first), p AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM f a JOIN f b ON a.vec_id < b.vec_id)"""
+
+
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     """The query: one vector."""
     return list(table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"])
@@ -91,7 +94,8 @@ def boosted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.at_most_per(scored.join(quality, "id", "left").select("id", "label", F.round(score, 6).alias("score")), "label", 2, F.desc("score"), F.asc("id"))
 
 
-@query()
+@query(f"""WITH {WORDS}, c AS (SELECT id, score / 40 AS score FROM b ORDER BY b.score DESC, id LIMIT 50), x AS (SELECT id, score, term, tf / greatest(dl, 1) AS share, tf FROM c JOIN tf ON id = doc_id), k AS (SELECT count(*) + 1 AS docs FROM c), g AS (SELECT term, ln(docs / (1 + count(*) FILTER (WHERE tf > 0))) + 1 AS idf FROM x, k GROUP BY term, docs),
+ t AS (SELECT id, score, sum(share * idf) AS t FROM x JOIN g USING (term) GROUP BY 1, 2), m AS (SELECT greatest(max(t), 0.001) AS most FROM t) SELECT id, round(0.4 * t / most + (1 - 0.4) * score, 6) AS score FROM t, m""")
 def reranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = retrieval.bm25(docs, TERMS, 50).select(F.col("doc_id").alias("id"), (F.col("score") / 40).alias("score"))
@@ -110,7 +114,8 @@ def equal_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.vector_classes(table(spark, sf_dir, "embeddings"))
 
 
-@query()
+@query(f"""WITH {PAIRS}, s AS (SELECT vec_id AS id, label, coalesce(quality, 0) AS q FROM embeddings LEFT JOIN labels ON vec_id = doc_id), j AS (SELECT a, b, similarity, (x.label, -x.q, a) < (y.label, -y.q, b) AS first FROM p JOIN s x ON a = x.id JOIN s y ON b = y.id WHERE similarity >= 0.9 AND x.label <> y.label)
+ SELECT CASE WHEN first THEN a ELSE b END AS kept, CASE WHEN first THEN b ELSE a END AS dropped, similarity FROM j""")
 def cross_source_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     quality = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "quality")
@@ -118,7 +123,8 @@ def cross_source_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.cross_source(similar.similar_pairs(rows, 0.9), facts)
 
 
-@query()
+@query(f"""WITH RECURSIVE {PAIRS}, l AS (SELECT a, b FROM p WHERE similarity >= 0.85 UNION SELECT first, vec_id FROM e1 WHERE first <> vec_id), g AS (SELECT a, b FROM l UNION SELECT b, a FROM l), c AS (SELECT a FROM g GROUP BY 1 HAVING count(*) >= 2), i AS (SELECT a, b FROM g WHERE a IN (SELECT a FROM c) AND b IN (SELECT a FROM c)),
+ r AS (SELECT a AS node, a AS o FROM c UNION SELECT r.node, i.b FROM r JOIN i ON r.o = i.a), k AS (SELECT node, min(o) AS cluster FROM r GROUP BY 1), n AS (SELECT g.a AS node, min(k.cluster) AS near FROM g JOIN k ON g.b = k.node GROUP BY 1) SELECT vec_id AS node, coalesce(cluster, near, -1) AS cluster FROM embeddings LEFT JOIN k ON vec_id = k.node LEFT JOIN n ON vec_id = n.node""")
 def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Density clusters of vectors within a cosine of 0.85 of each other."""
     rows = table(spark, sf_dir, "embeddings")
@@ -151,7 +157,8 @@ def answer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("conv_id", "n", F.round("m", 6).alias("mean"), retrieval.abstention(F.col("m"), F.col("n")).alias("decision"), F.round(gate, 6).alias("gate"))
 
 
-@query()
+@query("""WITH t AS (SELECT conv_id, turn, length(text) AS n, CAST(ceil(length(text) / 4) AS BIGINT) AS t FROM conversations), l AS (SELECT conv_id, list({'used': CAST(0 AS BIGINT), 'ids': CAST([] AS VARCHAR[]), 't': t, 'id': CAST(turn AS VARCHAR)} ORDER BY n DESC, turn, t) AS l FROM t GROUP BY 1),
+ f AS (SELECT conv_id, list_reduce(list_prepend({'used': CAST(0 AS BIGINT), 'ids': CAST([] AS VARCHAR[]), 't': CAST(0 AS BIGINT), 'id': ''}, l), lambda a, x: CASE WHEN a.used + x.t <= 200 THEN {'used': a.used + x.t, 'ids': list_append(a.ids, x.id), 't': x.t, 'id': x.id} ELSE a END) AS f FROM l) SELECT conv_id AS query_id, f.used AS used, array_to_string(f.ids, ',') AS ids FROM f""")
 def packed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each conversation the turns, longest first, that fit in a budget of tokens."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("long").alias("id"), F.length("text").cast("double").alias("score"), F.ceil(F.length("text") / 4).alias("tokens"))

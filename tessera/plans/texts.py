@@ -86,7 +86,11 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.links_of(table(spark, sf_dir, "pages"))
 
 
-@query()
+SCRIPTS = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "noscript"))
+
+
+@query(rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|{SCRIPTS}', ' ', 'g'), '(?i)</?(p|div|br|li|tr|h[1-6]|table|section|article|ul|ol)\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS x FROM pages),
+ b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM a) SELECT page_id, trim(regexp_replace(regexp_replace(x, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ') AS text FROM b""")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", pages.plain_text(F.col("html")).alias("text"))
 
