@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
 from tessera.functions.vectors import cosine, literal
+from tessera.operators.graph import saved
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -32,11 +33,12 @@ def is_word(term: str):
 
 
 def bm25(docs: DataFrame, terms: list[str], k: int | None = None, with_idf: bool = True) -> DataFrame:
-    """doc_id, score: Okapi BM25, or its saturation of term counts alone. Statistics cover all rows: one pass for them, one for the scores, no shuffle."""
-    told = docs.select("doc_id", tokens("text").alias("w"))
-    # Each text is walked once: of its words those asked for, then counts of these few.
-    hits = told.select("doc_id", F.size("w").alias("n"), F.filter("w", lambda x: x.isin(*terms)).alias("w"))
-    counts = hits.select("doc_id", "n", *[F.size(F.filter("w", is_word(term))).alias(f"tf{i}") for i, term in enumerate(terms)])
+    """doc_id, score: Okapi BM25, or its saturation of term counts alone. Statistics cover all rows: the texts are read once, into a row of counts each, and there is no shuffle."""
+    # Generators of one row: the filter on scores is not pushed below them, which would split and walk the text again for every term.
+    told = docs.select("doc_id", F.explode(F.array(tokens("text"))).alias("w"))
+    asked = F.struct(F.size("w").alias("n"), F.filter("w", lambda x: x.isin(*terms)).alias("w"))
+    hits = told.select("doc_id", F.explode(F.array(asked)).alias("h")).select("doc_id", "h.n", "h.w")
+    counts = saved(hits.select("doc_id", "n", *[F.size(F.filter("w", is_word(term))).alias(f"tf{i}") for i, term in enumerate(terms)]))
     stats = counts.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     score = F.lit(0.0)
     for i in range(len(terms)):
