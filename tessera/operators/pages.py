@@ -218,9 +218,11 @@ def keyword_domains(docs: DataFrame, dictionary: dict[str, dict[str, float]], mo
     """doc_id, domain, share (0.95 at most), density and whether it is dense, of the domain whose words weigh most in a text.
 
     dictionary: words and weights by domain; few, so they stay in the plan."""
-    told = docs.select("doc_id", tokens("text").alias("w")).withColumn("n", F.greatest(F.size("w"), F.lit(1)))
+    # Generators of one row: the filter on scores is not pushed below them, which would split the text again for every domain.
+    told = docs.select("doc_id", F.explode(F.array(tokens("text"))).alias("w"))
     known = sorted({w for words_ in dictionary.values() for w in words_})
-    hits = told.select("doc_id", "n", F.filter("w", lambda x: x.isin(*known)).alias("w"))
+    found = F.struct(F.greatest(F.size("w"), F.lit(1)).alias("n"), F.filter("w", lambda x: x.isin(*known)).alias("w"))
+    hits = told.select("doc_id", F.explode(F.array(found)).alias("h")).select("doc_id", "h.n", "h.w")
     weight = lambda domain: F.aggregate("w", F.lit(0.0), lambda a, x: a + table_of(dictionary[domain], x))
     scores = F.array(*[F.struct(weight(d).alias("score"), F.lit(d).alias("domain")) for d in dictionary])
     best = hits.select("doc_id", "n", F.size("w").alias("hits"), F.array_max(scores).alias("b"), F.aggregate(scores, F.lit(0.0), lambda a, s: a + s["score"]).alias("all")).filter("b.score > 0")
