@@ -11,6 +11,7 @@ from tessera.llm.decontam import op2_decontam
 from tessera.llm.html_text import op1_html
 from tessera.llm.license_scan import op7_licenses
 from tessera.llm.line_dedup import op3_lines
+from tessera.llm.merkle import op13_merkle
 from tessera.llm.neardup import op10_neardup
 from tessera.llm.packing import op4_packing
 from tessera.llm.pii import op8_pii
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_quality": op9_quality,
         "op10_neardup": op10_neardup,
+        "op13_merkle": op13_merkle,
     }
 
 
