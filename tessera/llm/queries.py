@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import sql
 from tessera.llm.decontam import op2_decontam
+from tessera.llm.filter_audit import op11_filters
 from tessera.llm.html_text import op1_html
 from tessera.llm.license_scan import op7_licenses
 from tessera.llm.line_dedup import op3_lines
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_quality": op9_quality,
         "op10_neardup": op10_neardup,
+        "op11_filters": op11_filters,
         "op13_merkle": op13_merkle,
     }
 
