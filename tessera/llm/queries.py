@@ -10,6 +10,7 @@ from tessera.llm import sql
 from tessera.llm.decontam import op2_decontam
 from tessera.llm.filter_audit import op11_filters
 from tessera.llm.html_text import op1_html
+from tessera.llm.language import op12_language
 from tessera.llm.license_scan import op7_licenses
 from tessera.llm.line_dedup import op3_lines
 from tessera.llm.merkle import op13_merkle
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": op9_quality,
         "op10_neardup": op10_neardup,
         "op11_filters": op11_filters,
+        "op12_language": op12_language,
         "op13_merkle": op13_merkle,
     }
 
