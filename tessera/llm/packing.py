@@ -17,14 +17,17 @@ pieces of its length. Ranks come from counts per task and length, so a length
 that a third of all pieces share never meets in one task.
 
 A null or empty text is one piece: the closing token. Repeated rows are packed
-as often as they occur. Null ids are kept. Other columns are ignored.
+as often as they occur. Null ids are kept. An empty table has no pieces. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +44,19 @@ END = 0
 #: Distinct words whose ids a worker remembers, from task to task; beyond it, it starts anew.
 REMEMBERED = 300_000
 MARK = "\x01"
-#: A letter, then punctuation other than the apostrophe, which contractions need.
-PARTED = r"(\pL)([.,!?;:*$%&#]+)"
+SIGNS = ".,!?;:*$%&#"
+
+
+@functools.cache
+def parted() -> str:
+    """A letter, then punctuation other than the apostrophe, which contractions need.
+
+    Letters that the tokenizer's normal form or lower case ends with a mark are left
+    out: the mark and the punctuation are one piece to its splitter.
+    """
+    letters = (c for c in map(chr, range(0x80, 0x110000)) if unicodedata.category(c)[0] == "L")
+    ends = "".join(c for c in letters if unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0] != "L")
+    return rf"([^\PL{ends}])([{SIGNS}]+)"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -105,7 +119,7 @@ class Words:
             self.forget()
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         if not pc.any(pc.match_substring(texts, "<|")).as_py():
-            texts = pc.replace_substring_regex(pc.ascii_lower(texts), PARTED, r"\1 \2")
+            texts = pc.replace_substring_regex(pc.ascii_lower(texts), parted(), r"\1 \2")
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
@@ -174,25 +188,26 @@ def reduced(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
     if capacity % 2 == 0:
         fix(((capacity // 2, 2),), int(counts[capacity // 2] // 2))
     # The largest free piece, while at most one other fits beside it: that with its largest partner dominates.
+    # A turn uses up a length, or leaves one piece of it, so there are at most two for each length.
     while counts.any():
-        free = np.flatnonzero(counts)
-        length = int(free[-1])
+        length = int(np.flatnonzero(counts)[-1])
         room = capacity - length
-        rest = counts.copy()
-        rest[length] -= 1
-        partners = np.flatnonzero(rest[: room + 1])
+        rest = counts[: room + 1].copy()
+        if length <= room:
+            rest[length] -= 1
+        partners = np.flatnonzero(rest)
         if not len(partners):
-            fix(((length, 1),), int(counts[length]) if 2 * length > capacity else 1)
+            fix(((length, 1),), int(counts[length]))
             continue
-        smallest = int(partners[0])
+        smallest, best = int(partners[0]), int(partners[-1])
         second = smallest if rest[smallest] > 1 else int(partners[1]) if len(partners) > 1 else capacity + 1
         if smallest + second <= room:
             break
-        best = int(partners[-1])
+        # What is taken only makes the two smallest others larger, so the step holds for as many as there are.
         if best == length:
-            fix(((length, 2),), 1)
+            fix(((length, 2),), int(counts[length] // 2))
         else:
-            fix(((length, 1), (best, 1)), 1 if best == smallest else int(min(counts[length], counts[best])))
+            fix(((length, 1), (best, 1)), int(min(counts[length], counts[best])))
     return fixed
 
 
@@ -219,10 +234,15 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
 
 
 def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
-    """Patterns of (length, pieces) with the number of sequences of each."""
-    counts = counts.copy()
-    fixed = reduced(counts, capacity)
-    return fixed + best_fit(counts, capacity)
+    """Different patterns of (length, pieces) with the number of sequences of each.
+
+    At most eight for each possible length, whatever the counts: reduction fixes up to four (two of them in its
+    loop), and best-fit splits one group of like sequences in three for each length.
+    """
+    counts, total = counts.copy(), Counter()
+    for pattern, n in reduced(counts, capacity) + best_fit(counts, capacity):
+        total[pattern] += n
+    return list(total.items())
 
 
 def slots(patterns: list[tuple[Pattern, int]]) -> dict[int, np.ndarray]:

@@ -41,4 +41,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lines": sql.LINES, "op5_warc": sql.WARC, "op8_pii": sql.pii_sql(), "op10_neardup": sql.NEARDUP}
+    return {"op3_lines": sql.LINES, "op5_warc": sql.WARC, "op8_pii": sql.pii_sql(), "op10_neardup": sql.NEARDUP, "op11_filters": sql.FILTERS, "op13_merkle": sql.merkle_sql()}

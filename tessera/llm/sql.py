@@ -68,3 +68,49 @@ def pii_sql() -> str:
  w AS (SELECT *, least(1.0, CASE kind {prior} END + CASE WHEN CASE kind {near} END THEN {pii.NEARBY} ELSE 0 END) AS score FROM b), g AS (SELECT * FROM w WHERE {base} OR score >= {pii.THRESHOLD}),
  r AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in pii.BASE)}, sha256({joined(f" FILTER ({base})")}) AS base_sha256, {joined()} AS spans, string_agg(printf('%.1f', CAST(score AS DOUBLE)), ',' ORDER BY place, low) AS scores FROM g GROUP BY 1)
  SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in pii.BASE)}, coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id"""
+
+#: Every order of five letters, every step of it, over counts by what a document fails.
+FILTERS = r"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+ f AS (SELECT doc_id, part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+  || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails FROM t),
+ l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY 1),
+ c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM f LEFT JOIN l ON f.doc_id = l.doc_id GROUP BY 1, 2),
+ x(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS here, left(filter_order, step - 1) AS earlier FROM o, range(1, 6) r(step)),
+ m AS (SELECT part, filter_order, step, here, n, good, toxic, contains(fails, here) AS yes, fails = here AS alone, len(list_intersect(string_split(fails, ''), list_filter(string_split(earlier, ''), lambda y: y <> ''))) > 0 AS gone FROM c, s),
+ g AS (SELECT part, filter_order, step, here, coalesce(sum(n) FILTER (NOT yes AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (yes AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (yes AND gone), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (yes AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (yes AND NOT gone), 0) AS toxic_lost FROM m GROUP BY 1, 2, 3, 4)
+ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, here) AS BIGINT) AS shapley FROM g"""
+
+
+def merkle_sql(leaf_levels: int = 5, source_levels: int = 4) -> str:
+    """Trees level by level, of up to 16^5 leaves a source and 16^4 sources."""
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || {x} END" for c, x in [*((c, c) for c in ("doc_id", "source", "lang", "n_chars")), ("text", text)]) + ")"
+
+    def levels(name: str, n: int) -> list[str]:
+        return [f"{name}{k} AS (SELECT p, pos // 16 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h, string_agg(h, '' ORDER BY pos) AS cat, any_value((m + 15) // 16) AS m FROM {name}{k - 1} WHERE m > 1 GROUP BY p, pos // 16)" for k in range(1, n + 1)]
+
+    def walk(name: str, nodes: str, pos: str, n: int, extra: str, start: str) -> list[str]:
+        steps = [start]
+        for k in range(1, n + 1):
+            low, high = f"left(n.cat, 64 * (w.{pos} // {16 ** (k - 1)} % 16))", f"substr(n.cat, 64 * (w.{pos} // {16 ** (k - 1)} % 16) + 65)"
+            steps.append(f"{name}{k} AS (SELECT w.* REPLACE (CASE WHEN n.cat IS NULL THEN f ELSE sha256({low} || f || {high}) END AS f, CASE WHEN n.cat IS NULL THEN proof ELSE proof || {low} || {high} END AS proof) FROM {name}{k - 1} w LEFT JOIN {nodes}{k} n ON {extra} AND w.{pos} // {16**k} = n.pos)")
+        return steps
+
+    bits = "list_reduce(list_prepend(x, [0, 0, 0, 0, 0, 0, 0, 0]), lambda u, v: xor(u >> 1, CASE WHEN u & 1 = 1 THEN 3988292384 ELSE 0 END))".replace("x,", "xor(a, c),", 1)
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, c: {bits}), 4294967295)"
+    lowered = leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    parts = [
+        f"d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS p, {leaf('text')} AS h, CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN {lowered} END AS changed FROM documents)",
+        "a0 AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY p) AS m FROM d)",
+        *levels("a", leaf_levels),
+        "tops AS (" + " UNION ALL ".join(f"SELECT p, h FROM a{k} WHERE m = 1" for k in range(leaf_levels + 1)) + ")",
+        "b0 AS (SELECT '' AS p, p AS source, h, row_number() OVER (ORDER BY p) - 1 AS pos, count(*) OVER () AS m FROM tops)",
+        *levels("b", source_levels),
+        "root AS (" + " UNION ALL ".join(f"SELECT h AS root FROM b{k} WHERE m = 1" for k in range(source_levels + 1)) + ")",
+        *walk("w", "a", "pos", leaf_levels, "w.p = n.p", "w0 AS (SELECT doc_id, p, pos, h AS leaf, coalesce(changed, h) AS f, '' AS proof FROM a0)"),
+        *walk("v", "b", "place", source_levels, "true", f"v0 AS (SELECT w.*, b0.pos AS place, b0.h AS subroot FROM w{leaf_levels} w JOIN b0 ON w.p = b0.source)"),
+    ]
+    return "WITH " + ",\n ".join(parts) + f"\n SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM v{source_levels} CROSS JOIN root"

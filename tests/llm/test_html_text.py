@@ -92,3 +92,46 @@ def test_any_markup():
     for _ in range(3000):
         page = "".join(rng.choice(bits) for _ in range(rng.randrange(40)))
         assert isinstance(main_text(page), str), page
+
+
+def test_gaps_and_adverts_do_not_end_the_text():
+    assert main_text(f"<article><p>{LONG}</p></article><div>x</div><div>y</div><div>z</div><article><p>Short second.</p></article>") == f"{LONG.strip()}\nShort second."
+    ads = "<div class=ad>Buy this now</div>" * 3
+    assert main_text(f"<body><div><p>{LONG}</p>{ads}<p>Closing para, short.</p></div></body>") == f"{LONG.strip()}\nClosing para, short."
+
+
+def test_dropped_inside_a_paragraph():
+    assert main_text("<article><p>Press <button>Go</button>to go on with it.</p></article>") == "Press to go on with it."
+    assert main_text("<article><p>One <script>var x = '<p>';</script>and <span class=ad>buy <b>it</b></span>two <svg><text>t</text></svg>three.</p><p>Four</p></article>") == "One and two three.\nFour"
+    # As HTML has it: what follows stands in the button until the article ends.
+    assert main_text("<article><p>Open <button>never closed</p><p>Next</p></article><article><p>Then</p></article>") == "Open\nThen"
+    assert main_text("<article><p>a<select><option>1<option>2</select>b</p></article>") == "ab"
+    assert main_text("<article><p>Data <![CDATA[1 > 0 & <b>]]> here</p></article>") == "Data 1 > 0 & <b> here"
+
+
+@pytest.mark.parametrize("name", ["related-work", "research search", "warning", "notice", "social science"])
+def test_words_of_content_inside_a_mark(name):
+    assert main_text(f"<article><p>{LONG}</p><div class='{name}'><p>Kept text.</p></div></article>") == f"{LONG.strip()}\nKept text."
+    assert main_text(f"<article><p>{LONG}</p><div class='ad {name}'><p>Gone.</p></div></article>") == LONG.strip()
+
+
+def test_planted_unmarked_pages():
+    """Pages of blocks in any order of kinds: the text is what the content blocks say."""
+    import random
+
+    rng = random.Random(12)
+    for _ in range(300):
+        want, blocks = [], []
+        for i in range(rng.randrange(3, 12)):
+            kind = rng.choice(["p", "p", "long", "ad", "nav", "inline", "script"])
+            text = f"Paragraph {i} says something of its own, and then a little more so that it counts."
+            if kind in ("p", "long"):
+                want.append(text if kind == "p" else text + " " + LONG.strip())
+                blocks.append(f"<p>{want[-1]}</p>")
+            elif kind == "inline":
+                want.append(f"{text} Right?")
+                blocks.append(f"<div>{text} <button>Like</button>Right?</div>")
+            else:
+                blocks.append({"ad": "<div class='ad'><p>Buy our things, all of them, today and not tomorrow.</p></div>", "nav": "<nav><ul><li><a href=/>Home</a><li>About</ul></nav>", "script": "<script>if (a < b) { document.write('<p>no</p>') }</script>"}[kind])
+        page = "<html><head><title>T</title></head><body><div id=page>" + "\n".join(blocks) + "</div></body></html>"
+        assert main_text(page) == "\n".join(want), page

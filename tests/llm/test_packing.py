@@ -117,3 +117,39 @@ def test_pack(spark, plain):
         assert at <= 2048
     assert len(by) <= -(-sum(r.length for r in got) // 2048) * 1.05 + 1
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_every_letter_before_every_sign(plain):
+    import unicodedata
+
+    import pyarrow as pa
+
+    words = packing.Words(packing.vocabulary())
+    letters = [c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] == "L"]
+    cased = [c for c in letters if c.lower() != c or c.upper() != c or len(unicodedata.normalize("NFC", c).lower()) > 1]
+    texts = [" ".join(f"{c}{sign}" for c in letters) for sign in ".!"] + [" ".join(f"x{c}{sign}. {c}" for c in cased) for sign in packing.SIGNS] + ["\u0e31\u0130."]
+    ids, ends = words.encode(pa.array(texts))
+    for text, low, end in zip(texts, [0, *ends.tolist()], ends.tolist(), strict=False):
+        assert ids[low:end].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0]
+
+
+@pytest.mark.parametrize(
+    "histogram",
+    [{700: 10**9}, {1100: 10**9, 900: 10**9}, {1100: 5 * 10**8, 900: 4 * 10**8, 901: 3 * 10**8}, {1: 10**9}, {2048: 10**9, 1025: 10**9, 3: 5, 1023: 10**9 - 7}, {1024: 10**9 + 1, 5: 1}, {n: 10**6 + n for n in range(1, 2049)}, {600: 10**9, 700: 10**9, 800: 10**9 // 3, 649: 3, 1447: 10**8}],
+    ids=range(8),
+)
+def test_solved_by_lengths_not_by_pieces(histogram):
+    import time
+
+    counts = np.zeros(2049, np.int64)
+    for n, k in histogram.items():
+        counts[n] = k
+    began = time.process_time()
+    found = packing.solve(counts)
+    assert time.process_time() - began < (1 if len(histogram) < 6 else 5)
+    used = np.zeros(2049, np.int64)
+    for pattern, n in found:
+        assert sum(a * k for a, k in pattern) <= 2048
+        for a, k in pattern:
+            used[a] += k * n
+    assert used.tolist() == counts.tolist() and len(found) <= 8 * len(histogram)

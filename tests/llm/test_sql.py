@@ -45,3 +45,21 @@ def test_planted_pages(spark, tmp_path):
     con = planted(spark, tmp_path, rows, "pages", "page_id long, url string, html string")
     said, n = difference(spark, con, str(tmp_path), queries()["op5_warc"], oracle_sql()["op5_warc"])
     assert not said and n == 5
+
+
+def test_planted_labels(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.choice([i, i, i // 2, None]), rng.choice([None, "", "A#", " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.choice([150, 220]))), "same " * 3]), rng.choice([None, "", "en", "de"])) for i in range(150)]
+    con = planted(spark, tmp_path, rows, schema="doc_id long, text string, lang string")
+    spark.createDataFrame([(i, rng.choice([0, 1, None]), rng.choice([0, 1])) for i in range(0, 150, 2)] + [(4, 1, 1)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con.execute(f"CREATE VIEW labels AS SELECT * FROM read_parquet('{tmp_path}/labels.parquet/*.parquet')")
+    said, n = difference(spark, con, str(tmp_path), queries()["op11_filters"], oracle_sql()["op11_filters"])
+    assert not said and n == 3 * 600
+
+
+def test_planted_sources(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(rng.choice([i, i, None, i // 3]), rng.choice([None, "", "ABC é", f"T {i}"]), rng.choice([None, "en"]), rng.choice([None, "", "é", "hot", "hot", "hot", f"s{i % 40}"]), rng.choice([None, i])) for i in range(900)]
+    con = planted(spark, tmp_path, rows, schema="doc_id long, text string, lang string, source string, n_chars long")
+    said, n = difference(spark, con, str(tmp_path), queries()["op13_merkle"], oracle_sql()["op13_merkle"])
+    assert not said and n == 900
