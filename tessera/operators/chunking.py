@@ -121,6 +121,56 @@ def semantic_groups(sentences: DataFrame) -> DataFrame:
     return bar.withColumn("chunk", F.sum(F.coalesce((F.col("s") < F.col("bar")).cast("int"), F.lit(0))).over(w.orderBy("n"))).drop("s", "bar")
 
 
+def window_texts(w: Column, size: int, overlap: int) -> Column:
+    """Texts of windows of an array of words, as word_windows cuts them; none of none."""
+    at = F.sequence(F.lit(0), F.floor((F.size(w) - 1) / (size - overlap)).cast("int"))
+    return F.when(F.size(w) > 0, F.transform(at, lambda i: F.array_join(F.slice(w, i * (size - overlap) + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def joined_texts(order: str, text: str, which: Column | None = None) -> Column:
+    """An aggregate: texts in order, joined by blanks."""
+    row = F.struct(order, text)
+    return F.array_join(F.transform(F.array_sort(F.collect_list(row if which is None else F.when(which, row))), lambda x: x[text]), " ")
+
+
+def semantic_chunks(sentences: DataFrame, size: int = 400, overlap: int = 50) -> DataFrame:
+    """doc_id, chunk, n_words, content of sentences (doc_id, n, sentence, v).
+
+    Groups of semantic_groups are taken in order and joined until they have a third of `size` words; what has more than
+    1.5 times `size` by then is cut into windows of `size` words. Groups left over at the end go with the last chunk, or are one if
+    there is no other. Documents of fewer than three sentences are cut into windows at once. A document's sentences meet in one
+    task, so its length is what bounds a row here.
+    """
+    least, most = size // 3, int(size * 1.5)
+    told = sentences.select("doc_id", "n", "sentence", "v", F.size(words("sentence")).alias("n_words"))
+    groups = semantic_groups(told).groupBy("doc_id", F.col("chunk").alias("g")).agg(F.sum("n_words").alias("n"), joined_texts("n", "sentence").alias("content"), F.count("*").alias("m"))
+    # The fold carries the words held; a group closes its chunk once enough are.
+    start = F.struct(F.lit(0).alias("id"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("ids"))
+    step = lambda a, x: F.when(a["held"] + x["n"] >= least, F.struct((a["id"] + 1).alias("id"), F.lit(0).cast("long").alias("held"), F.concat(a["ids"], F.array(a["id"])).alias("ids"))).otherwise(
+        F.struct(a["id"].alias("id"), (a["held"] + x["n"]).alias("held"), F.concat(a["ids"], F.array(a["id"])).alias("ids")))
+    by = groups.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("g", "n", "content"))).alias("groups"), F.sum("m").alias("m"))
+    folded = by.select("doc_id", "m", "groups", F.aggregate("groups", start, step).alias("f"))
+    rows = folded.select("doc_id", "m", F.col("f.id").alias("closed"), F.inline(F.zip_with("groups", "f.ids", lambda x, i: F.struct(x["g"].alias("g"), x["n"].alias("n"), x["content"].alias("content"), i.alias("id")))))
+    tail = (F.col("id") == F.col("closed")) & (F.col("closed") > 0)
+    of = F.least("id", F.greatest(F.col("closed") - 1, F.lit(0)))
+    whole = rows.groupBy("doc_id", of.alias("id"), "m", "closed").agg(
+        F.sum(F.when(~tail, F.col("n"))).alias("n"), joined_texts("g", "content", ~tail).alias("own"), joined_texts("g", "content", tail).alias("rest")
+    )
+    cut = (F.col("m") < 3) | ((F.col("n") > most) & (F.col("closed") > 0))
+    pieces = F.when(cut, window_texts(words("own"), size, overlap)).otherwise(F.array("own"))
+    pieces = F.when(F.col("rest") == "", pieces).otherwise(F.concat(F.slice(pieces, 1, F.size(pieces) - 1), F.array(F.concat_ws(" ", F.element_at(pieces, -1), "rest"))))
+    each = whole.select("doc_id", "id", F.posexplode(pieces).alias("i", "content")).filter("content <> ''")
+    return each.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("id", "i")) - 1).alias("chunk"), F.size(words("content")).alias("n_words"), "content")
+
+
+def letter_vectors(docs: DataFrame) -> DataFrame:
+    """doc_id, n, sentence, v: sentences of texts with how often each has the letters a to z, a vector that needs no model."""
+    found = F.filter(F.transform(F.regexp_extract_all("text", F.lit(SENTENCE.pattern), 0), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    low = docs.select("doc_id", F.posexplode(found).alias("n", "sentence")).withColumn("low", F.lower("sentence"))
+    counts = F.transform(F.array(*[F.lit(chr(97 + i)) for i in range(26)]), lambda c: (F.length("low") - F.length(F.replace(F.col("low"), c, F.lit("")))).cast("double"))
+    return low.select("doc_id", "n", "sentence", counts.alias("v"))
+
+
 def long_parts(text: str, least: int = 1000, most: int = 45_000) -> list[str]:
     """Parts of a long document by headings; short ones go with the part before, long ones are cut at a paragraph, a line or anywhere."""
     cuts = [0, *[m.start() for m in HEADING.finditer(text)], len(text)]

@@ -10,16 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str = "step") -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or that of setCheckpointDir; a local session without either gets a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if known.isDefined():
+            at = known.get()
+        elif not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
-        at = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/step-{uuid.uuid4().hex}"
+        else:
+            at = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+            spark.sparkContext.setCheckpointDir(at)
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back: cuts the lineage, survives lost executors."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import host_of, normal_url, path_of, set_similarity, tokens, words
+from tessera.operators.graph import saved
 
 HREF = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'#][^"']*)["']"""
 FILES = r"(?i)\.(pdf|docx?|xlsx?|pptx?|zip|csv)([?#].*)?$"
@@ -306,3 +310,34 @@ def mined_affix(pages: DataFrame, least: int = 4) -> DataFrame:
     by = pages.select(host_of("url").alias("host"), path_of("url").alias("path")).groupBy("host").agg(F.min("path").alias("a"), F.max("path").alias("b"))
     same = F.filter(F.sequence(F.lit(0), F.least(F.length("a"), F.length("b"))), lambda i: F.substr("a", F.lit(1), i) == F.substr("b", F.lit(1), i))
     return by.select("host", F.substr("a", F.lit(1), F.array_max(same)).alias("prefix")).filter(F.length("prefix") >= least)
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, at, size: how much of the host's shortest path, from each place, stands in a path."""
+    for batch in batches:
+        hosts, places, sizes = [], [], []
+        for host, path, first in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "first")), strict=True):
+            end = 0
+            for at in range(len(first)):
+                # What matches from a place matches, less its first sign, from the next.
+                end = max(end, at)
+                while end < len(first) and first[at : end + 1] in path:
+                    end += 1
+                hosts.append(host)
+                places.append(at)
+                sizes.append(end - at)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(places, pa.int32()), pa.array(sizes, pa.int32())], ["host", "at", "size"])
+
+
+def common_substrings(pages: DataFrame, least: int = 4) -> DataFrame:
+    """host, value, n_paths: the longest text that all different paths of a host (two at least) share, if it has `least` signs.
+
+    It stands in the host's shortest path (of these the first by name), so each path tells how far that one matches from each of
+    its places, and the least of these over all paths is an aggregate: a host of any number of pages is spread over tasks. The
+    first of equally long ones is taken.
+    """
+    paths = saved(pages.select(host_of("url").alias("host"), path_of(F.col("url")).alias("path")).filter("host <> '' AND path IS NOT NULL").distinct())
+    by = paths.groupBy("host").agg(F.min(F.struct(F.length("path"), "path"))["path"].alias("first"), F.count("*").alias("n_paths")).filter("n_paths > 1")
+    each = paths.join(by, "host").select("host", "path", "first").mapInArrow(_matched, "host string, at int, size int").groupBy("host", "at").agg(F.min("size").alias("size"))
+    best = each.groupBy("host").agg(F.max(F.struct("size", (-F.col("at")).alias("back"))).alias("b")).filter(F.col("b.size") >= least)
+    return best.join(by, "host").select("host", F.substring(F.col("first"), 1 - F.col("b.back"), F.col("b.size")).alias("value"), "n_paths")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import chunking, pages, references, retrieval, selection
+from tessera.operators.containment import containing
 from tessera.plans.registry import query, quoted
 from tessera.sources.tables import table
 
@@ -88,15 +89,10 @@ def diverse_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT b.item_id, lower(trim(b.text)) AS t FROM benchmark b) SELECT item_id, doc_id FROM l JOIN documents d ON contains(lower(d.text), t) WHERE t <> ''""")
 def supported_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims that a text holds as they stand. The claims are few: a table's worth whose size is checked."""
-    claims = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.trim("text")).alias("t")).filter("t <> ''")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("x"))
-    # Words of a claim select the texts: the longest one must be in the text's set of words.
-    key = lambda c: F.array_max(F.transform(F.split(c, r"[ \n]+"), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = claims.withColumn("key", key(F.element_at(F.split("t", r"\n"), 1))).withColumn("key", F.regexp_replace("key", r"[^\p{L}]", ""))
-    spread = docs.select("doc_id", F.explode(F.array_distinct(F.split("x", r"[^\p{L}]+"))).alias("key"))
-    hit = spread.join(keyed, "key").select("doc_id", "item_id", "t")
-    return hit.join(docs, "doc_id").filter(F.contains("x", "t")).select("item_id", "doc_id").distinct()
+    """Claims that a text holds as they stand."""
+    claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle_id"), F.lower(F.trim("text")).alias("needle"))
+    found = containing(claims, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text")))
+    return found.select(F.col("needle_id").alias("item_id"), F.col("text_id").alias("doc_id"))
 
 
 @query("""WITH c AS (SELECT role, count(*) AS n, count(*) FILTER (WHERE length(text) < 50) AS short, list_sort(list(DISTINCT turn)) AS turns FROM conversations GROUP BY 1) SELECT role, n, short, array_to_string(turns[1:5], ',') AS turns, round(100.0 * short / n, 4) AS share FROM c""")
