@@ -6,7 +6,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -129,14 +129,38 @@ def hash_bucket(key: F.Column, shares: dict[str, float]) -> F.Column:
     return chosen.otherwise(next(reversed(shares)))
 
 
-def crawl_order(spark: SparkSession, links: DataFrame, seeds: list[str], depth: int = 3, most: int | None = None) -> DataFrame:
-    """url, depth of what a breadth-first crawl over links (source, target) reaches; `most` pages, nearest first."""
-    level = spark.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "url string").withColumn("depth", F.lit(0))
-    seen = level
+def crawl_order(spark: SparkSession, links: DataFrame, seeds: list[str], depth: int = 3, most: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """url, depth, place of what a breadth-first crawl over links (source, target) visits: places from 0, in the order of the visits.
+
+    Within a depth, urls that are not in known (url) come before those that are, and else go by the place of the first page that
+    links to them, then by name. A crawl ends after `most` pages: a level that would go beyond is cut before it is followed.
+    """
+    old = (known.select("url").distinct() if known is not None else spark.createDataFrame([], "url string")).withColumn("old", F.lit(1))
+    level = spark.createDataFrame([(s, i) for i, s in enumerate(dict.fromkeys(seeds))], "url string, place long").withColumn("depth", F.lit(0))
+    level = level if most is None else level.filter(F.col("place") < most)
+    seen, n = level, level.count()
     for d in range(1, depth + 1):
-        ahead = links.join(level.select(F.col("url").alias("source")), "source").select(F.col("target").alias("url")).distinct()
-        level = saved(ahead.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)))
-        if level.isEmpty():
+        if most is not None and n >= most:
+            break
+        ahead = links.join(level.select(F.col("url").alias("source"), "place"), "source").groupBy(F.col("target").alias("url")).agg(F.min("place").alias("by"))
+        fresh = ahead.join(seen.select("url"), "url", "left_anti").join(old, "url", "left").select("url", F.coalesce("old", F.lit(0)).alias("old"), "by")
+        level = saved(numbered(fresh, ["old", "by", "url"], n, most).withColumn("depth", F.lit(d)))
+        found = level.count()
+        if not found:
             break
+        n += found
         seen = saved(seen.unionByName(level))
-    return seen.orderBy("depth", "url").limit(most) if most else seen
+    return seen.select("url", "depth", "place")
+
+
+def numbered(rows: DataFrame, order: list[str], start: int, most: int | None = None) -> DataFrame:
+    """rows with place: their number in that order from `start`, without those from `most` on. A sort by range and counts a task, so no task sees all."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = saved(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    task = F.shiftright("at", 33)
+    counts = ordered.groupBy(task.alias("task")).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    # One row a task.
+    before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("task", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + start).alias("shift"))
+    placed = ordered.withColumn("task", task).join(F.broadcast(starts), "task").withColumn("place", F.col("at") + F.col("shift"))
+    return (placed if most is None else placed.filter(F.col("place") < most)).drop("task", "at", "shift", *[c for c in order if c != "url"])

@@ -189,6 +189,24 @@ def sitemap_urls(files: DataFrame) -> DataFrame:
     return both.select("path", "kind", F.replace(field("loc"), F.lit("&amp;"), F.lit("&")).alias("url"), F.nullif(field("lastmod"), F.lit("")).alias("changed")).filter("url <> ''")
 
 
+def sitemap_closure(files: DataFrame, roots: list[str], most: int = 20) -> DataFrame:
+    """url, changed, sitemap, depth of the pages that sitemaps (path, xml) list, from the roots through index files until no new file is named.
+
+    A page is told by the nearest sitemap that lists it, then the first by name; files that are not there, or lead in a circle, add nothing.
+    """
+    entries = saved(sitemap_urls(files))
+    level = files.sparkSession.createDataFrame([(r,) for r in dict.fromkeys(roots)], "path string").withColumn("depth", F.lit(0))
+    seen = level
+    for d in range(1, most + 1):
+        ahead = entries.filter("kind = 'sitemap'").join(level.select("path"), "path").select(F.col("url").alias("path")).distinct()
+        level = saved(ahead.join(seen.select("path"), "path", "left_anti").withColumn("depth", F.lit(d)))
+        if level.isEmpty():
+            break
+        seen = saved(seen.unionByName(level))
+    listed = entries.filter("kind = 'page'").join(seen, "path").groupBy("url").agg(F.min(F.struct("depth", F.col("path").alias("sitemap"), "changed")).alias("e"))
+    return listed.select("url", "e.changed", "e.sitemap", "e.depth")
+
+
 def robots_rules(files: DataFrame, agent: str) -> DataFrame:
     """host, allow, prefix of the robots.txt lines (host, text) that hold for the agent: its own group's, else those for all."""
     lines = files.select("host", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line")).select("host", "n", F.trim(F.regexp_replace("line", "#.*$", "")).alias("line"))

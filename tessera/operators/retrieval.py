@@ -151,10 +151,14 @@ def packed_context(rows: DataFrame, budget: int) -> DataFrame:
     return rows.groupBy("query_id").agg(best.alias("all")).select("query_id", fold.alias("f")).select("query_id", "f.used", "f.ids")
 
 
-def citation_support(claim: Column, source: Column) -> Column:
-    """1 if the source has the claim as it stands, the share of its words from 0.7, 0.6 if it has all its numbers, else 0."""
-    a, b = F.array_distinct(tokens(claim)), F.array_distinct(tokens(source))
-    share = F.size(F.array_intersect(a, b)) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
-    numbers = F.array_distinct(F.regexp_extract_all(claim, F.lit(r"([0-9]+)"), 1))
-    held = F.size(F.array_except(numbers, F.regexp_extract_all(source, F.lit(r"([0-9]+)"), 1))) == 0
-    return F.when(F.contains(F.lower(source), F.lower(claim)), 1.0).when(share >= 0.7, share).when((F.size(numbers) > 0) & held, 0.6).otherwise(0.0)
+def citation_support(claim: Column, source: Column, kind: Column | None = None) -> Column:
+    """1 if the source has the claim as it stands, in any case; from 0.7 the claim's words of over two letters that the source has, repeated
+    ones counted, over the fewer words of the two; 0.6 if all numbers of an article or a law (kind) stand in it; else 0."""
+    low, text = F.lower(claim), F.lower(source)
+    long_words = lambda x: F.filter(F.split(x, r"\s+"), lambda w: F.length(w) > 2)
+    a, b = long_words(low), long_words(text)
+    share = F.size(F.filter(a, lambda w: F.array_contains(b, w))) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))
+    numbers = F.regexp_extract_all(low, F.lit(r"([0-9]+)"), 1)
+    numbered = F.lit(True) if kind is None else kind.isin("article", "law")
+    held = numbered & (F.size(numbers) > 0) & F.forall(numbers, lambda n: F.contains(text, n))
+    return F.when(F.contains(text, low), 1.0).when(share >= 0.7, share).when(held, 0.6).otherwise(0.0)

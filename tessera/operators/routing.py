@@ -106,18 +106,28 @@ def by_articles(text: str, size: int) -> list[Chunk]:
     return out
 
 
+LETTER = re.compile(r"[\u0600-\u06FFa-zA-Z]")
+
+
+def told(chunks: list[Chunk]) -> list[Chunk]:
+    """Chunks of ten words and five letters at least."""
+    return [c for c in chunks if len(c[2].split()) >= 10 and sum(1 for _ in LETTER.finditer(c[2])) >= 5]
+
+
 def route(text: str, strategy: str, size: int, overlap: int) -> list[Chunk]:
     """A text's chunks. Tables stand alone, cut at 2,000 characters; the text between them takes the strategy, and falls
-    back to paragraphs where it has no pages or no articles. Empty texts have none. Text after the last full stop stays."""
+    back to paragraphs where it has no pages or no articles. Pages, articles, and all parts of a text with tables, go if they
+    say little. Empty texts have none. Text after the last full stop stays."""
     out: list[Chunk] = []
-    for i, part in enumerate(TABLE.split(text)):
+    parts = TABLE.split(text)
+    for i, part in enumerate(parts):
         part = part.strip()
         if i % 2:
             out += [("table", None, part[:TABLE_CHARS])] if part and not EMPTY.fullmatch(part) else []
         elif part:
             marked = by_pages(part) if strategy == "page" else by_articles(part, size) if strategy == "article" else []
-            out += marked or adaptive(part, size, overlap)
-    return out
+            out += told(marked) if marked else adaptive(part, size, overlap)
+    return told(out) if len(parts) > 1 else out
 
 
 def routed_chunks(docs: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import tokens
 from tessera.functions.vectors import cosine
 from tessera.operators.filters import tag_overlap
+from tessera.operators.graph import saved
+from tessera.operators.similar import banded_by_size
 
 #: Asked like these, a question is about words rather than meaning.
 KEYWORD_QUERIES = (r"^\W*(article|art\.|section|law|loi|decree|décret)\s+(no\.?\s*)?[0-9]+", r"\b[0-9]{2,4}[-/][0-9]{1,4}\b", r'"[^"]+"', r"^\W*(define|definition of|what does .* mean)\b")
@@ -78,15 +80,36 @@ def graph_boosted(rows: DataFrame, edges: DataFrame, least: float = 0.7, factor:
     return rows.join(tied, ["query_id", "id"], "left").select("query_id", "id", (F.col("score") * (1 + factor * F.coalesce("strength", F.lit(0.0)))).alias("score"))
 
 
-def cached_answers(asked: DataFrame, cache: DataFrame, least: float) -> DataFrame:
-    """asked (id, text, scope, v) with the key of the cached question (key, text, scope, v, at) that serves it: the same text, or the nearest at the bar, of the same scope.
-
-    The exact match is a join; only what it leaves is compared, inside its scope."""
-    exact = asked.join(cache.groupBy("text", "scope").agg(F.max_by("key", "at").alias("key")), ["text", "scope"], "left")
-    left = exact.filter("key IS NULL").select("id", "scope", "v")
-    near = left.join(cache.select("scope", F.col("key").alias("k"), F.col("v").alias("cv")), "scope").withColumn("s", cosine(F.col("v"), F.col("cv"))).filter(F.col("s") >= least)
-    found = near.groupBy("id").agg(F.max_by("k", F.struct("s", "k")).alias("near"))
-    return exact.join(found, "id", "left").select("id", F.coalesce("key", "near").alias("key"), F.when(F.col("key").isNotNull(), "exact").when(F.col("near").isNotNull(), "near").otherwise("none").alias("how"))
+def _near(asked: DataFrame, cache: DataFrame, least: float, key: str) -> DataFrame:
+    """id, key, at: the first cached row in time of the same `key` whose cosine is at the bar. Equal vectors are compared once."""
+    wanted = saved(asked.filter("v IS NOT NULL").groupBy(key, "v").agg(F.collect_set("id").alias("ids")).select(key, "v", "ids").withColumn("id", F.struct(F.lit(0).alias("side"), F.monotonically_increasing_id().alias("n"))))
+    held = saved(cache.filter("v IS NOT NULL").groupBy(key, "v").agg(F.min(F.struct("at", "key")).alias("first")).withColumn("id", F.struct(F.lit(1).alias("side"), F.monotonically_increasing_id().alias("n"))))
+    buckets = saved(banded_by_size(wanted.select("id", "v").unionByName(held.select("id", "v")), least))
+    side = lambda rows, name: buckets.join(rows.select("id", key), "id").select(key, "bucket", F.col("id").alias(name))
+    # A hot scope is many buckets; ids of both sides meet, vectors only for pairs that share one.
+    pairs = side(wanted, "w").join(side(held, "h"), [key, "bucket"]).select("w", "h").distinct()
+    whole = pairs.join(wanted.select(F.col("id").alias("w"), F.col("v").alias("x"), "ids"), "w").join(held.select(F.col("id").alias("h"), F.col("v").alias("y"), "first"), "h")
+    best = whole.filter(cosine(F.col("x"), F.col("y")) >= least).groupBy("w").agg(F.min("first").alias("first"), F.first("ids").alias("ids"))
+    return best.select(F.explode("ids").alias("id"), F.col("first.key").alias("key"))
+
+
+def cached_answers(asked: DataFrame, cache: DataFrame, least: float, partial: float | None = None) -> DataFrame:
+    """id, key, how: which cached row (key, text, scope, v, at; for partial hits, domain) serves each asked one (id, text, scope, v; domain).
+
+    In this order: `exact`, the same text in the same scope, the latest; `near`, the first in time of the same scope with a cosine of at least
+    `least`; `partial`, the first of the same domain with one of at least `partial`, where that is given; else `none`. Candidates come from bands
+    of random signs, which miss a pair at the bar with a probability of 1e-4; null scopes and domains match nothing.
+    """
+    exact = saved(asked.join(cache.groupBy("text", "scope").agg(F.max_by("key", F.struct("at", "key")).alias("exact")), ["text", "scope"], "left"))
+    near = _near(exact.filter("exact IS NULL AND scope IS NOT NULL"), cache.filter("scope IS NOT NULL"), least, "scope").withColumnRenamed("key", "near")
+    told = saved(exact.join(near, "id", "left"))
+    if partial is None:
+        told = told.withColumn("partial", F.lit(None).cast("string"))
+    else:
+        rest = told.filter("exact IS NULL AND near IS NULL AND domain IS NOT NULL")
+        told = told.join(_near(rest, cache.filter("domain IS NOT NULL"), partial, "domain").withColumnRenamed("key", "partial"), "id", "left")
+    how = F.when(F.col("exact").isNotNull(), "exact").when(F.col("near").isNotNull(), "near").when(F.col("partial").isNotNull(), "partial").otherwise("none")
+    return told.select("id", F.coalesce("exact", "near", "partial").alias("key"), how.alias("how"))
 
 
 def gated_pairs(pairs: DataFrame, facts: DataFrame, overlap: float = 0.5) -> DataFrame:

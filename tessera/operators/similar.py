@@ -29,12 +29,22 @@ def bands_for(n: int, least: float, missed: float = 1e-4, bucket: int = 64) -> t
     return max(1, math.ceil(math.log(missed) / math.log1p(-(same**bits)))), bits
 
 
-def similar_pairs(rows: DataFrame, least: float, size: int = 64, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def banded_by_size(rows: DataFrame, least: float) -> DataFrame:
+    """id, bucket of rows (id, v): vectors of each size among themselves. Null vectors, and those with a null in them, are in no bucket."""
+    found = None
+    for r in rows.filter("v IS NOT NULL").groupBy(F.size("v").alias("size")).count().collect():
+        if r["size"]:
+            bands, bits = bands_for(r["count"], least)
+            part = sign_bands(rows.filter(F.size("v") == r["size"]), r["size"], bands, bits).select("id", F.struct(F.lit(r["size"]).alias("size"), "bucket").alias("bucket"))
+            found = part if found is None else found.unionByName(part)
+    return found if found is not None else rows.limit(0).select("id", F.struct(F.lit(0).alias("size"), F.lit(0).cast("long").alias("bucket")).alias("bucket"))
+
+
+def similar_pairs(rows: DataFrame, least: float, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """a, b, similarity (a < b) of the classes of equal vectors (by smallest id) with a cosine of at least `least`."""
     first = vector_classes(rows, id_col, vector).filter("id = class").select("id")
     some = saved(rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).join(first, "id", "left_semi"))
-    bands, bits = bands_for(some.count(), least)
-    banded = saved(sign_bands(some, size, bands, bits))
+    banded = saved(banded_by_size(some, least))
     pairs = banded.select(F.col("id").alias("a"), "bucket").join(banded.select(F.col("id").alias("b"), "bucket"), "bucket").filter("a < b").select("a", "b").distinct()
     whole = pairs.join(some.select(F.col("id").alias("a"), F.col("v").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("v").alias("y")), "b")
     return whole.select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 6).alias("similarity")).filter(F.col("similarity") >= least)

@@ -146,7 +146,7 @@ def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x)).alias("source"), F.concat(F.lit(b), F.col(y)).alias("target"))
     links = edge(table(spark, sf_dir, "orders"), "c", "o_custkey", "o", "o_orderkey").union(edge(lines, "o", "l_orderkey", "p", "l_partkey")).union(edge(lines, "p", "l_partkey", "s", "l_suppkey"))
-    return graph.crawl_order(spark, links, ["c7"], 3)
+    return graph.crawl_order(spark, links, ["c7"], 3).select("url", "depth")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'), m AS (SELECT conv_id, count(*) AS n, avg(length(text)) / 1000.0 AS mean FROM t GROUP BY 1) SELECT conv_id, n, round(mean, 6) AS mean, CASE WHEN n = 0 THEN 'no_sources' WHEN mean < 0.30 THEN 'abstain' WHEN mean < 0.40 AND n < 2 THEN 'low_quality' ELSE 'answer' END AS decision,
