@@ -158,17 +158,35 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parsed, kinds)
 
 
-def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages archived and read back: every column comes from the archive's own bytes."""
-    records = read_archive(*write_archive(table(spark, sf_dir, "pages")))
+def parsed_records(records: DataFrame) -> DataFrame:
+    """Records (page_id, record: whole bytes) by their own fields: page_id, record_type, refers_to, target_uri, payload (bytes; a revisit's is empty).
+
+    The header ends at the first empty line, the block has the bytes that Content-Length says, two line ends close the record, and the
+    payload follows the block's own header; a record of which that is not so is an error.
+    """
+    end = CRLF * 2
+    found = records.withColumn("head", F.substring_index(F.decode("record", "UTF-8"), end, 1))
     # Fields begin lines; a URL that spells one has no line ends.
-    header = F.decode("header", "UTF-8")
-    refers = F.regexp_extract(header, r"\r\nWARC-Refers-To: <urn:page:(-?[0-9]+)>\r\n", 1)
-    return records.select(
+    field = lambda name, value: F.regexp_extract("head", rf"\r\n{name}: {value}(?:\r\n|$)", 1)
+    found = found.withColumns({"size": F.octet_length("head"), "stated": field("Content-Length", "([0-9]+)").try_cast("int")})
+    whole = F.startswith("head", F.lit("WARC/")) & (F.octet_length("record") == F.col("size") + F.col("stated") + 8)
+    block = F.when(F.coalesce(whole, F.lit(False)), F.substring(F.col("record"), F.col("size") + 5, F.col("stated"))).otherwise(F.raise_error(F.lit("not a whole record")).cast("binary"))
+    found = found.withColumn("block", block).withColumn("http", F.octet_length(F.substring_index(F.decode("block", "UTF-8"), end, 1)))
+    refers = field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>")
+    return found.select(
         "page_id",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        sha1_base32(F.col("payload")).alias("payload_digest"),
-        F.regexp_extract(header, r"\r\nWARC-Type: ([a-z]+)\r\n", 1).alias("record_type"),
+        field("WARC-Type", "([a-z]+)").alias("record_type"),
         F.when(refers != "", refers.cast("long")).alias("refers_to"),
-        F.regexp_extract(header, r"\r\nWARC-Target-URI: ([^\r]*)\r\n", 1).alias("target_uri"),
+        field("WARC-Target-URI", "([^\\r]*)").alias("target_uri"),
+        F.substring(F.col("block"), F.col("http") + 5, F.octet_length("block")).alias("payload"),
     )
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages archived and read back: every column comes from the records' own bytes, a revisit's payload from the record that it refers to."""
+    records = read_archive(*write_archive(table(spark, sf_dir, "pages"))).select("page_id", "record")
+    told = parsed_records(records).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": sha1_base32(F.col("payload"))}).drop("payload")
+    read = staged(told, "warc-read")
+    revisits = read.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
+    stored = read.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to"])
+    return read.filter("record_type = 'response'").unionByName(revisits.join(stored, "refers_to")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
