@@ -158,8 +158,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parsed, kinds)
 
 
-def parsed_records(records: DataFrame) -> DataFrame:
-    """Records (page_id, record: whole bytes) by their own fields: page_id, record_type, refers_to, target_uri, payload (bytes; a revisit's is empty).
+def parsed_records(records: DataFrame, *kept: str) -> DataFrame:
+    """Records (page_id, record: whole bytes) by their own fields: page_id, record_type, refers_to, target_uri, payload (bytes; a revisit's is empty), kept columns.
 
     The header ends at the first empty line, the block has the bytes that Content-Length says, two line ends close the record, and the
     payload follows the block's own header; a record of which that is not so is an error.
@@ -179,14 +179,12 @@ def parsed_records(records: DataFrame) -> DataFrame:
         F.when(refers != "", refers.cast("long")).alias("refers_to"),
         field("WARC-Target-URI", "([^\\r]*)").alias("target_uri"),
         F.substring(F.col("block"), F.col("http") + 5, F.octet_length("block")).alias("payload"),
+        *kept,
     )
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages archived and read back: every column comes from the records' own bytes, a revisit's payload from the record that it refers to."""
-    records = read_archive(*write_archive(table(spark, sf_dir, "pages"))).select("page_id", "record")
-    told = parsed_records(records).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": sha1_base32(F.col("payload"))}).drop("payload")
-    read = staged(told, "warc-read")
-    revisits = read.filter("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
-    stored = read.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to"])
-    return read.filter("record_type = 'response'").unionByName(revisits.join(stored, "refers_to")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
+    """Pages archived and read back: every column comes from the records' own bytes, a revisit's payload from the store that its digest names."""
+    told = parsed_records(read_archive(*write_archive(table(spark, sf_dir, "pages"))).withColumnRenamed("payload", "stored"), "stored")
+    payload = F.when(F.col("record_type") == "revisit", F.col("stored")).otherwise(F.col("payload"))
+    return told.withColumn("payload", payload).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), sha1_base32(F.col("payload")).alias("payload_digest"), "record_type", "refers_to", "target_uri")
