@@ -26,7 +26,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def literal(vector: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in vector])
+    return F.array(*[F.lit(float(x)) for x in vector]).cast("array<double>")
 
 
 def planes(size: int, n: int, seed: int = 11) -> list[list[float]]:

@@ -144,7 +144,7 @@ def crawl_order(spark: SparkSession, links: DataFrame, seeds: list[str], depth:
             break
         ahead = links.join(level.select(F.col("url").alias("source"), "place"), "source").groupBy(F.col("target").alias("url")).agg(F.min("place").alias("by"))
         fresh = ahead.join(seen.select("url"), "url", "left_anti").join(old, "url", "left").select("url", F.coalesce("old", F.lit(0)).alias("old"), "by")
-        level = saved(numbered(fresh, ["old", "by", "url"], n, most).withColumn("depth", F.lit(d)))
+        level = saved(numbered(fresh, ["old", "by", "url"], n, most).select("url", "place", F.lit(d).alias("depth")))
         found = level.count()
         if not found:
             break
@@ -153,8 +153,8 @@ def crawl_order(spark: SparkSession, links: DataFrame, seeds: list[str], depth:
     return seen.select("url", "depth", "place")
 
 
-def numbered(rows: DataFrame, order: list[str], start: int, most: int | None = None) -> DataFrame:
-    """rows with place: their number in that order from `start`, without those from `most` on. A sort by range and counts a task, so no task sees all."""
+def numbered(rows: DataFrame, order: list[str], start: int = 0, most: int | None = None) -> DataFrame:
+    """rows with place (long): their number in that order from `start`, without those from `most` on. A sort by range and counts a task, so no task sees all."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = saved(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     task = F.shiftright("at", 33)
@@ -163,4 +163,4 @@ def numbered(rows: DataFrame, order: list[str], start: int, most: int | None = N
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("task", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + start).alias("shift"))
     placed = ordered.withColumn("task", task).join(F.broadcast(starts), "task").withColumn("place", F.col("at") + F.col("shift"))
-    return (placed if most is None else placed.filter(F.col("place") < most)).drop("task", "at", "shift", *[c for c in order if c != "url"])
+    return (placed if most is None else placed.filter(F.col("place") < most)).drop("task", "at", "shift")

@@ -53,10 +53,9 @@ def text_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "domain", F.round("share", 6).alias("share"), F.round("density", 6).alias("density"), "dense")
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '[0-9]{2,4}[-/][0-9]{1,4}') OR regexp_matches(text, '"[^"]+"') THEN 'keyword' ELSE 'semantic' END AS kind FROM conversations WHERE role = 'user' AND NOT regexp_matches(lower(text), '^\W*(article|art\.|section|law|loi|decree|décret|define|definition|what)')""")
+@query(f"""SELECT conv_id, turn, CASE WHEN {" OR ".join(f"regexp_matches(lower(text), {quoted(p)})" for p in selection.KEYWORD_QUERIES)} THEN 'keyword' ELSE 'semantic' END AS kind FROM conversations WHERE role = 'user'""")
 def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "conversations").filter("role = 'user'").filter(~F.lower("text").rlike(r"^\W*(article|art\.|section|law|loi|decree|décret|define|definition|what)"))
-    return asked.select("conv_id", "turn", selection.query_kind(F.col("text")).alias("kind"))
+    return table(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn", selection.query_kind(F.col("text")).alias("kind"))
 
 
 @query(rf"""WITH f AS (SELECT doc_id, 'article' AS kind, unnest(regexp_extract_all(text, {quoted(references.ARTICLE)}, 1)) AS number FROM documents UNION ALL SELECT doc_id, 'law', unnest(regexp_extract_all(text, {quoted(references.LAW)}, 1)) FROM documents) SELECT doc_id, kind, regexp_replace(number, '\s+', ' ', 'g') AS number, count(*) AS n FROM f GROUP BY ALL""")

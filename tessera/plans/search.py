@@ -24,8 +24,9 @@ PAIRS = """e1 AS (SELECT vec_id, embedding, min(vec_id) OVER (PARTITION BY embed
 
 
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    """The query: one vector."""
-    return list(table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()["embedding"])
+    """The query: one vector, empty where it is not there."""
+    found = table(spark, sf_dir, "embeddings").filter("vec_id = 0").first()
+    return list(found["embedding"]) if found and found["embedding"] is not None else []
 
 
 def two_rankings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -47,9 +48,9 @@ def filtered_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {NEAR}, s AS (SELECT label FROM embeddings WHERE vec_id = 0), c AS (SELECT id, CASE WHEN e.label = s.label THEN 0.95 ELSE score END AS score FROM v JOIN embeddings e ON id = vec_id, s WHERE id <> 0 AND (e.label = s.label OR score > 0.5)) SELECT id, CAST(score AS DOUBLE) AS score FROM c ORDER BY score DESC, id LIMIT 12""")
 def related_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.filter("vec_id = 0").first()
+    asked = rows.filter("vec_id = 0").first() or {"embedding": [], "label": None}
     scored = rows.filter("vec_id <> 0").withColumn("s", F.round(retrieval.cosine(F.col("embedding"), retrieval.literal(list(asked["embedding"]))), 6))
-    same = F.col("label") == asked["label"]
+    same = F.coalesce(F.col("label") == F.lit(asked["label"]), F.lit(False))
     return scored.filter(same | (F.col("s") > 0.5)).select(F.col("vec_id").alias("id"), F.when(same, 0.95).otherwise(F.col("s")).alias("score")).orderBy(F.desc("score"), "id").limit(12)
 
 
@@ -163,3 +164,32 @@ def packed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each conversation the turns, longest first, that fit in a budget of tokens."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").cast("long").alias("id"), F.length("text").cast("double").alias("score"), F.ceil(F.length("text") / 4).alias("tokens"))
     return retrieval.packed_context(turns, 200).select("query_id", "used", F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
+
+
+@query(f"WITH {POOLS}, s AS (SELECT * FROM v ORDER BY score DESC, id LIMIT 20), r AS (SELECT * FROM b ORDER BY score DESC, id LIMIT 100) SELECT coalesce(s.id, r.id) AS id, CAST(round(coalesce(s.score, greatest(0.35, least(r.score / 1000 * 10, 0.5))), 6) AS DOUBLE) AS score FROM s FULL JOIN r ON s.id = r.id")
+def effective_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarities of both rankings' rows; what only the words found has one of its rank."""
+    near, words = two_rankings(spark, sf_dir)
+    both = near.select("id", F.col("score").alias("s")).join(words.select("id", (F.col("score") / 1000).alias("r")), "id", "full")
+    return both.select("id", F.round(retrieval.effective_similarity(F.col("s"), F.col("r")), 6).alias("score"))
+
+
+@query(f"""WITH {NEAR}, n AS (SELECT label, count(*) FILTER (score >= 0.2) AS n, count(*) AS rows FROM v JOIN embeddings ON id = vec_id GROUP BY 1), b AS (SELECT label, n, CASE WHEN n < 3 THEN greatest(0.8 * 0.2, 0.1) ELSE 0.2 END AS bar FROM n)
+ SELECT b.label, b.n, CAST(round(bar, 6) AS DOUBLE) AS bar, count(*) FILTER (score >= bar) AS found FROM b JOIN embeddings e ON e.label = b.label JOIN v ON v.id = e.vec_id GROUP BY ALL""")
+def adaptive_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each label how many vectors are at the bar, the lower bar where these are few, and how many that one finds."""
+    scored = graph.saved(table(spark, sf_dir, "embeddings").select("label", F.round(retrieval.cosine(F.col("embedding"), retrieval.literal(first_vector(spark, sf_dir))), 6).alias("s")))
+    bars = scored.groupBy("label").agg(F.count_if(F.col("s") >= 0.2).alias("n")).withColumn("bar", retrieval.adaptive_bar(F.col("n"), 0.2, 0.1))
+    return scored.join(bars, "label").groupBy("label", "n", F.round("bar", 6).alias("bar")).agg(F.count_if(F.col("s") >= F.col("bar")).alias("found"))
+
+
+@query("SELECT o_orderkey, CAST(round(1 + greatest(0.0, least((year(o_orderdate) - 1956) / 70, 1.0)) * 0.15, 9) AS DOUBLE) AS boost FROM orders")
+def recency_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(F.coalesce(retrieval.recency_boost(F.year("o_orderdate"))), 9).alias("boost"))
+
+
+@query("SELECT user_id, count(*) AS errors, CAST(least(1.0 * pow(2.0, count(*)), 60.0) AS DOUBLE) AS seconds FROM events WHERE event_type = 'error' GROUP BY 1")
+def retry_delays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long to wait before each user's next try."""
+    by = table(spark, sf_dir, "events").filter("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("errors"))
+    return by.select("user_id", "errors", graph.backoff_seconds(F.col("errors")).alias("seconds"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import chunking, pages
+from tessera.operators import chunking, graph, pages
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
@@ -134,8 +134,13 @@ def fused_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH o AS (SELECT doc_id, source, text, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS old FROM documents), l AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split(coalesce(old, ''), chr(10)), lambda s: trim(s)), lambda s: s <> '')) AS a, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s)), lambda s: s <> '')) AS b FROM o WHERE old IS NOT NULL)
  SELECT doc_id, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 0.0 ELSE 1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6) AS changed FROM l""")
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("doc_id")
-    versions = table(spark, sf_dir, "documents").select("doc_id", "text", F.lag("text").over(w).alias("old")).filter("old IS NOT NULL")
+    """How much of each text's lines differs from the text before it of its source. Ids are numbered over all rows, so that no source is one task; texts meet by id."""
+    docs = table(spark, sf_dir, "documents")
+    own = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
+    ids = graph.numbered(docs.select(own.alias("source"), "doc_id"), ["source", "doc_id"])
+    pairs = ids.join(ids.select("source", (F.col("place") + 1).alias("place"), F.col("doc_id").alias("old_id")), ["source", "place"]).select("doc_id", "old_id")
+    old = docs.select(F.col("doc_id").alias("old_id"), F.col("text").alias("old")).filter("old IS NOT NULL")
+    versions = pairs.join(docs.select("doc_id", "text"), "doc_id").join(old, "old_id")
     return versions.select("doc_id", F.round(pages.change_share(F.col("old"), F.col("text")), 6).alias("changed"))
 
 
