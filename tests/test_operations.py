@@ -25,9 +25,12 @@ def test_settings(spark):
 
 
 def test_tables_stand_alone():
-    got = routing.route("before\n[TABLE]\n| a | b |\n" + "x" * 3000 + "[/TABLE]\nafter [TABLE] | | [/TABLE]", "adaptive", 100, 10)
+    before, after = words(10, "before"), words(11, "after")
+    got = routing.route(f"{before}\n[TABLE]\n| a | b | " + "c | " * 9 + "x" * 3000 + f"[/TABLE]\n{after} [TABLE] | | [/TABLE]", "adaptive", 100, 10)
     assert [k for k, _, _ in got] == ["text", "table", "text"]
-    assert got[0][2] == "before" and len(got[1][2]) == 2000 and got[2][2] == "after"
+    assert got[0][2] == before and len(got[1][2]) == 2000 and got[2][2] == after
+    # Parts of a text with tables that have under ten words or five letters go.
+    assert routing.route(f"before\n[TABLE]| a | b |[/TABLE]\n{'1 ' * 20}", "adaptive", 100, 10) == []
     assert routing.route("", "article", 10, 2) == routing.route(" \n", "page", 10, 2) == []
 
 
@@ -46,11 +49,13 @@ def test_small_chunks_go_unless_last():
 
 
 def test_articles():
-    text = f"preamble\nArticle 1\nshort\nart. 2 bis {words(130)}"
+    first = f"Article 1\n{words(8, 'a')}"
+    text = f"preamble\n{first}\nart. 2 bis {words(130)}"
     got = routing.route(text, "article", 100, 10)
     assert [n for _, n, _ in got] == ["1", "2 bis"] or [n for _, n, _ in got] == ["1", "2 bis", "2 bis"]
-    assert got[0][2] == "Article 1\nshort" and got[1][2].startswith("[Article 2 bis (partie 1/")
-    arabic = routing.route("الفصل 5 :\nنص\nالفصل الأول :\nنص آخر", "article", 100, 10)
+    assert got[0][2] == first and got[1][2].startswith("[Article 2 bis (partie 1/")
+    arabic = routing.route(f"الفصل 5 :\n{'نص ' * 9}\nالفصل الأول :\n{'آخر ' * 9}", "article", 100, 10)
+    assert routing.route("Article 1\nshort\nArticle 2\nshort too", "article", 100, 10) == []
     assert [n for _, n, _ in arabic] == ["5", "الأول"]
     assert routing.route("no headings here", "article", 100, 10) == [("text", None, "no headings here")]
 
