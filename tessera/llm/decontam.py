@@ -31,7 +31,8 @@ hot passages matter.
 Words are what white space parts, in lower case, without other signs than letters
 and digits. Items and texts that are null or
 have no words match nothing. Repeated rows of an id are one document, repeated rows
-of an item one item; rows with a null id are left out.
+of an item one item; rows with a null id are left out. Ties in score need no order, since all
+above the threshold are kept. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -29,7 +29,7 @@ are joined to the repeated chunks by key, where adaptive execution splits a hot
 A null or empty text is returned as it is, and so is the text of a row with a null
 id. Rows that share an id count as one document: equal ones keep the same lines.
 Texts without repeats are unchanged, byte by byte. Other columns of docs keep their names;
-one called n_removed needs another name for the number of lines (`removed_col`).
+one called n_removed needs another name for the number of lines (`removed_col`). An empty table gives no rows.
 """
 
 from __future__ import annotations

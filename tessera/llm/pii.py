@@ -9,7 +9,7 @@ dropped by a low score.
 
 A null or empty text has no spans. Offsets are code points, end exclusive.
 Repeated rows give repeated rows. All scans are linear in the text's length,
-so a text of any length is read whole.
+so a text of any length is read whole. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -32,7 +32,7 @@ sums, so no list of documents reaches the driver.
 A null or empty text has no n-grams and the usual weight of target text.
 Repeated rows of an id have one noise and share its fate unless their texts
 differ; rows of a null id share one noise. Without labels of both kinds nothing is rejected;
-without toxic ones nothing is toxic.
+without toxic ones nothing is toxic. An empty table gives no rows; other columns keep their names.
 """
 
 from __future__ import annotations

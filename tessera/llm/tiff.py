@@ -9,7 +9,8 @@ guard against loops; every offset is checked against the file's length.
 `tiff_pages` gives one row per page. A null or empty media value gives no row.
 A file or page that cannot be decoded, or whose samples take more than MOST bytes,
 gives one row with `error` set and null samples, so a damaged file never fails the
-job; decoders stop at the size that the page states. Repeated rows repeat.
+job; decoders stop at the size that the page states. Repeated rows repeat, null ids
+are kept, an empty table gives no rows, other columns are ignored.
 
 `to_tiff` stores bytes losslessly as 8-bit grey samples, 64 to a row, deflated
 in strips, which is how the query stores texts.
