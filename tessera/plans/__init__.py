@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import corpus, ingest, monitoring, operations, relational, search, texts  # noqa: F401
+from tessera.plans import corpus, ingest, monitoring, operations, provisions, relational, search, texts  # noqa: F401
 from tessera.plans.registry import QUERIES, SQL
 
 
