@@ -13,13 +13,12 @@ job; decoders stop at the size that the page states. Repeated rows repeat, null
 are kept, an empty table gives no rows, other columns are ignored.
 
 `to_tiff` stores bytes losslessly as 8-bit grey samples, 64 to a row, deflated
-in strips, which is how the query stores texts.
+in strips, in as many pages as they need, which is how the query stores texts.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,6 +40,8 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 ROW = 64
 STRIP_ROWS = 1024
+#: Rows of a stored page: 64 MiB of samples. A longer text is several pages.
+PAGE_ROWS = 1 << 20
 #: Bytes of a page's samples; a larger page is an error, as a small file can state any size.
 MOST = 1 << 29
 #: Bytes of samples that a batch of pages holds before it is handed on.
@@ -303,34 +304,35 @@ def decode(data: bytes) -> Iterator[dict]:
             yield bad | {"error": str(e) or type(e).__name__}
 
 
-def to_tiff(payload: bytes, how: int = DEFLATE, predictor: int = 1, order: str = "<") -> bytes:
-    """One page of 8-bit grey samples, ROW to a row; payload must fill whole rows."""
-    height = len(payload) // ROW
-    if not height or len(payload) % ROW:
+def to_tiff(payload: bytes, how: int = DEFLATE, predictor: int = 1, order: str = "<", page_rows: int = PAGE_ROWS) -> bytes:
+    """Pages of 8-bit grey samples, ROW to a row and at most page_rows rows; payload must fill whole rows."""
+    if not payload or len(payload) % ROW:
         raise ValueError(f"payload must be a positive multiple of {ROW} bytes")
-    strips = []
-    for at in range(0, len(payload), ROW * STRIP_ROWS):
-        part = payload[at : at + ROW * STRIP_ROWS]
-        if predictor == 2:
-            x = np.frombuffer(part, np.uint8).reshape(-1, ROW)
-            part = np.concatenate([x[:, :1], np.diff(x, axis=1)], axis=1).tobytes()
-        strips.append(PACK[how](part))
-    counts = [len(s) for s in strips]
-    offsets = list(itertools.accumulate(counts[:-1], initial=8))
-    end = 8 + sum(counts)
-    pad = end % 2
-    n, more = len(strips), b""
-    if n > 1:
-        more = struct.pack(f"{order}{2 * n}I", *offsets, *counts)
-    where = end + pad
-    fields = [(WIDTH, 4, 1, ROW), (HEIGHT, 4, 1, height), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, how), (PHOTOMETRIC, 3, 1, 1), (STRIP_OFFSETS, 4, n, where if n > 1 else offsets[0]), (SAMPLES, 3, 1, 1), (ROWS_PER_STRIP, 4, 1, STRIP_ROWS), (STRIP_COUNTS, 4, n, where + 4 * n if n > 1 else counts[0]), (PREDICTOR, 3, 1, predictor)]
-    at = where + len(more)
-    ifd = struct.pack(order + "H", len(fields))
-    for tag, kind, count, value in fields:
-        held = struct.pack(order + "HH", value, 0) if kind == 3 and count == 1 else struct.pack(order + "I", value)
-        ifd += struct.pack(order + "HHI", tag, kind, count) + held
-    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", at)
-    return head + b"".join(strips) + b"\0" * pad + more + ifd + struct.pack(order + "I", 0)
+    data, link = bytearray((b"II*\0" if order == "<" else b"MM\0*") + bytes(4)), 4
+    for first in range(0, len(payload), ROW * page_rows):
+        whole, offsets, counts = payload[first : first + ROW * page_rows], [], []
+        for at in range(0, len(whole), ROW * STRIP_ROWS):
+            part = whole[at : at + ROW * STRIP_ROWS]
+            if predictor == 2:
+                x = np.frombuffer(part, np.uint8).reshape(-1, ROW)
+                part = np.concatenate([x[:, :1], np.diff(x, axis=1)], axis=1).tobytes()
+            strip = PACK[how](part)
+            offsets.append(len(data))
+            counts.append(len(strip))
+            data += strip
+        data += bytes(len(data) % 2)
+        n, where = len(counts), len(data)
+        if n > 1:
+            data += struct.pack(f"{order}{2 * n}I", *offsets, *counts)
+        fields = [(WIDTH, 4, 1, ROW), (HEIGHT, 4, 1, len(whole) // ROW), (BITS, 3, 1, 8), (COMPRESSION, 3, 1, how), (PHOTOMETRIC, 3, 1, 1), (STRIP_OFFSETS, 4, n, where if n > 1 else offsets[0]), (SAMPLES, 3, 1, 1), (ROWS_PER_STRIP, 4, 1, STRIP_ROWS), (STRIP_COUNTS, 4, n, where + 4 * n if n > 1 else counts[0]), (PREDICTOR, 3, 1, predictor)]
+        struct.pack_into(order + "I", data, link, len(data))
+        data += struct.pack(order + "H", len(fields))
+        for tag, kind, count, value in fields:
+            held = struct.pack(order + "HH", value, 0) if kind == 3 and count == 1 else struct.pack(order + "I", value)
+            data += struct.pack(order + "HHI", tag, kind, count) + held
+        link = len(data)
+        data += bytes(4)
+    return bytes(data)
 
 
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,49 +365,78 @@ def tiff_pages(media: DataFrame, id_col: str = "media_id", media_col: str = "med
     return chosen.mapInArrow(_pages, f"{given}, {PAGES}")
 
 
-def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        sizes, media = [], []
-        for text in batch.column("text").to_pylist():
-            raw = (text or "").encode()
-            sizes.append(len(raw))
-            media.append(to_tiff(raw + b"\0" * (max(ROW, -(-len(raw) // ROW) * ROW) - len(raw))))
-        yield pa.RecordBatch.from_arrays([batch.column("media_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["media_id", "n_bytes", "media"])
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Texts as media: UTF-8 (null: empty), zeros up to a positive multiple of 64, stored as TIFF of pages of at most page_rows rows."""
 
+    def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sizes, media = [], []
+            for text in batch.column("text").to_pylist():
+                raw = (text or "").encode()
+                sizes.append(len(raw))
+                media.append(to_tiff(raw + b"\0" * (max(ROW, -(-len(raw) // ROW) * ROW) - len(raw)), page_rows=page_rows))
+            yield pa.RecordBatch.from_arrays([batch.column("media_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["media_id", "n_bytes", "media"])
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts as media: UTF-8 (null: empty), zeros up to a positive multiple of 64, stored as TIFF."""
-    return picked(docs, media_id=id_col, text=text_col).mapInArrow(_stored, "media_id long, n_bytes long, media binary")
+    return picked(docs, media_id=id_col, text=text_col).mapInArrow(stored, "media_id long, n_bytes long, media binary")
 
 
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+FEATURES = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "feature": pa.string()}
 
 
-def features(samples: bytes) -> tuple[int, str, int, str]:
-    """Size, digest, the checksum of the last row, and statistics of the samples' values."""
-    counts = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
-    share = counts[counts > 0] / len(samples)
-    mean = float(counts @ np.arange(256)) / len(samples)
-    text = f"{ROW}x{len(samples) // ROW};mean={mean:.4f};entropy={abs(float(-(share * np.log2(share)).sum())):.4f};distinct={len(share)}"
-    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ROW:]), text
+class Features:
+    """Size, digest, the checksum of the last row, and statistics of the samples' values, page by page."""
 
+    def __init__(self) -> None:
+        self.size, self.digest, self.tail, self.counts = 0, hashlib.sha256(), b"", np.zeros(256, np.int64)
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "samples"):
-        rows = [features(x) for x in batch.column("samples").to_pylist()]
-        made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)]
-        kept = batch.drop_columns(["samples"])
-        yield pa.RecordBatch.from_arrays([*kept.columns, *made], [*kept.schema.names, "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+    def add(self, samples: bytes) -> None:
+        self.size += len(samples)
+        self.digest.update(samples)
+        self.tail = samples[-ROW:]
+        self.counts += np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
+
+    def values(self) -> tuple[int, str, int, str]:
+        share = self.counts[self.counts > 0] / self.size
+        mean = float(self.counts @ np.arange(256)) / self.size
+        text = f"{ROW}x{self.size // ROW};mean={mean:.4f};entropy={abs(float(-(share * np.log2(share)).sum())):.4f};distinct={len(share)}"
+        return self.size, self.digest.hexdigest(), zlib.crc32(self.tail), text
+
+
+def media_features(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """media_id, the kept columns and FEATURES of media, whose pages (page, samples) follow each other as tiff_pages gives them."""
+    chosen = pages.select("media_id", *keep, "page", "samples")
+    given = [n for n in chosen.columns if n not in ("page", "samples")]
+    kinds = [f"`{n}` {kind}" for n, kind in chosen.dtypes if n in given]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types, now = [*given, *FEATURES], None, None
+        for batch in slices(batches, "samples"):
+            types, done = [*[batch.schema.field(n).type for n in given], *FEATURES.values()], []
+            for page, samples, *row in zip(*(batch.column(n).to_pylist() for n in ("page", "samples", *given)), strict=True):
+                if page == 0:
+                    if now:
+                        done.append((*now[0], *now[1].values()))
+                    now = row, Features()
+                now[1].add(samples)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names)
+        if now:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*now[0], *now[1].values()), types, strict=True)], names)
+
+    return chosen.mapInArrow(rows, ", ".join(kinds) + ", payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
 
 
 def op6_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' texts stored as TIFF in the shared folder, read back page by page, with features.
 
-    Everything is narrow: each stored row is decoded where it is read. A stored
-    text is one page, so the pages are the documents again.
+    Everything is narrow: each stored row is decoded where it is read, and its pages
+    follow each other in one task. A text of more than PAGE_ROWS rows is several pages,
+    each of which is held alone. Null texts are empty, null ids and repeated rows stay,
+    no documents give no rows, other columns are ignored.
     """
     media = staged(text_media(table(spark, sf_dir, "documents")), "tiff", "none")
     told = media.select("media_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    pages = tiff_pages(told, keep=("n_bytes", "media_bytes", "media_sha256"))
-    whole = pages.select(F.col("media_id").alias("doc_id"), "n_bytes", "media_bytes", "media_sha256", F.coalesce("samples", F.raise_error(F.concat(F.lit("a stored text cannot be read: "), "error")).cast("binary")).alias("samples"))
-    return whole.mapInArrow(_features, f"doc_id long, n_bytes long, media_bytes long, media_sha256 string, {FEATURES}")
+    kept = ("n_bytes", "media_bytes", "media_sha256")
+    pages = tiff_pages(told, keep=kept)
+    whole = pages.withColumn("samples", F.coalesce("samples", F.raise_error(F.concat(F.lit("a stored text cannot be read: "), "error")).cast("binary")))
+    return media_features(whole, kept).withColumnRenamed("media_id", "doc_id")

@@ -93,6 +93,41 @@ def test_query(spark, tmp_path):
     assert got[5].media_sha256 == got[6].media_sha256 and got[5].feature == got[6].feature
 
 
+def test_query_of_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, page int, samples string, media_id string"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert tiff.op6_tiff(spark, f"{tmp_path}/none").count() == 0
+    spark.createDataFrame([(None, "a", 7, "s", "m"), (None, "a", 7, "s", "m"), (3, None, None, None, None)], schema).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    assert sorted((r.doc_id is None, r.n_bytes, r.payload_bytes) for r in tiff.op6_tiff(spark, f"{tmp_path}/odd").collect()) == [(False, 0, 64), (True, 1, 64), (True, 1, 64)]
+
+
+def test_long_texts_are_several_pages(spark):
+    """The features of all pages are those of the text in one."""
+    texts = ["", None, "é" * 64, "ab" * 3000, "x" * 64, "y" * 65, "ab" * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    for how in (1, 2, 5, 1000):
+        pages = tiff.tiff_pages(tiff.text_media(docs, page_rows=how), keep=("n_bytes",))
+        counts = {r.media_id: r["count"] for r in pages.groupBy("media_id").count().collect()}
+        assert counts[3] == -(-94 // how) and counts[0] == counts[1] == 1 and counts[5] == -(-2 // how)
+        got = {r.media_id: r for r in tiff.media_features(pages, ("n_bytes",)).collect()}
+        assert len(got) == len(texts)
+        for i, text in enumerate(texts):
+            raw = (text or "").encode()
+            payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+            one = tiff.Features()
+            one.add(payload)
+            assert (got[i].n_bytes, got[i].payload_bytes, got[i].payload_sha256, got[i].tail_crc32, got[i].feature) == (len(raw), *one.values())
+
+
+def test_pages_of_every_kind():
+    payload = bytes(range(256)) * 10
+    for order in "<>":
+        for how in (tiff.NONE, tiff.PACKBITS, tiff.LZW, tiff.DEFLATE):
+            for predictor in (1, 2):
+                found = list(tiff.decode(tiff.to_tiff(payload, how, predictor, order, page_rows=7)))
+                assert [p["height"] for p in found] == [7, 7, 7, 7, 7, 5] and b"".join(p["samples"] for p in found) == payload
+
+
 def directory(*fields, data=b""):
     """A file of one directory; fields are (tag, kind, count, value)."""
     import struct
