@@ -157,6 +157,16 @@ def mask_token(x: Text, kept: int = 4) -> Column:
     return F.when(F.length(col(x)) <= 2 * kept, "***").otherwise(F.concat(F.left(col(x), F.lit(kept)), F.lit("***"), F.right(col(x), F.lit(kept))))
 
 
+def mask_hash(x: Text) -> Column:
+    """The first 12 signs; of fewer than 15, or of null, nothing."""
+    return F.when(F.length(col(x)) >= 15, F.concat(F.left(col(x), F.lit(12)), F.lit("***"))).otherwise("***")
+
+
+def mask_phone(x: Text) -> Column:
+    """The first and last four signs; of fewer than eight, or of null, nothing."""
+    return F.when(F.length(col(x)) >= 8, F.concat(F.left(col(x), F.lit(4)), F.lit("***"), F.right(col(x), F.lit(4)))).otherwise("***")
+
+
 def phone_e164(x: Text, country: str = "216", local: str = "[2-9][0-9]{7}") -> Column:
     """+country and digits from the usual ways to write a number; what is none comes back without other signs."""
     n = F.regexp_replace(col(x), r"[^0-9+]", "")

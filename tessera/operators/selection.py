@@ -13,8 +13,19 @@ from tessera.operators.filters import tag_overlap
 from tessera.operators.graph import saved
 from tessera.operators.similar import banded_by_size
 
-#: Asked like these, a question is about words rather than meaning.
-KEYWORD_QUERIES = (r"^\W*(article|art\.|section|law|loi|decree|décret)\s+(no\.?\s*)?[0-9]+", r"\b[0-9]{2,4}[-/][0-9]{1,4}\b", r'"[^"]+"', r"^\W*(define|definition of|what does .* mean)\b")
+# Asked like these, in lower case, a question is about words rather than meaning. Words of Arabic count after a letter of ASCII
+# or a digit only, where a boundary of ASCII words is.
+EDGE, INSIDE = r"(?:^|[^a-z0-9_])", r"[a-z0-9_]"
+KEYWORD_QUERIES = (
+    rf"{EDGE}(article|art\.?)\s+[0-9]{{1,4}}",
+    rf"{INSIDE}(فصل|الفصل)\s+[0-9]{{1,4}}",
+    rf"(?:{EDGE}code|{INSIDE}قانون|{INSIDE}مجلة)\s+(civil|pénal|commerce|travail)",
+    rf"(?:{EDGE}loi|{INSIDE}قانون)\s+(n°|رقم|عدد)\s*[0-9]{{4}}",
+    rf"(?:{EDGE}décret|{INSIDE}قرار|{INSIDE}أمر)\s+(n°|رقم|عدد)\s*[0-9]{{4}}",
+    r"^\s*[0-9]{1,4}\s*$",
+    rf"(?:{EDGE}tribunal|{INSIDE}محكمة)\s+(civil|pénal|commercial)",
+    rf"(?:{EDGE}arrêt|{INSIDE}قرار|{INSIDE}حكم)\s+(n°|رقم|عدد)?\s*[0-9]{{1,6}}",
+)
 
 
 def query_kind(question: Column) -> Column:

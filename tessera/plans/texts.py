@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunking, graph, pages
-from tessera.plans.registry import query
+from tessera.plans.registry import query, quoted
 from tessera.sources.tables import table
 
 W = r"list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda w: w <> '')"
@@ -71,6 +71,17 @@ def masked_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter(F.contains("text", F.lit("@"))).select("doc_id", address.alias("a")).filter("a <> ''").select("doc_id", T.mask_email("a").alias("masked"))
 
 
+PHONE = r"\+[0-9][0-9 ().-]{6,}[0-9]"
+
+
+@query(f"""WITH p AS (SELECT doc_id, sha256(text) AS h, nullif(regexp_extract(text, {quoted(PHONE)}, 0), '') AS p FROM documents)
+ SELECT doc_id, coalesce(substr(h, 1, 12), '') || '***' AS hash, CASE WHEN length(p) >= 8 THEN substr(p, 1, 4) || '***' || substr(p, length(p) - 3) ELSE '***' END AS phone FROM p""")
+def masked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and first telephone numbers of all texts as logs may show them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.nullif(F.regexp_extract("text", PHONE, 0), F.lit("")).alias("p"))
+    return docs.select("doc_id", T.mask_hash("h").alias("hash"), T.mask_phone("p").alias("phone"))
+
+
 @query(r"""SELECT page_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '([?&])utm_(?:source|medium|campaign)=[^&]*', '\1', 'g'), '&+', '&', 'g'), '[?&]+$', '')) AS hash, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1) AS path FROM pages""")
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.url_hash("url").alias("hash"), T.host_of("url").alias("host"), T.path_of("url").alias("path"))
