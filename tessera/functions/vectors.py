@@ -1,13 +1,8 @@
-"""Vectors as arrays of numbers: products, cosines, signs of random projections."""
+"""Vectors as arrays of numbers: products and cosines."""
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -27,30 +22,3 @@ def cosine(a: Column, b: Column) -> Column:
 
 def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector]).cast("array<double>")
-
-
-def planes(size: int, n: int, seed: int = 11) -> list[list[float]]:
-    rng = random.Random(seed)
-    return [[rng.gauss(0.0, 1.0) for _ in range(size)] for _ in range(n)]
-
-
-def sign_bands(rows: DataFrame, size: int, bands: int, bits: int, seed: int = 11) -> DataFrame:
-    """id, bucket of rows (id, v): the signs of `bits` random projections in each band, one row a band.
-
-    A product of matrices a batch; vectors of another size, null ones too, are in no band.
-    """
-    normals = np.asarray(planes(size, bands * bits, seed)).T
-    weights = 1 << np.arange(bits, dtype=np.int64)
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch.column("v").to_pylist()
-            fit = [i for i, v in enumerate(vectors) if v is not None and len(v) == size and None not in v]
-            if not fit:
-                continue
-            signs = (np.asarray([vectors[i] for i in fit], float) @ normals >= 0).reshape(len(fit), bands, bits)
-            bucket = (signs @ weights) * bands + np.arange(bands)
-            ids = batch.column("id").take(pa.array(np.repeat(fit, bands)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(bucket.ravel())], ["id", "bucket"])
-
-    return rows.select("id", "v").mapInArrow(made, f"id {dict(rows.dtypes)['id']}, bucket long")

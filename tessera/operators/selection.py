@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
-from tessera.functions.vectors import cosine
 from tessera.operators.filters import tag_overlap
 from tessera.operators.graph import saved
-from tessera.operators.similar import banded_by_size
+from tessera.operators.similar import first_near
 
 # Asked like these, in lower case, a question is about words rather than meaning. Words of Arabic count after a letter of ASCII
 # or a digit only, where a boundary of ASCII words is.
@@ -93,23 +92,19 @@ def graph_boosted(rows: DataFrame, edges: DataFrame, least: float = 0.7, factor:
 
 def _near(asked: DataFrame, cache: DataFrame, least: float, key: str) -> DataFrame:
     """id, key, at: the first cached row in time of the same `key` whose cosine is at the bar. Equal vectors are compared once."""
-    wanted = saved(asked.filter("v IS NOT NULL").groupBy(key, "v").agg(F.collect_set("id").alias("ids")).select(key, "v", "ids").withColumn("id", F.struct(F.lit(0).alias("side"), F.monotonically_increasing_id().alias("n"))))
-    held = saved(cache.filter("v IS NOT NULL").groupBy(key, "v").agg(F.min(F.struct("at", "key")).alias("first")).withColumn("id", F.struct(F.lit(1).alias("side"), F.monotonically_increasing_id().alias("n"))))
-    buckets = saved(banded_by_size(wanted.select("id", "v").unionByName(held.select("id", "v")), least))
-    side = lambda rows, name: buckets.join(rows.select("id", key), "id").select(key, "bucket", F.col("id").alias(name))
-    # A hot scope is many buckets; ids of both sides meet, vectors only for pairs that share one.
-    pairs = side(wanted, "w").join(side(held, "h"), [key, "bucket"]).select("w", "h").distinct()
-    whole = pairs.join(wanted.select(F.col("id").alias("w"), F.col("v").alias("x"), "ids"), "w").join(held.select(F.col("id").alias("h"), F.col("v").alias("y"), "first"), "h")
-    best = whole.filter(cosine(F.col("x"), F.col("y")) >= least).groupBy("w").agg(F.min("first").alias("first"), F.first("ids").alias("ids"))
-    return best.select(F.explode("ids").alias("id"), F.col("first.key").alias("key"))
+    rows = asked.filter("v IS NOT NULL").select("id", F.col(key).alias("scope"), "v")
+    wanted = saved(rows.groupBy("scope", "v").agg(F.min("id").alias("id")))
+    held = saved(cache.filter("v IS NOT NULL").groupBy(F.col(key).alias("scope"), "v").agg(F.min(F.struct("at", "key")).alias("first")).withColumn("id", F.xxhash64("v")))
+    best = first_near(wanted, held, least, "scope")
+    return rows.join(wanted.join(best, "id").select("scope", "v", "key"), ["scope", "v"]).select("id", "key")
 
 
 def cached_answers(asked: DataFrame, cache: DataFrame, least: float, partial: float | None = None) -> DataFrame:
     """id, key, how: which cached row (key, text, scope, v, at; for partial hits, domain) serves each asked one (id, text, scope, v; domain).
 
     In this order: `exact`, the same text in the same scope, the latest; `near`, the first in time of the same scope with a cosine of at least
-    `least`; `partial`, the first of the same domain with one of at least `partial`, where that is given; else `none`. Candidates come from bands
-    of random signs, which miss a pair at the bar with a probability of 1e-4; null scopes and domains match nothing.
+    `least`; `partial`, the first of the same domain with one of at least `partial`, where that is given; else `none`. Every vector of
+    a scope or domain is compared, so no hit is missed; null scopes and domains match nothing.
     """
     exact = saved(asked.join(cache.groupBy("text", "scope").agg(F.max_by("key", F.struct("at", "key")).alias("exact")), ["text", "scope"], "left"))
     near = _near(exact.filter("exact IS NULL AND scope IS NOT NULL"), cache.filter("scope IS NOT NULL"), least, "scope").withColumnRenamed("key", "near")
