@@ -91,8 +91,9 @@ def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH f AS (SELECT c_custkey, least(c_acctbal / 10000, 1.0) AS a, CASE WHEN n IS NOT NULL THEN least(n / 20.0, 1.0) END AS b FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey) SELECT c_custkey, round((coalesce(a * 0.3, 0) + coalesce(b * 0.2, 0)) / (CASE WHEN a IS NULL THEN 0 ELSE 0.3 END + CASE WHEN b IS NULL THEN 0 ELSE 0.2 END), 6) AS risk FROM f""")
 def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    # least() passes over nulls, so a customer without orders would have the full share.
     joined = table(spark, sf_dir, "customer").join(counts, "c_custkey", "left")
-    score = finance.risk_score([(F.least(F.col("c_acctbal") / 10000, F.lit(1.0)), 0.3), (F.least(F.col("n") / 20.0, F.lit(1.0)), 0.2)])
+    score = finance.risk_score([(F.least(F.col("c_acctbal") / 10000, F.lit(1.0)), 0.3), (F.when(F.col("n").isNotNull(), F.least(F.col("n") / 20.0, F.lit(1.0))), 0.2)])
     return joined.select("c_custkey", F.round(score, 6).alias("risk"))
 
 
