@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tessera.functions.text import words
 from tessera.functions.vectors import cosine
 
-SENTENCE = re.compile(r"[^.!?؟۔]+[.!?؟۔]+(?:\s+|$)|[^.!?؟۔]+$", re.S)
+#: Sentences are the first group. What ends within a word ("3.14") is none and is passed over whole, as trying it from each of its letters is quadratic.
+SENTENCE = re.compile(r"([^.!?؟۔]++[.!?؟۔]++(?:\s+|$)|[^.!?؟۔]++$)|[^.!?؟۔]++[.!?؟۔]++", re.S)
 HEADING = re.compile(r"(?im)^[ \t]*((?:article|chapter|section|chapitre|titre|art\.)[ \t]+[0-9ivxl]+[^\n]*)$")
 
 
@@ -56,7 +57,7 @@ def kept_chunks(chunks: DataFrame, least_words: int = 40) -> DataFrame:
 
 
 def sentences(text: str) -> list[str]:
-    return [s for m in SENTENCE.finditer(text) if (s := m[0].strip())]
+    return [s for m in SENTENCE.finditer(text) if (s := (m[1] or "").strip())]
 
 
 def packed(parts: list[str], size: int, joint: str = " ") -> list[str]:
@@ -165,7 +166,7 @@ def semantic_chunks(sentences: DataFrame, size: int = 400, overlap: int = 50) ->
 
 def letter_vectors(docs: DataFrame) -> DataFrame:
     """doc_id, n, sentence, v: sentences of texts with how often each has the letters a to z, a vector that needs no model."""
-    found = F.filter(F.transform(F.regexp_extract_all("text", F.lit(SENTENCE.pattern), 0), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    found = F.filter(F.transform(F.regexp_extract_all("text", F.lit(SENTENCE.pattern), 1), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
     low = docs.select("doc_id", F.posexplode(found).alias("n", "sentence")).withColumn("low", F.lower("sentence"))
     counts = F.transform(F.array(*[F.lit(chr(97 + i)) for i in range(26)]), lambda c: (F.length("low") - F.length(F.replace(F.col("low"), c, F.lit("")))).cast("double"))
     return low.select("doc_id", "n", "sentence", counts.alias("v"))
