@@ -205,12 +205,13 @@ def repeal_statements(docs: DataFrame) -> DataFrame:
     return found(docs, tuple((*x, None) for x in STATEMENTS), ("language",))
 
 
-def repeals_told(docs: DataFrame) -> DataFrame:
+def repeals_told(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
     """reference, by, scope of what texts say of others: the last reference that ends at most CONTEXT before a statement is what it repeals.
 
     References and statements of a text are put in one order; scope is `total` of a statement that names what took the place, else `implicit`.
+    references: what legal_references found in docs, if it is known.
     """
-    refs = legal_references(docs).select("doc_id", "position", "reference", F.struct(F.col("position") + F.length("reference"), "reference").alias("r"), F.lit(None).cast("string").alias("by"), F.lit(0).alias("s"))
+    refs = (legal_references(docs) if references is None else references).select("doc_id", "position", "reference", F.struct(F.col("position") + F.length("reference"), "reference").alias("r"), F.lit(None).cast("string").alias("by"), F.lit(0).alias("s"))
     says = repeal_statements(docs).select("doc_id", "position", F.lit("").alias("reference"), F.lit(None).cast(refs.schema["r"].dataType).alias("r"), F.trim("by").alias("by"), F.lit(1).alias("s"))
     last = F.last("r", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("position", "s", "reference"))
     near = refs.unionByName(says).withColumn("r", last).filter((F.col("s") == 1) & (F.col("position") - F.col("r").getField("col1")).between(0, CONTEXT))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import legal
+from tessera.operators import graph, legal
 from tessera.plans.registry import query, quoted
 from tessera.sources.tables import table
 
@@ -100,7 +100,9 @@ def repeal_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repealed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References of all texts to what any text says is repealed."""
     docs = table(spark, sf_dir, "documents")
-    return legal.repealed_references(legal.legal_references(docs), legal.repeals_told(docs))
+    # Texts are searched for references once; few rows come of it.
+    references = graph.saved(legal.legal_references(docs))
+    return legal.repealed_references(references, legal.repeals_told(docs, references))
 
 
 @query(normalized_sql())
