@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,3 +108,24 @@ def test_containing(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 300
     none = spark.createDataFrame([], "needle_id string, needle string")
     assert containing(none, spark.createDataFrame(texts, "text_id long, text string")).count() == 0
+
+
+def test_false_hits_of_many_needles_are_rare():
+    """With one bit a needle, 6 of 1,000 windows that no needle has went on as rows here, and their share grew with the needles."""
+    rng = np.random.default_rng(4)
+    needles = pa.RecordBatch.from_pydict({"hash": rng.integers(-(1 << 63), 1 << 63, 200_000)})
+    known = np.zeros(1 << containment.FILTER_BITS, np.uint8)
+    for marks in containment._marks(iter([needles])):
+        known[(marks["part"].to_numpy().astype(np.int64) << 15) + marks["bit"].to_numpy()] = 1
+    known = np.packbits(known, bitorder="little")
+    strange = pa.RecordBatch.from_pydict({"text_id": [1], "text": ["".join(map(chr, rng.integers(33, 127, 300_000)))]})
+    assert sum(b.num_rows for b in containment._hits(iter([strange]), known, {4, 5})) < 60
+
+
+def test_windows_of_many_texts_share_a_batch():
+    texts = [None, "", "short"] + [f"{i} is a text with a state-of-the-art word" for i in range(3000)]
+    known = np.full(1 << containment.FILTER_BITS - 3, 255, np.uint8)
+    found = list(containment._hits(iter([pa.RecordBatch.from_pydict({"text_id": list(range(3003)), "text": texts}).slice(1)]), known, {3}))
+    assert len(found) < 10
+    want = {(i, t[j : j + 8]) for i, t in enumerate(texts) if t for j in range(len(t) - 7)}
+    assert len(want) == sum(b.num_rows for b in found) and {i for i, _ in want} == {i for b in found for i in b["text_id"].to_pylist()}
