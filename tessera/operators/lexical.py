@@ -2,8 +2,8 @@
 
 Under the index's folder:
 
-- `postings/segment=S/bucket=B`: a row for each word of a document (term, doc_id, tf, n, tags), sorted by term, B being
-  the term's hash; n is the document's number of words. Bucket -1 has a row for each document.
+- `postings/segment=S/bucket=B`: rows of a word and documents that have it (term, docs: doc_id, tags, n, tf), sorted by
+  term, B being the term's hash; n is the document's number of words. A row has the documents of one Arrow batch, so its size is bounded. Bucket -1, of the term "", has all documents.
 - `dead/segment=S`: documents of earlier segments (of, doc_id, n) that S replaces or removes.
 - `segments`: a row for each finished segment, written last, with the totals of its documents. What a killed
   run leaves behind is in no such row and is never read.
@@ -18,17 +18,23 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import tokens
 from tessera.operators.retrieval import K1, B
 
 BUCKETS, SPREAD = 64, 8
+#: Terms that leave a task's Python at once.
+TERMS_AT_ONCE = 1 << 11
 #: Totals are documents, those with a text, and words.
 SEGMENTS = "seq long, segment string, docs long, texts long, words long, lost_docs long, lost_texts long, lost_words long, buckets int, replaces array<string>"
 DEAD = "of string, doc_id long, n long, segment string"
@@ -72,7 +78,7 @@ def _postings(spark: SparkSession, path: str, state: State, buckets: Sequence[in
     """Postings of the buckets in living segments, without those of replaced documents."""
     found = spark.read.parquet(f"{path}/postings").filter(F.col("segment").isin(state.segments) & F.col("bucket").isin(list(buckets)))
     dead = _dead(spark, path, state).select(F.col("of").alias("segment"), "doc_id")
-    return found.join(dead, ["segment", "doc_id"], "left_anti")
+    return _unpacked(found).join(dead, ["segment", "doc_id"], "left_anti")
 
 
 def _totals(rows: DataFrame) -> tuple[int, int, int]:
@@ -95,8 +101,33 @@ def _lose(spark: SparkSession, path: str, state: State, segment: str, ids: DataF
 
 def _write(postings: DataFrame, path: str, segment: str) -> None:
     parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = postings.repartition(parts, "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
-    spread.sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+    spread = postings.repartition(parts, "bucket", F.pmod(F.xxhash64(F.col("docs")[0]["doc_id"]), F.lit(SPREAD)))
+    spread.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
+
+
+def _unpacked(packed: DataFrame) -> DataFrame:
+    return packed.select(*[c for c in packed.columns if c != "docs"], F.inline("docs"))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each batch of documents with their words (w, a list) a row a word with the documents that have it, and one of the term "" with all."""
+    for batch in batches:
+        rest, lists = batch.drop_columns(["w"]), batch.column("w")
+        words = lists.flatten().dictionary_encode()
+        size = max(len(batch), 1)
+        found, tf = np.unique(words.indices.to_numpy().astype(np.int64) * size + pc.list_parent_indices(lists).to_numpy(), return_counts=True)
+        terms, rows = found // size, found % size
+        starts = np.append(np.flatnonzero(np.diff(terms, prepend=-1)), len(found))
+        yield _row_a_term(pa.array([""], pa.string()), np.array([0, len(batch)]), rest, np.zeros(len(batch), np.int32))
+        for low in range(0, len(starts) - 1, TERMS_AT_ONCE):
+            ends = starts[low : low + TERMS_AT_ONCE + 1]
+            of = slice(ends[0], ends[-1])
+            yield _row_a_term(words.dictionary.take(pa.array(terms[ends[:-1]])), ends - ends[0], rest.take(pa.array(rows[of])), tf[of].astype(np.int32))
+
+
+def _row_a_term(terms: pa.Array, ends: np.ndarray, docs: pa.RecordBatch, tf: np.ndarray) -> pa.RecordBatch:
+    postings = pa.StructArray.from_arrays([*docs.columns, pa.array(tf)], [*docs.schema.names, "tf"])
+    return pa.RecordBatch.from_arrays([terms, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), postings)], ["term", "docs"])
 
 
 def index_documents(docs: DataFrame, path: str, tags: Sequence[str] = (), buckets: int = BUCKETS) -> str:
@@ -108,16 +139,13 @@ def index_documents(docs: DataFrame, path: str, tags: Sequence[str] = (), bucket
     spark, segment = docs.sparkSession, f"s{uuid.uuid4().hex}"
     state = opened(spark, path)
     buckets = state.buckets if state.segments else buckets
-    # Words are sorted within their document, so that a run is a term: no shuffle before the one that deals postings out.
-    told = docs.select(F.col("doc_id").cast("long"), *tags, F.explode(F.array(F.array_sort(tokens("text")))).alias("w"))
-    starts = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == 1) | (F.element_at("w", i) != F.element_at("w", F.greatest(i - 1, F.lit(1)))))
-    told = told.select("doc_id", *tags, "w", F.size("w").cast("long").alias("n"), F.explode(F.array(F.when(F.size("w") > 0, starts).otherwise(F.array().cast("array<int>")))).alias("s"))
-    ends = F.concat(F.slice(F.col("s"), 2, F.greatest(F.size("s"), F.lit(1))), F.array(F.size("w") + 1))
-    runs = F.zip_with("s", ends, lambda a, b: F.struct(F.element_at("w", a).alias("term"), (b - a).alias("tf")))
-    own = F.array(F.struct(F.lit("").alias("term"), F.lit(0).alias("tf")))
-    each = told.select("doc_id", *tags, "n", F.inline(F.concat(own, F.when(F.size("s") > 0, runs).otherwise(F.slice(own, 1, 0)))))
+    # Words are counted within their document: no shuffle before the one that deals postings out.
+    told = docs.select(F.col("doc_id").cast("long"), *tags, tokens("text").alias("w"))
+    told = told.select("doc_id", *tags, F.size("w").cast("long").alias("n"), "w")
+    posting = T.StructType([*told.schema.fields[:-1], T.StructField("tf", T.IntegerType())])
+    each = told.mapInArrow(_packed, T.StructType([T.StructField("term", T.StringType()), T.StructField("docs", T.ArrayType(posting))]))
     _write(each.withColumn("bucket", F.when(F.col("term") == "", -1).otherwise(F.pmod(F.crc32("term"), F.lit(buckets)).cast("int"))), path, segment)
-    mine = spark.read.parquet(f"{path}/postings/segment={segment}").filter("bucket = -1") if not docs.isEmpty() else docs.select(F.col("doc_id").cast("long"), F.lit(0).alias("n"))
+    mine = _unpacked(spark.read.parquet(f"{path}/postings/segment={segment}").filter("bucket = -1")) if not docs.isEmpty() else docs.select(F.col("doc_id").cast("long"), F.lit(0).alias("n"))
     totals = _totals(mine)
     if totals[0] != mine.agg(F.count_distinct("doc_id")).first()[0]:
         raise ValueError("an id is null or repeats")
@@ -142,7 +170,13 @@ def merge_segments(spark: SparkSession, path: str) -> str | None:
     if len(state.segments) < 2:
         return None
     segment = f"s{uuid.uuid4().hex}"
-    _write(_postings(spark, path, state, range(-1, state.buckets)).drop("segment"), path, segment)
+    packed, dead = spark.read.parquet(f"{path}/postings").filter(F.col("segment").isin(state.segments)), _dead(spark, path, state)
+    if not dead.isEmpty():
+        # A row's first document tells it from the term's other rows.
+        living = _unpacked(packed.withColumn("first", F.col("docs")[0]["doc_id"])).join(dead.select(F.col("of").alias("segment"), "doc_id"), ["segment", "doc_id"], "left_anti")
+        fields = packed.schema["docs"].dataType.elementType.names
+        packed = living.groupBy("segment", "bucket", "term", "first").agg(F.collect_list(F.struct(*fields)).alias("docs"))
+    _write(packed.select("term", "docs", "bucket"), path, segment)
     _commit(spark, path, state, segment, state.totals, (0, 0, 0), state.buckets, state.segments)
     return segment
 

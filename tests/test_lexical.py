@@ -129,3 +129,17 @@ def test_windows_of_many_texts_share_a_batch():
     assert len(found) < 10
     want = {(i, t[j : j + 8]) for i, t in enumerate(texts) if t for j in range(len(t) - 7)}
     assert len(want) == sum(b.num_rows for b in found) and {i for i, _ in want} == {i for b in found for i in b["text_id"].to_pylist()}
+
+
+def test_postings_of_a_batch_are_a_row_for_each_term(spark, tmp_path, monkeypatch):
+    """Before, a row for each word of each document: 50 of alpha."""
+    path = str(tmp_path / "index")
+    index_documents(spark.createDataFrame([(i, f"word{i} alpha Alpha", "en") for i in range(50)], SCHEMA).coalesce(1), path, ["lang"])
+    rows = spark.read.parquet(f"{path}/postings").filter("term = 'alpha'").collect()
+    assert [len(r["docs"]) for r in rows] == [50] and {(d["n"], d["tf"]) for d in rows[0]["docs"]} == {(3, 2)}
+    monkeypatch.setattr(lexical, "TERMS_AT_ONCE", 2)
+    words = [["b", "a", "b"], None, [], ["c", "d", "e", "a"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(words, pa.list_(pa.string()))], ["doc_id", "w"])
+    found = [(r["term"], d["doc_id"], d["tf"]) for b in lexical._packed(iter([batch])) for r in b.to_pylist() for d in r["docs"]]
+    want = [("", i, 0) for i in (1, 2, 3, 4)] + [("a", 1, 1), ("b", 1, 2)] + [(w, 4, 1) for w in "acde"]
+    assert sorted(found) == sorted(want)
